@@ -58,7 +58,7 @@ def corpus_sample(spark, folder):
 
 
 RULING = ((FIRST_LINE, "", 0),)
-REASONING = ((INNER_LINE, " end", 0), ("(.+?)\\n", "", 8))
+REASONING = ((INNER_LINE, " end", 0), (FIRST_LINE, "", 8))
 
 
 @query(

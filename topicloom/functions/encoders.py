@@ -35,12 +35,13 @@ def hash_encoder(dim: int = 64) -> Encoder:
     """
 
     def features(text: Column) -> Column:
-        def slot(word: Column) -> Column:
-            h = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint")
+        hashed = F.transform(T.tokens(text), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
+
+        def slot(h: Column) -> Column:
             place = (h % dim).cast("int")
             return F.when(F.floor(h / dim) % 2 == 0, place).otherwise(-place - 1)
 
-        return F.transform(T.tokens(text), slot)
+        return F.transform(hashed, slot)
 
     def matrix(batch: pa.Array) -> np.ndarray:
         lengths = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

@@ -88,19 +88,27 @@ def first_section(text: Column, rules: Iterable[tuple[str, str, int]]) -> Column
     """
     choices = []
     for pattern, suffix, cut in rules:
-        part = F.nullif(F.regexp_extract(text, "(?d)" + pattern, 1), F.lit(""))
+        found = _group(text, pattern)
         if suffix:
-            part = F.concat(part, F.lit(suffix))
+            found = F.transform(found, lambda s: F.concat(s, F.lit(suffix)))
         if cut:
-            part = F.substring(part, F.lit(1), F.greatest(F.length(part) - cut, F.lit(0)))
-        choices.append(part)
+            found = F.transform(found, lambda s: F.substring(s, F.lit(1), F.greatest(F.length(s) - cut, F.lit(0))))
+        choices.append(F.get(found, F.lit(0)))
     return strip(F.coalesce(*choices))
 
 
+def _group(text: Column, pattern: str) -> Column:
+    """First group of the pattern as an array of one entry, or of none.
+
+    The array lets later steps name the match without searching for it again.
+    """
+    return F.filter(F.array(F.regexp_extract(text, "(?d)" + pattern, 1)), lambda s: s != "")
+
+
 def joined_sections(text: Column, patterns: Sequence[str] = V.CORPUS_SECTIONS) -> Column:
     """Matches of all patterns in a row; a missing part is skipped, none at all gives null."""
-    parts = [F.nullif(F.regexp_extract(text, "(?d)" + p, 1), F.lit("")) for p in patterns]
-    return F.nullif(F.concat_ws("", *parts), F.lit(""))
+    found = F.array_join(F.concat(*[_group(text, p) for p in patterns]), "")
+    return F.get(F.filter(F.array(found), lambda s: s != ""), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

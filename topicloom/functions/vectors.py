@@ -6,7 +6,7 @@ whatever order the partial sums were added in.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 ROUND = 6
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also when a nested lambda uses it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -41,10 +46,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a)
-    return F.when(size == 0, a.cast("array<double>")).otherwise(
-        F.transform(a, lambda x: x.cast("double") / size)
-    )
+    def scaled(size: Column) -> Column:
+        return F.transform(a, lambda x: F.when(size == 0, x.cast("double")).otherwise(x.cast("double") / size))
+
+    return let(norm(a), scaled)
 
 
 def blend(keys: Column, docs: Column, weight: float) -> Column:
@@ -56,9 +61,8 @@ def blend(keys: Column, docs: Column, weight: float) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Softmax shifted by the maximum so that large scores do not overflow."""
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(raised, lambda e: e / _total(raised))
+    raised = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x.cast("double") - top)))
+    return let(raised, lambda r: let(_total(r), lambda total: F.transform(r, lambda e: e / total)))
 
 
 def constant_gate_fold(vectors: Column, dim: int, gate: float = 0.5) -> Column:
@@ -69,7 +73,3 @@ def constant_gate_fold(vectors: Column, dim: int, gate: float = 0.5) -> Column:
         rest, first, lambda acc, v: F.zip_with(acc, v, lambda a, b: a * gate + b.cast("double") * (1 - gate))
     )
     return F.transform(folded, lambda x: x.cast("float"))
-
-
-def literal_vector(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<float>")

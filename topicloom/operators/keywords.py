@@ -38,10 +38,15 @@ def topic_term_counts(
     the unique ``order_col``, as if the texts of a topic were one text.
     """
     low, high = ngram_range
-    words = T.drop_words(T.tokens(F.col(text_col)), stopwords) if high > 1 else T.tokens(F.col(text_col))
-    terms = docs.select(F.col(topic_col).alias("topic"), F.explode(T.ngrams(words, low, high)).alias("term"))
-    if high == 1 and stopwords:
-        terms = terms.where(~F.col("term").isin(*stopwords))
+    if high == 1:
+        terms = docs.select(F.col(topic_col).alias("topic"), F.explode(T.tokens(F.col(text_col))).alias("term"))
+        if stopwords:
+            terms = terms.where(~F.col("term").isin(*stopwords))
+    else:
+        # The word list is a column of its own, so the n-gram lambdas do not tokenise again.
+        words = T.drop_words(T.tokens(F.col(text_col)), stopwords)
+        listed = docs.select(F.col(topic_col).alias("topic"), words.alias("_words"))
+        terms = listed.select("topic", F.explode(T.ngrams(F.col("_words"), low, high)).alias("term"))
     if cross_docs and high > 1:
         if order_col is None:
             raise ValueError("cross_docs needs a unique order_col")
@@ -63,13 +68,11 @@ def border_ngrams(
     words = T.drop_words(T.tokens(F.col(text_col)), stopwords)
     edge = high - 1
     narrow = docs.select(F.col(topic_col).alias("topic"), F.col(order_col).alias("ord"), words.alias("words"))
-    narrow = narrow.select(
-        "topic", "ord", F.size("words").alias("size"),
-        F.filter(
-            F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))),
-            lambda s: (s["at"] < edge) | (s["at"] >= F.size("words") - edge),
-        ).alias("edges"),
-    ).where(F.col("size") > 0)
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    size = F.size("words")
+    # Both ends of the list; the second piece starts behind the first, so no word is sent twice.
+    ends = F.concat(F.slice(numbered, 1, edge), F.slice(numbered, F.greatest(size - edge, F.lit(edge)) + 1, edge))
+    narrow = narrow.select("topic", "ord", size.alias("size"), ends.alias("edges")).where(F.col("size") > 0)
     ranged = narrow.repartitionByRange("topic", "ord").withColumn("_part", F.spark_partition_id())
     ranged = stage(ranged, "borders")
     earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
