@@ -71,10 +71,14 @@ def encode(df: DataFrame, encoder: Encoder, text_col: str, out: str = "vec") ->
     def run(features: pa.Array) -> pa.Array:
         return K.vector_array(matrix(features))
 
-    vector = F.arrow_udf(_typed(run), "array<float>")
-    return df.withColumn(out, vector(encoder.features(F.col(text_col))))
+    run.__annotations__ = {"features": pa.Array, "return": pa.Array}
+    return df.withColumn(out, arrow_once(run, "array<float>")(encoder.features(F.col(text_col))))
 
 
-def _typed(run):
-    run.__annotations__ = {"features": pa.Array, "return": pa.Array}
-    return run
+def arrow_once(run: Callable, returns: str):
+    """An Arrow function that the optimizer may not copy.
+
+    Filters on its result would otherwise be pushed below it together with a
+    second copy of the call.
+    """
+    return F.arrow_udf(run, returns).asNondeterministic()

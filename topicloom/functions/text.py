@@ -12,12 +12,6 @@ from topicloom.functions import fixed_values as V
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def char_class(chars: str, negate: bool = False) -> str:
-    """A regex class of literal characters; brackets are always escaped for Java."""
-    body = "".join("\\" + c if c in "[]\\^&-" else c for c in chars)
-    return f"[{'^' if negate else ''}{body}]"
-
-
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
     return F.btrim(text, F.lit(V.WHITESPACE))
@@ -43,8 +37,9 @@ def clean_record(text: Column, keep: str = V.RECORD_KEEP) -> Column:
     """Nested record cleaner: everything outside ``keep`` becomes one blank between words.
 
     ``keep`` is the body of a regex class, so ranges such as ``a-z`` can be added.
+    Taking out the kept runs is several times faster than replacing the others.
     """
-    return F.btrim(F.regexp_replace(text, f"[^{keep}]+", " "))
+    return F.array_join(F.regexp_extract_all(text, F.lit(f"[{keep}]+"), F.lit(0)), " ")
 
 
 def substitute_chars(text: Column, mapping: Mapping[str, str]) -> Column:
@@ -70,13 +65,11 @@ def split_sentences(text: Column) -> Column:
     return F.transform(F.split(text, r"\."), lambda s: F.concat(strip(s), F.lit(".")))
 
 
-def corpus_sentences(text: Column, longer_than: int = V.CORPUS_LONGER_THAN) -> Column:
-    """Array of ``(pos, raw)`` pieces longer than the bound; the bound applies before cleaning."""
-    pieces = F.split(text, V.CORPUS_SENTENCE_ENDS)
-    return F.filter(
-        F.transform(pieces, lambda s, i: F.struct(i.alias("pos"), s.alias("raw"))),
-        lambda p: F.length(p["raw"]) > longer_than,
-    )
+def corpus_sentences(text: Column, *tags: Column, longer_than: int = V.CORPUS_LONGER_THAN) -> Column:
+    """Array of ``(*tags, pos, raw)`` pieces longer than the bound; the bound applies before cleaning."""
+    pieces = F.transform(F.split(text, V.CORPUS_SENTENCE_ENDS), lambda s, i: F.struct(i.alias("pos"), s.alias("raw")))
+    kept = F.filter(pieces, lambda p: F.length(p["raw"]) > longer_than)
+    return F.transform(kept, lambda p: F.struct(*tags, p["pos"].alias("pos"), p["raw"].alias("raw")))
 
 
 def first_section(text: Column, rules: Iterable[tuple[str, str, int]]) -> Column:

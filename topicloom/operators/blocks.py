@@ -24,20 +24,21 @@ class SmallSide:
 
 
 def fetch_small(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: int = BROADCAST_BYTES) -> SmallSide | None:
-    """The side as arrays in id order when it is proven small, else None.
+    """The side as arrays in id order when it is small, else None.
 
-    Its row count and width are measured first; only then are rows fetched.
+    At most ``BLOCK_ROWS + 1`` rows leave the executors, and a side of more rows
+    or more bytes than allowed is not used.
     """
-    size = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size(vec_col)).alias("dim")
-    ).first()
-    if size["rows"] * (8 * (size["dim"] or 0) + 8 + 64 * len(extra)) > limit:
+    table = df.select(id_col, vec_col, *extra).limit(BLOCK_ROWS + 1).toArrow()
+    if table.num_rows > BLOCK_ROWS:
         return None
-    table = df.select(id_col, vec_col, *extra).toArrow()
     ids = table.column(id_col).to_numpy().astype(np.int64)
     order = np.argsort(ids, kind="stable")
     table = table.take(pa.array(order))
-    return SmallSide(ids[order], K.matrix(table.column(vec_col)), table.select(list(extra)))
+    rows = K.matrix(table.column(vec_col))
+    if rows.nbytes > limit:
+        return None
+    return SmallSide(ids[order], rows, table.select(list(extra)))
 
 
 def grid(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import kernels as K
+from topicloom.functions.encoders import arrow_once
 from topicloom.operators import blocks
 from topicloom.operators.paging import balanced_pages
 from topicloom.staging import ordered_index
@@ -199,7 +200,7 @@ def pair_cosine(a: Column, b: Column) -> Column:
         return pa.array(K.row_cosines(K.matrix(left), K.matrix(right)), pa.float64())
 
     run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "double")(a, b)
+    return arrow_once(run, "double")(a, b)
 
 
 # ---------------------------------------------------------------- nearest head

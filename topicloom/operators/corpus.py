@@ -16,17 +16,20 @@ def sentence_corpus(df: DataFrame, id_col: str, fields: Mapping[str, Column]) ->
     """``(field_no, field, doc_id, pos, sentence)`` for every field in order.
 
     Pieces are filtered by length before cleaning, so a kept one may clean to an
-    empty line.  All fields are taken in one pass over the rows.
+    empty line.  The pieces of all fields form one array per row, which is
+    unrolled once.
     """
-    parts = F.array(
+    empty = F.array().cast("array<struct<field_no:int,field:string,pos:int,raw:string>>")
+    pieces = F.concat(
         *[
-            F.struct(F.lit(i).alias("field_no"), F.lit(name).alias("field"), T.corpus_sentences(text).alias("pieces"))
+            F.coalesce(T.corpus_sentences(text, F.lit(i).alias("field_no"), F.lit(name).alias("field")), empty)
             for i, (name, text) in enumerate(fields.items())
         ]
     )
-    exploded = df.select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("f"))
-    pieces = exploded.select("f.field_no", "f.field", "doc_id", F.explode("f.pieces").alias("p"))
-    return pieces.select("field_no", "field", "doc_id", "p.pos", T.clean_corpus(F.col("p.raw")).alias("sentence"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.explode(pieces).alias("p"))
+    return rows.select(
+        "p.field_no", "p.field", "doc_id", "p.pos", T.clean_corpus(F.col("p.raw")).alias("sentence")
+    )
 
 
 def corpus_sample(corpus: DataFrame, rows: int = 1000) -> DataFrame:

@@ -15,7 +15,7 @@ from topicloom.functions import fixed_values as V
 from topicloom.functions import kernels as K
 from topicloom.functions import text as T
 from topicloom.functions import vectors as X
-from topicloom.functions.encoders import Encoder, encode
+from topicloom.functions.encoders import Encoder, arrow_once, encode
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def split_merge(
         return K.vector_array(merged)
 
     run.__annotations__ = {"sentences": pa.Array, "return": pa.Array}
-    vector = F.arrow_udf(run, "array<float>")
+    vector = arrow_once(run, "array<float>")
     sentences = T.split_sentences(F.coalesce(F.col(text_col), F.lit("")))
     return df.withColumn(out, vector(F.transform(sentences, encoder.features)))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import kernels as K
 from topicloom.functions import vectors as X
+from topicloom.functions.encoders import arrow_once
 from topicloom.operators import blocks
 from topicloom.staging import stage
 
@@ -125,7 +126,7 @@ def assign_cells(
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(nearest.ravel()))
 
     run.__annotations__ = {"vecs": pa.Array, "return": pa.Array}
-    cell = F.arrow_udf(run, "int" if keep == 1 else "array<int>")
+    cell = arrow_once(run, "int" if keep == 1 else "array<int>")
     return vectors.where(F.col(vec_col).isNotNull()).withColumn(out, cell(F.col(vec_col)))
 
 

@@ -24,29 +24,38 @@ class Settings:
 
 
 def merge_heads(
-    clusters: DataFrame, vectors: DataFrame, settings: Settings, seed: str, id_col: str = "id", vec_col: str = "vec"
+    clusters: DataFrame,
+    vectors: DataFrame,
+    settings: Settings,
+    seed: str,
+    smallest: int = V.MERGE_KEEP,
+    id_col: str = "id",
+    vec_col: str = "vec",
 ) -> DataFrame:
     """Cluster the heads, take in their members, keep clusters of two or more.
 
     Repeats while there were at least ``merge_page`` heads and their number fell.
+    The last result is cut to clusters of at least ``smallest`` members.
     """
+    smallest = max(smallest, V.MERGE_KEEP)
     merged = clusters
     before = None
-    for turn in range(1, 1000):
+    turn = 0
+    while True:
+        turn += 1
         heads = merged.select(F.col("head_id").alias(id_col)).distinct()
-        head_vectors = stage(vectors.join(heads, id_col, "left_semi").select(id_col, vec_col), "heads")
-        count = head_vectors.count()
+        count = heads.count()
         if count == 0 or count == before:
-            return merged
+            return C.keep_large(merged, smallest)
+        last = count < settings.merge_page
         merged = C.create_clusters(
-            head_vectors, settings.threshold, 1, settings.merge_page, f"{seed}/m{turn}",
+            vectors.join(heads, id_col, "left_semi"), settings.threshold, 1, settings.merge_page, f"{seed}/m{turn}",
             old=merged, vectors=vectors, rows=count, id_col=id_col, vec_col=vec_col,
         )
-        merged = stage(C.keep_large(merged, V.MERGE_KEEP), "merged")
-        if count < settings.merge_page:
+        merged = stage(C.keep_large(merged, smallest if last else V.MERGE_KEEP), "merged")
+        if last:
             return merged
         before = count
-    return merged
 
 
 def iterative_clusters(
@@ -88,8 +97,9 @@ def iterative_clusters(
             left, settings.threshold, settings.min_size, settings.page_size, seed,
             rows=left_count, id_col=id_col, vec_col=vec_col,
         )
-        merged = merge_heads(stage(created, "created"), vectors, settings, seed, id_col, vec_col)
-        new = stage(C.keep_large(merged, settings.min_size), "new")
+        new = merge_heads(
+            stage(created, "created"), vectors, settings, seed, settings.min_size, id_col, vec_col
+        )
         if new.isEmpty():
             if left_count <= settings.page_size:
                 break

@@ -84,11 +84,9 @@ def xml_listing(df: DataFrame, payload_col: str, record_tag: str, link_tag: str,
     schema = f"`{total_tag}` bigint, `{record_tag}` array<struct<`{link_tag}`: string>>"
     keep = [c for c in df.columns if c != payload_col]
     parsed = df.select(*keep, xml_fields(F.col(payload_col), schema).alias("_x"))
-    return parsed.select(
-        *keep,
-        F.col(f"_x.`{total_tag}`").alias("total"),
-        F.posexplode(F.col(f"_x.`{record_tag}`.`{link_tag}`")).alias("pos", "link"),
-    )
+    links = F.col(f"_x.`{record_tag}`.`{link_tag}`").alias("_links")
+    flat = parsed.select(*keep, F.col(f"_x.`{total_tag}`").alias("total"), links)
+    return flat.select(*keep, "total", F.posexplode("_links").alias("pos", "link"))
 
 
 def xml_detail(df: DataFrame, payload_col: str, tags: dict[str, str]) -> DataFrame:
