@@ -50,7 +50,7 @@ def hash_encoder(dim: int = 64) -> Encoder:
         places = np.where(slots >= 0, slots, -slots - 1)
         signs = np.where(slots >= 0, 1.0, -1.0)
         counts = np.bincount(rows * dim + places, weights=signs, minlength=len(batch) * dim)
-        return K.unit_rows(counts.reshape(len(batch), dim))
+        return K.unit_rows(counts.astype(np.float64).reshape(len(batch), dim))
 
     return Encoder(dim, features, matrix)
 

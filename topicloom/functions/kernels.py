@@ -77,7 +77,9 @@ def candidate_sizes(ids: np.ndarray, units: np.ndarray, threshold: float) -> tup
     return sizes, totals
 
 
-def greedy_page(ids: np.ndarray, units: np.ndarray, threshold: float, min_size: int) -> tuple:
+def greedy_page(
+    ids: np.ndarray, units: np.ndarray, threshold: float, min_size: int, strict: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy clusters of one page: large candidates first, equal sizes by lower id.
 
     Every row is a candidate that covers all rows at or above the threshold.  A
@@ -103,9 +105,14 @@ def greedy_page(ids: np.ndarray, units: np.ndarray, threshold: float, min_size:
             continue
         taken |= bits[row]
         inside = np.flatnonzero(np.unpackbits(bits[row], count=rows))
+        values = np.round(units[inside] @ units[row], ROUND)
+        if strict:
+            inside, values = inside[values > threshold], values[values > threshold]
+            if len(inside) < min_size:
+                continue
         heads.append(np.full(len(inside), ids[row]))
         members.append(ids[inside])
-        scores.append(np.round(units[inside] @ units[row], ROUND))
+        scores.append(values)
     if not heads:
         return np.array([], np.int64), np.array([], np.int64), np.array([])
     return np.concatenate(heads), np.concatenate(members), np.concatenate(scores)

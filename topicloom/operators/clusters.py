@@ -19,6 +19,7 @@ from topicloom.functions.encoders import arrow_once
 from topicloom.operators import blocks
 from topicloom.operators.paging import balanced_pages
 from topicloom.staging import ordered_index
+from topicloom.staging import stage as stage_table
 
 CLUSTER_COLUMNS = ("head_id", "member_id", "score")
 
@@ -75,14 +76,18 @@ def page_candidates(paged: DataFrame, threshold: float, id_col: str = "id", vec_
 
 
 def greedy_clusters(
-    paged: DataFrame, threshold: float, min_size: int, id_col: str = "id", vec_col: str = "vec"
+    paged: DataFrame, threshold: float, min_size: int, id_col: str = "id", vec_col: str = "vec", strict: bool = False
 ) -> DataFrame:
-    """Greedy threshold clusters of every page; a page is bounded, so its work is too."""
+    """Greedy threshold clusters of every page; a page is bounded, so its work is too.
+
+    ``strict`` applies the strict head filter and the size filter again at once:
+    a cluster lies in one page, so both need no further shuffle.
+    """
 
     def run(page: pa.Table) -> pa.Table:
         ids = page.column(id_col).to_numpy()
         units = K.unit_rows(K.matrix(page.column(vec_col)))
-        heads, members, scores = K.greedy_page(ids, units, threshold, min_size)
+        heads, members, scores = K.greedy_page(ids, units, threshold, min_size, strict)
         return pa.table(
             {
                 "head_id": pa.array(heads, pa.int64()),
@@ -135,7 +140,7 @@ def remove_overlap(clusters: DataFrame) -> DataFrame:
 
 def coverage(vectors: DataFrame, clusters: DataFrame, id_col: str = "id") -> DataFrame:
     """Clustered and all ids and the clustered share in percent, one row."""
-    inside = clustered_ids(clusters).withColumn("_in", F.lit(1))
+    inside = clustered_ids(clusters).distinct().withColumn("_in", F.lit(1))
     counted = vectors.select(F.col(id_col).alias("member_id")).join(inside, "member_id", "left").agg(
         F.count("_in").alias("clustered"), F.count(F.lit(1)).alias("total")
     )
@@ -147,9 +152,9 @@ def coverage(vectors: DataFrame, clusters: DataFrame, id_col: str = "id") -> Dat
 
 
 def clustered_ids(clusters: DataFrame) -> DataFrame:
-    """Every id that is a member or a head."""
-    members = clusters.select("member_id")
-    return members.union(clusters.select(F.col("head_id").alias("member_id"))).distinct()
+    """Ids that are members or heads, possibly more than once; heads are reduced first."""
+    heads = clusters.select(F.col("head_id").alias("member_id")).distinct()
+    return clusters.select("member_id").union(heads)
 
 
 def unclustered(vectors: DataFrame, clusters: DataFrame, id_col: str = "id") -> DataFrame:
@@ -224,6 +229,8 @@ def assign_nearest(
     heads = heads.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("head_id"), F.col(vec_col).alias("vec"))
     small = blocks.fetch_small(heads, "head_id", "vec", limit=limit)
     if small is None:
+        if vectors.isStreaming:
+            raise ValueError("a stream needs a head table that fits the broadcast limit")
         return _nearest_grid(vectors, heads, threshold)
     if not len(small.ids):
         return no_clusters(vectors.sparkSession)
@@ -285,17 +292,17 @@ def create_clusters(
     """Page the subset, cluster every page, take in the members of old clusters, filter again.
 
     With ``old`` the subset holds heads of ``old``, and ``vectors`` must hold the
-    vectors of all members.  Pages share no rows and clusters of ``old`` share
+    vectors of all its members.  Pages share no rows and clusters of ``old`` share
     none either, so the result has no overlap to remove.
     """
     paged = balanced_pages(subset, id_col, page_size, seed, rows)
-    fresh = greedy_clusters(paged, threshold, min_size, id_col, vec_col)
     if old is None:
-        # The page scores are the scores against the head already.
-        kept = fresh.where(F.col("score") > threshold)
-    else:
-        kept = refilter(expand_heads(fresh, old), vectors, threshold, id_col, vec_col)
-    return keep_large(kept, min_size)
+        return greedy_clusters(paged, threshold, min_size, id_col, vec_col, strict=True)
+    fresh = greedy_clusters(paged, threshold, min_size, id_col, vec_col)
+    kept = refilter(expand_heads(fresh, old), vectors, threshold, id_col, vec_col)
+    if min_size <= 1:
+        return kept
+    return keep_large(stage_table(kept, "kept"), min_size)
 
 
 def stack(

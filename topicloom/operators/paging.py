@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 100_000
+MAX_DIGITS = 5
 
 
 def shuffle_key(id_col: str, seed: str) -> Column:
@@ -34,21 +35,21 @@ def balanced_pages(
     """``ceil(N / page_size)`` pages in hash order whose sizes differ by at most one.
 
     The rank of a row is its rank inside a hash bucket plus the rows of the
-    buckets before it.  Buckets hold about ``ROWS_PER_BUCKET`` rows whatever the
-    data looks like, because ids are unique.  The same pages come out of
-    ``ntile`` over the whole table, which would be one task.
+    buckets before it.  Buckets are even whatever the data looks like, because
+    ids are unique.  The same pages come out of ``ntile`` over the whole table,
+    which would be one task.
     """
     rows = df.count() if rows is None else rows
     pages = page_count(rows, page_size)
     if pages <= 1:
         return df.withColumn(out, F.lit(0))
-    digits = max(1, min(7, math.ceil(math.log(max(2, rows / ROWS_PER_BUCKET), 16))))
+    digits = max(1, min(MAX_DIGITS, math.ceil(math.log(max(2, rows / ROWS_PER_BUCKET), 16))))
     keyed = df.withColumn("_key", shuffle_key(id_col, seed)).withColumn("_bucket", _leading_hex(F.col("_key"), digits))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("_bucket").orderBy("_key", id_col)
-    # The offset table has at most 16 ** digits rows, about one per 6,000 to 100,000 input rows.
+    # The offset table has at most 16 ** MAX_DIGITS rows, 16 MB.
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(F.broadcast(offsets), "_bucket")
     rank = F.col("_rank") + F.col("_offset")
     small, longer = divmod(rows, pages)

@@ -52,7 +52,8 @@ def merge_heads(
             vectors.join(heads, id_col, "left_semi"), settings.threshold, 1, settings.merge_page, f"{seed}/m{turn}",
             old=merged, vectors=vectors, rows=count, id_col=id_col, vec_col=vec_col,
         )
-        merged = stage(C.keep_large(merged, smallest if last else V.MERGE_KEEP), "merged")
+        merged = C.keep_large(stage(merged, "tight"), smallest if last else V.MERGE_KEEP)
+        merged = stage(merged, "merged")
         if last:
             return merged
         before = count
@@ -77,17 +78,17 @@ def iterative_clusters(
     pieces = [C.no_clusters(vectors.sparkSession)]
     left = vectors
 
-    def take_in(new: DataFrame) -> DataFrame:
+    def take_in(new: DataFrame, head_source: DataFrame) -> DataFrame:
         """Record new clusters, give left-over rows to their heads; returns what is still left."""
         heads = new.select(F.col("head_id").alias(id_col)).distinct()
-        head_vectors = vectors.join(heads, id_col, "left_semi")
+        head_vectors = head_source.join(heads, id_col, "left_semi")
         rest = C.unclustered(left, new, id_col)
         gained = stage(C.assign_nearest(rest, head_vectors, settings.threshold, id_col, vec_col), "gained")
         pieces.extend([new, gained])
         return stage(C.unclustered(left, new.unionByName(gained), id_col), "left")
 
     if clusters is not None:
-        left = take_in(stage(clusters.select(*C.CLUSTER_COLUMNS), "given"))
+        left = take_in(stage(clusters.select(*C.CLUSTER_COLUMNS), "given"), vectors)
     for turn in range(settings.iterations):
         left_count = left.count()
         if left_count == 0:
@@ -97,14 +98,13 @@ def iterative_clusters(
             left, settings.threshold, settings.min_size, settings.page_size, seed,
             rows=left_count, id_col=id_col, vec_col=vec_col,
         )
-        new = merge_heads(
-            stage(created, "created"), vectors, settings, seed, settings.min_size, id_col, vec_col
-        )
+        # New clusters consist of left-over rows only, so no step below reads the other vectors.
+        new = merge_heads(stage(created, "created"), left, settings, seed, settings.min_size, id_col, vec_col)
         if new.isEmpty():
             if left_count <= settings.page_size:
                 break
             continue
-        left = take_in(new)
+        left = take_in(new, left)
     return reduce(DataFrame.unionByName, pieces), left.select(id_col)
 
 
