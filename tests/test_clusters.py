@@ -177,7 +177,7 @@ def test_nearest_head_grid_equals_broadcast(spark, monkeypatch):
     vectors = vector_table(spark, range(130), random_vectors(9, 130, 5, groups=7))
     heads = vectors.where("id < 40")
     small = C.assign_nearest(vectors, heads, 0.7)
-    monkeypatch.setattr(blocks.grid, "__defaults__", (17,))
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
     large = C.assign_nearest(vectors, heads, 0.7, limit=0)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     assert small.count() > 40

@@ -76,3 +76,50 @@ def test_stream_assigns_like_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError):
         C.assign_nearest(arrivals, heads, 0.8, limit=0)
+
+
+def test_saved_stage_tables_search_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 5} other{i % 3} text", "en") for i in range(30)], "doc_id bigint, text string, lang string")
+    encoder = hash_encoder(32)
+    built = searching.build(docs, encoder, "text", ["doc_id", "text"], plan.Settings(0.9, 2, 20, 2), 3)
+    searching.save(built, str(tmp_path / "b"))
+    asked = spark.createDataFrame([(1, "word1 text")], "query_id bigint, text string")
+    once = searching.search(built, asked, encoder, 4, ["topic", "keywords"]).orderBy("rank").collect()
+    again = searching.search(searching.load(spark, str(tmp_path / "b")), asked, encoder, 4, ["topic", "keywords"])
+    assert once == again.orderBy("rank").collect() and len(once) == 4
+
+
+CASES = [
+    ("1", "n1", "m1", 19950101.0, "i" * 22 + ".", "s" * 25, "【주    문】" + "c" * 30 + "【이    유】" + "d" * 60 + " 주문과 같이 판결한다." + "주심"),
+    ("2", "n2", "m2", 19910101.0, "j" * 30, "short", "x"),
+    ("3", "n3", "m3", 19990101.0, "j" * 30, "t" * 40, "y"),
+    ("4", "n4", "m4", 19800101.0, "k" * 30, "u" * 40, "z"),
+    ("5", "n5", "m5", 19990101.0, None, "v" * 40, "z"),
+]
+
+
+def test_sentence_files(spark, tmp_path):
+    from topicloom.plans import corpora
+    from topicloom.sources.files import CASE_SCHEMA
+
+    cases = spark.createDataFrame(CASES, CASE_SCHEMA)
+    corpora.write_sentence_corpora(cases, str(tmp_path), sample=2)
+
+    def lines(name):
+        return [x for p in sorted((tmp_path / name).glob("part-*")) for x in p.read_text().splitlines()]
+
+    small = ["i" * 22, "j" * 30, "j" * 30, "k" * 30, "s" * 25, "t" * 40, "u" * 40, "v" * 40]
+    assert lines("small") == small
+    assert lines("sample") == small[:2]
+    assert lines("large")[:8] == small and len(lines("large")) == 9
+
+
+def test_nested_record_files(spark, tmp_path):
+    from topicloom.plans import corpora
+    from topicloom.sources.files import CASE_SCHEMA
+
+    corpora.write_nested_records(spark.createDataFrame(CASES, CASE_SCHEMA), str(tmp_path / "r"))
+    rows = spark.read.json(str(tmp_path / "r")).collect()
+    assert sorted(r["id"] for r in rows) == ["1", "2"]
+    full = {r["id"]: r["law_case"]["full_text"] for r in rows}
+    assert full["1"]["reasoning"].endswith("주문과 같이 판결한다.")

@@ -41,7 +41,7 @@ def test_flat_search_equals_brute_force(spark, data, metric, monkeypatch):
     queries = vector_table(spark, range(len(asked)), asked, "query_id")
     want = brute(docs.astype(float), ids.tolist(), asked.astype(float), 6, metric)
     assert by_query(S.search_flat(vectors, queries, 6, metric)) == want
-    monkeypatch.setattr(blocks.grid, "__defaults__", (31,))
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
     assert by_query(S.search_flat(vectors, queries, 6, metric, limit=0)) == want
 
 
@@ -53,7 +53,7 @@ def test_cells_with_all_probes_equal_flat(spark, data, monkeypatch):
     celled = S.assign_cells(vectors, centroids)
     flat = by_query(S.search_flat(vectors, queries, 4))
     assert by_query(S.search_cells(celled, centroids, queries, 4, 6)) == flat
-    monkeypatch.setattr(blocks.grid, "__defaults__", (50,))
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
     assert by_query(S.search_cells(celled, centroids, queries, 4, 6, limit=0)) == flat
 
 

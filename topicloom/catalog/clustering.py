@@ -218,6 +218,18 @@ def cluster_union(spark, folder):
     return C.union_clusters(old, new)
 
 
+@query(
+    "best_per_member",
+    f"""{WITH} {GREEDY} SELECT head_id, member_id, max(score) AS score FROM (
+        {TRIPLE} g UNION ALL SELECT head_id, member_id, round(score / 2, 6) FROM g) GROUP BY head_id, member_id""",
+)
+def best_per_member(spark, folder):
+    """Every cluster row is there twice, once with half its score."""
+    found = stage(greedy_clusters(spark, folder), "clusters")
+    lower = found.withColumn("score", F.round(F.col("score") / 2, 6))
+    return C.best_per_member(found.unionByName(lower))
+
+
 @query("unclustered", f"{WITH} {CREATED} SELECT id FROM {left_sql('c')}")
 def unclustered(spark, folder):
     return C.unclustered(vectors(spark, folder), stage(created(spark, folder), "clusters")).select("id")

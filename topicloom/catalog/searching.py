@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.catalog.keywords import KEYWORDS_SQL, source_keywords, tokens_sql
 from topicloom.catalog.registry import query, table
 from topicloom.catalog.texts import strip_sql
+from topicloom.functions import text as T
 from topicloom.functions import vectors as X
 from topicloom.functions.encoders import encode, hash_encoder
 from topicloom.operators import docvectors as D
@@ -114,6 +115,30 @@ def encode_hash(spark, folder):
     return _long(encode(_docs(spark, folder), ENCODER, "text"), "doc_id")
 
 
+@query(
+    "pool_words",
+    f"""WITH w AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS w FROM documents)),
+        s AS (SELECT doc_id, CAST(h % {DIM} AS INTEGER) AS pos, sum(CASE WHEN (h // {DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS c FROM w GROUP BY ALL),
+        n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+        x AS (SELECT doc_id, pos, CAST(CAST(c AS DOUBLE) / n AS FLOAT) AS x FROM s JOIN n USING (doc_id))
+        SELECT doc_id, pos, round(CAST(x AS DOUBLE), 6) AS value FROM x WHERE round(CAST(x AS DOUBLE), 6) <> 0""",
+)
+def pool_words(spark, folder):
+    """Mean of word vectors per text; the word table is made of all words of the texts."""
+    docs = _docs(spark, folder)
+    words = docs.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    words = stage(encode(words, ENCODER, "word"), "words")
+    return _long(D.pooled_vectors(docs, words, "doc_id", "text"), "doc_id")
+
+
+@query("pool_words_trained")
+def pool_words_trained(spark, folder):
+    """Word vectors learned from the texts; training is numeric, so there is no SQL."""
+    docs = _docs(spark, folder)
+    words = D.train_word_vectors(docs, "text", 16)
+    return _long(D.pooled_vectors(docs, words, "doc_id", "text"), "doc_id")
+
+
 SENTENCES_SQL = f"""
     parts AS (SELECT doc_id, string_split(text, '.') AS p FROM documents),
     sent AS (SELECT doc_id, i, len(p) AS n, {strip_sql('p[i]')} || '.' AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from topicloom.functions import kernels as K
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 65536
+BROADCAST_ROWS = 65536
+BLOCK_BYTES = 128 * 1024 * 1024
 
 
 @dataclass
@@ -26,11 +27,11 @@ class SmallSide:
 def fetch_small(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: int = BROADCAST_BYTES) -> SmallSide | None:
     """The side as arrays in id order when it is small, else None.
 
-    At most ``BLOCK_ROWS + 1`` rows leave the executors, and a side of more rows
+    At most ``BROADCAST_ROWS + 1`` rows leave the executors, and a side of more rows
     or more bytes than allowed is not used.
     """
-    table = df.select(id_col, vec_col, *extra).limit(BLOCK_ROWS + 1).toArrow()
-    if table.num_rows > BLOCK_ROWS:
+    table = df.select(id_col, vec_col, *extra).limit(BROADCAST_ROWS + 1).toArrow()
+    if table.num_rows > BROADCAST_ROWS:
         return None
     ids = table.column(id_col).to_numpy().astype(np.int64)
     order = np.argsort(ids, kind="stable")
@@ -41,16 +42,20 @@ def fetch_small(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: in
     return SmallSide(ids[order], rows, table.select(list(extra)))
 
 
-def grid(
-    big: DataFrame, big_id: str, small: DataFrame, small_id: str, run, schema: str, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+def _block_count(df: DataFrame) -> int:
+    """Blocks of about ``BLOCK_BYTES`` of float vectors in column ``vec``."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vec")).alias("dim")).first()
+    return max(1, math.ceil(size["rows"] * 4 * (size["dim"] or 1) / BLOCK_BYTES))
+
+
+def grid(big: DataFrame, big_id: str, small: DataFrame, small_id: str, run, schema: str) -> DataFrame:
     """Run ``run(big block, small block)`` on every cell of a grid of bounded blocks.
 
     Blocks come from a hash of the unique ids, so no value can make one hot.
-    Either side is copied once per block of the other side.
+    Either side is copied once per block of the other side, which is why blocks
+    are as large as a task can hold.
     """
-    big_blocks = max(1, math.ceil(big.count() / block_rows))
-    small_blocks = max(1, math.ceil(small.count() / block_rows))
+    big_blocks, small_blocks = _block_count(big), _block_count(small)
 
     def cells(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(F.lit(own), key), F.lit(count))).withColumn(

@@ -129,6 +129,11 @@ def topic_numbers(clusters: DataFrame) -> DataFrame:
     return numbered.select("head_id", "size", F.col("topic").cast("int").alias("topic"))
 
 
+def best_per_member(clusters: DataFrame) -> DataFrame:
+    """One row per head and member, the one with the highest score."""
+    return clusters.groupBy("head_id", "member_id").agg(F.max("score").alias("score"))
+
+
 def remove_overlap(clusters: DataFrame) -> DataFrame:
     """Each member stays in its largest cluster, equal sizes by lower head."""
     sized = clusters.join(cluster_sizes(clusters), "head_id")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -85,6 +86,34 @@ def mean_pool(df: DataFrame, keys: list[str], vec_col: str, out: str = "vec") ->
     return df.where(F.col(vec_col).isNotNull()).groupBy(*keys).agg(vector_to_array(mean).alias(out))
 
 
+def pooled_vectors(
+    docs: DataFrame, words: DataFrame, id_col: str, text_col: str, word_col: str = "word", word_vec: str = "vec", out: str = "vec"
+) -> DataFrame:
+    """``(id, vec)``: mean of the word vectors of each text, as a token model with mean pooling gives.
+
+    Words are counted per text first, so a frequent word joins once per text; a
+    small word table is broadcast, and the adaptive skew join splits a frequent
+    word otherwise.  Texts without any known word are left out.
+    """
+    counts = (
+        docs.select(F.col(id_col), F.explode(T.tokens(F.col(text_col))).alias("_word")).groupBy(id_col, "_word")
+        .agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    )
+    joined = counts.join(words.select(F.col(word_col).alias("_word"), F.col(word_vec).alias("_vec")), "_word")
+    mean = Summarizer.mean(array_to_vector(F.col("_vec")), F.col("_n"))
+    return joined.groupBy(id_col).agg(vector_to_array(mean, "float32").alias(out))
+
+
+def train_word_vectors(docs: DataFrame, text_col: str, dim: int, seed: int = 7, min_count: int = 5, partitions: int = 8) -> DataFrame:
+    """``(word, vec)`` learned by Word2Vec from the texts themselves."""
+    listed = docs.select(T.tokens(F.col(text_col)).alias("words"))
+    learner = Word2Vec(
+        vectorSize=dim, seed=seed, minCount=min_count, numPartitions=partitions, inputCol="words", outputCol="_"
+    )
+    found = learner.fit(listed).getVectors()
+    return found.select("word", vector_to_array("vector", "float32").alias("vec"))
+
+
 def keyword_vectors(topics: DataFrame, encoder: Encoder, keywords_col: str, out: str = "key_vec") -> DataFrame:
     """One vector per topic from its joined keyword list."""
     words = topics.withColumn("_words", T.keywords_text(F.col(keywords_col)))

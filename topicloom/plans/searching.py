@@ -66,5 +66,15 @@ def search(
     return S.attach_documents(hits, built.docs, columns, id_col)
 
 
+def save(built: Built, folder: str, mode: str = "errorifexists") -> None:
+    """Keep the stage tables, so that a later session can search without clustering again."""
+    for name in ("docs", "vectors", "clusters"):
+        getattr(built, name).write.mode(mode).parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> Built:
+    return Built(*[spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in ("docs", "vectors", "clusters")])
+
+
 def index_path(spark: SparkSession) -> str:
     return stage_path(spark, "index")
