@@ -168,7 +168,10 @@ def test_union_keeps_old_and_overlap_goes_to_the_larger(spark):
 def test_head_expansion_takes_in_members_of_old_heads(spark):
     grouped = spark.createDataFrame([(1, 1, 1.0), (1, 4, 0.9), (1, 6, 0.9)], K.CLUSTER_SCHEMA)
     old = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.9), (4, 4, 1.0), (4, 5, 0.9)], K.CLUSTER_SCHEMA)
-    assert as_sets(C.expand_heads(grouped, old)) == {1: {1, 2, 4, 5, 6}}
+    known, moved = C.expand_heads(grouped, old)
+    assert as_sets(known) == {1: {1, 2, 4, 6}}
+    assert as_sets(moved) == {1: {5}}
+    assert {r["member_id"]: r["score"] for r in known.collect()} == {1: 1.0, 4: 0.9, 6: 0.9, 2: 0.9}
 
 
 def test_nearest_head_grid_equals_broadcast(spark, monkeypatch):

@@ -176,19 +176,31 @@ def union_clusters(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def expand_heads(grouped: DataFrame, old: DataFrame) -> DataFrame:
-    """Clusters of heads turned into clusters of the heads' members: ``(head_id, member_id)``.
+def heads_of(clusters: DataFrame, id_col: str = "id") -> DataFrame:
+    """Head ids of clusters that hold their own head, found without a shuffle."""
+    return clusters.where("head_id = member_id").select(F.col("head_id").alias(id_col))
 
-    A head without an old cluster stays as a member.  An old cluster with a third
-    of all rows is one key here; the small head table is broadcast, or the
-    adaptive skew join splits that key.
+
+def expand_heads(grouped: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters of heads turned into clusters of the heads' members, as two cluster tables.
+
+    The first table has rows whose score against the new head is known: the
+    heads themselves, and members of an old head that leads the new cluster.  The
+    second has the members that moved to another head, with a null score.  An old
+    cluster with a third of all rows is one key here; the small head table is
+    broadcast, or the adaptive skew join splits that key.
     """
-    direct = grouped.select("head_id", "member_id")
+    direct = grouped.select(*CLUSTER_COLUMNS)
+    lead = grouped.select(F.col("head_id").alias("_new"), F.col("member_id").alias("_old"))
     inner = old.where(F.col("member_id") != F.col("head_id")).select(
-        F.col("head_id").alias("_old"), F.col("member_id").alias("_member")
+        F.col("head_id").alias("_old"), "member_id", "score"
+    )
+    reached = inner.join(lead, "_old")
+    stayed = reached.where(F.col("_new") == F.col("_old")).select(F.col("_new").alias("head_id"), "member_id", "score")
+    moved = reached.where(F.col("_new") != F.col("_old")).select(
+        F.col("_new").alias("head_id"), "member_id", F.lit(None).cast("double").alias("score")
     )
-    reached = inner.join(direct, F.col("_old") == F.col("member_id")).select("head_id", F.col("_member").alias("member_id"))
-    return direct.unionByName(reached)
+    return direct.unionByName(stayed), moved
 
 
 def refilter(
@@ -303,8 +315,10 @@ def create_clusters(
     paged = balanced_pages(subset, id_col, page_size, seed, rows)
     if old is None:
         return greedy_clusters(paged, threshold, min_size, id_col, vec_col, strict=True)
-    fresh = greedy_clusters(paged, threshold, min_size, id_col, vec_col)
-    kept = refilter(expand_heads(fresh, old), vectors, threshold, id_col, vec_col)
+    fresh = stage_table(greedy_clusters(paged, threshold, min_size, id_col, vec_col), "fresh")
+    known, moved = expand_heads(fresh, old)
+    # Only members under another head need their vectors again.
+    kept = known.where(F.col("score") > threshold).unionByName(refilter(moved, vectors, threshold, id_col, vec_col))
     if min_size <= 1:
         return kept
     return keep_large(stage_table(kept, "kept"), min_size)

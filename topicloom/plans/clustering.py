@@ -34,6 +34,8 @@ def merge_heads(
 ) -> DataFrame:
     """Cluster the heads, take in their members, keep clusters of two or more.
 
+    Every cluster must hold its own head.
+
     Repeats while there were at least ``merge_page`` heads and their number fell.
     The last result is cut to clusters of at least ``smallest`` members.
     """
@@ -43,7 +45,7 @@ def merge_heads(
     turn = 0
     while True:
         turn += 1
-        heads = merged.select(F.col("head_id").alias(id_col)).distinct()
+        heads = C.heads_of(merged, id_col)
         count = heads.count()
         if count == 0 or count == before:
             return C.keep_large(merged, smallest)
@@ -78,17 +80,19 @@ def iterative_clusters(
     pieces = [C.no_clusters(vectors.sparkSession)]
     left = vectors
 
-    def take_in(new: DataFrame, head_source: DataFrame) -> DataFrame:
+    def take_in(new: DataFrame, head_vectors: DataFrame) -> DataFrame:
         """Record new clusters, give left-over rows to their heads; returns what is still left."""
-        heads = new.select(F.col("head_id").alias(id_col)).distinct()
-        head_vectors = head_source.join(heads, id_col, "left_semi")
-        rest = C.unclustered(left, new, id_col)
+        rest = left.join(new.select(F.col("member_id").alias(id_col)), id_col, "left_anti")
         gained = stage(C.assign_nearest(rest, head_vectors, settings.threshold, id_col, vec_col), "gained")
         pieces.extend([new, gained])
-        return stage(C.unclustered(left, new.unionByName(gained), id_col), "left")
+        taken = new.unionByName(gained).select(F.col("member_id").alias(id_col))
+        return stage(left.join(taken, id_col, "left_anti"), "left")
 
     if clusters is not None:
-        left = take_in(stage(clusters.select(*C.CLUSTER_COLUMNS), "given"), vectors)
+        given = stage(clusters.select(*C.CLUSTER_COLUMNS), "given")
+        heads = given.select(F.col("head_id").alias(id_col)).distinct()
+        left = C.unclustered(vectors, given, id_col)
+        left = take_in(given, vectors.join(heads, id_col, "left_semi"))
     for turn in range(settings.iterations):
         left_count = left.count()
         if left_count == 0:
@@ -104,7 +108,7 @@ def iterative_clusters(
             if left_count <= settings.page_size:
                 break
             continue
-        left = take_in(new, left)
+        left = take_in(new, left.join(C.heads_of(new, id_col), id_col, "left_semi"))
     return reduce(DataFrame.unionByName, pieces), left.select(id_col)
 
 
