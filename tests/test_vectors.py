@@ -38,7 +38,7 @@ def test_softmax_of_large_scores(spark):
 
 def test_constant_fold_column_and_kernel_agree(spark):
     df = spark.createDataFrame([([[4.0], [2.0], [1.0]],)], "v array<array<float>>")
-    assert df.select(X.constant_gate_fold(F.col("v"), 1).alias("r")).first()["r"] == [2.0]
+    assert df.select(X.constant_gate_fold(F.col("v")).alias("r")).first()["r"] == [2.0]
     folded = K.fold_rows(np.array([[4.0], [2.0], [1.0], [5.0]]), np.array([3, 0, 1]), D.Gate(0.5).step())
     assert folded.tolist() == [[2.0], [0.0], [5.0]]
 

@@ -8,6 +8,7 @@ from topicloom.catalog.registry import query, table
 from topicloom.catalog.texts import LATIN_KEEP, clean_corpus_sql, clean_record_sql, section_sql
 from topicloom.functions import text as T
 from topicloom.operators import corpus
+from topicloom.plans import corpora as plans
 from topicloom.sources import files
 from topicloom.staging import spread, stage_path
 
@@ -57,6 +58,31 @@ def corpus_sample(spark, folder):
     return corpus.corpus_sample(_sentences(spark, folder).where("field_no < 2"))
 
 
+@query(
+    "corpus_files",
+    f"""WITH {PIECES_SQL},
+        lines AS (SELECT 'small' AS file, sentence FROM corpus WHERE field_no < 2
+                  UNION ALL SELECT 'large', sentence FROM corpus
+                  UNION ALL SELECT 'sample', sentence FROM (
+                      SELECT sentence FROM corpus WHERE field_no < 2 ORDER BY field_no, doc_id, pos LIMIT 1000))
+        SELECT file, sentence, count(*) AS n FROM lines GROUP BY file, sentence""",
+)
+def corpus_files(spark, folder):
+    """The three line files, read back and counted; sample is the first 1000 lines of small."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    cases = docs.select(
+        "doc_id", T.joined_sections(F.col("text"), (FIRST_LINE,)).alias("judgment_issue"),
+        F.col("text").alias("judgment_summary"), F.col("text").alias("judgment_contents"),
+    )
+    path = stage_path(spark, "corpora")
+    plans.write_sentence_corpora(cases, path, "doc_id", sections=(FIRST_LINE, INNER_LINE))
+    parts = [
+        spark.read.text(f"{path}/{name}").select(F.lit(name).alias("file"), F.col("value").alias("sentence"))
+        for name in ("small", "large", "sample")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("file", "sentence").agg(F.count(F.lit(1)).alias("n"))
+
+
 RULING = ((FIRST_LINE, "", 0),)
 REASONING = ((INNER_LINE, " end", 0), (FIRST_LINE, "", 8))
 

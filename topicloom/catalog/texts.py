@@ -88,23 +88,32 @@ def src_xml_list(spark, folder):
 
 @query(
     "src_xml_detail",
-    rf"""WITH p AS (SELECT page_id, coalesce({strip_sql("regexp_extract(html, '<title>(.+?)</title>', 1)")}, '') AS t FROM pages),
-            q AS (SELECT page_id, regexp_replace(t, '[&<>]', ' ', 'g') AS t FROM p)
+    rf"""WITH p AS (SELECT page_id, url, coalesce({strip_sql("regexp_extract(html, '<title>(.+?)</title>', 1)")}, '') AS t FROM pages),
+            q AS (SELECT page_id, url, regexp_replace(t, '[&<>]', ' ', 'g') AS t FROM p)
        SELECT page_id, nullif({strip_sql('t')}, '') AS issue, CAST(NULL AS VARCHAR) AS summary,
-              CASE WHEN page_id % 2 = 0 THEN 'page ' || page_id END AS contents
+              CASE WHEN url LIKE 'https%' THEN 'page ' || page_id END AS contents
        FROM q""",
 )
 def src_xml_detail(spark, folder):
     title = F.regexp_replace(F.regexp_extract("html", "<title>(.+?)</title>", 1), "[&<>]", " ")
     payload = F.concat(
         F.lit("<case><issue>"), title, F.lit("</issue><summary></summary><contents>"),
-        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("page "), F.col("page_id"))).otherwise(F.lit("")),
+        F.when(F.col("url").startswith("https"), F.concat(F.lit("page "), F.col("page_id"))).otherwise(F.lit("")),
         F.lit("</contents></case>"),
     )
     pages = table(spark, folder, "pages").select("page_id", payload.alias("payload"))
     return files.xml_detail(pages, "payload", {"issue": "issue", "summary": "summary", "contents": "contents"})
 
 
+@query("src_word_list", r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM benchmark")
+def src_word_list(spark, folder):
+    """Words with repeats, blanks and carriage returns are written as lines, then scanned."""
+    words = table(spark, folder, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    path = stage_path(spark, "words")
+    files.write_lines(words.select(F.concat(F.lit(" "), "word", F.lit(" \r"))), path)
+    return files.read_word_list(spark, path)
+
+
 # ---------------------------------------------------------------- rows
 
 

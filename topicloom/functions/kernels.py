@@ -150,20 +150,25 @@ class TopK:
         self.k = k
         self.ids = [np.array([], np.int64) for _ in range(queries)]
         self.values = [np.array([]) for _ in range(queries)]
+        self.worst = np.full(queries, np.inf)
 
     def add(self, which: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
         """``values`` has one row per query index in ``which``, one column per id."""
-        for slot, row in zip(which, values):
+        near = values <= (self.worst[which] + 2 * HALF_UNIT)[:, None]
+        for at in np.flatnonzero(near.any(axis=1)):
+            slot = which[at]
+            keep = np.flatnonzero(near[at])
+            row = values[at, keep]
             if len(row) > self.k:
                 cut = np.partition(row, self.k - 1)[self.k - 1]
-                keep = np.flatnonzero(row <= cut + 2 * HALF_UNIT)
-                row, row_ids = row[keep], ids[keep]
-            else:
-                row_ids = ids
-            all_ids = np.concatenate([self.ids[slot], row_ids])
+                closest = row <= cut + 2 * HALF_UNIT
+                row, keep = row[closest], keep[closest]
+            all_ids = np.concatenate([self.ids[slot], ids[keep]])
             all_values = np.concatenate([self.values[slot], np.round(row, ROUND)])
             best = np.lexsort((all_ids, all_values))[: self.k]
             self.ids[slot], self.values[slot] = all_ids[best], all_values[best]
+            if len(best) == self.k:
+                self.worst[slot] = all_values[best[-1]]
 
     def table(self, query_ids: np.ndarray, metric: str) -> pa.RecordBatch:
         counts = [len(i) for i in self.ids]

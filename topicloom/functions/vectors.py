@@ -65,7 +65,7 @@ def softmax(scores: Column) -> Column:
     return let(raised, lambda r: let(_total(r), lambda total: F.transform(r, lambda e: e / total)))
 
 
-def constant_gate_fold(vectors: Column, dim: int, gate: float = 0.5) -> Column:
+def constant_gate_fold(vectors: Column, gate: float = 0.5) -> Column:
     """Ordered fold ``gate * sum so far + (1 - gate) * next`` over an array of vectors."""
     first = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double"))
     rest = F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import kernels as K
 from topicloom.functions.encoders import arrow_once
 from topicloom.operators import blocks
-from topicloom.operators.paging import balanced_pages
+from topicloom.operators.paging import balanced_pages, page_count
 from topicloom.staging import ordered_index
 from topicloom.staging import stage as stage_table
 
@@ -204,12 +204,24 @@ def expand_heads(grouped: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def refilter(
-    clusters: DataFrame, vectors: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec"
+    clusters: DataFrame,
+    vectors: DataFrame,
+    threshold: float,
+    id_col: str = "id",
+    vec_col: str = "vec",
+    head_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Members whose cosine to their head is strictly above the threshold, with that score."""
+    """Members whose cosine to their head is strictly above the threshold, with that score.
+
+    ``head_vectors`` may name a smaller table that holds all heads.
+    """
+    vectors = vectors.where(F.col(vec_col).isNotNull())
     own = vectors.select(F.col(id_col).alias("member_id"), F.col(vec_col).alias("_member_vec"))
-    head = vectors.select(F.col(id_col).alias("head_id"), F.col(vec_col).alias("_head_vec"))
-    heads = head.join(clusters.select("head_id").distinct(), "head_id", "left_semi")
+    heads = (vectors if head_vectors is None else head_vectors.where(F.col(vec_col).isNotNull())).select(
+        F.col(id_col).alias("head_id"), F.col(vec_col).alias("_head_vec")
+    )
+    if head_vectors is None:
+        heads = heads.join(clusters.select("head_id").distinct(), "head_id", "left_semi")
     paired = clusters.select("head_id", "member_id").join(own, "member_id").join(heads, "head_id")
     scored = paired.withColumn("score", pair_cosine(F.col("_head_vec"), F.col("_member_vec")))
     return scored.where(F.col("score") > threshold).select(*CLUSTER_COLUMNS)
@@ -312,18 +324,28 @@ def create_clusters(
     vectors of all its members.  Pages share no rows and clusters of ``old`` share
     none either, so the result has no overlap to remove.
     """
+    rows = subset.count() if rows is None else rows
     paged = balanced_pages(subset, id_col, page_size, seed, rows)
+    # Pages are few bytes but much work; a given number of partitions is not coalesced.
+    paged = paged.repartition(_page_tasks(subset.sparkSession, page_count(rows, page_size)), "page")
     if old is None:
         return greedy_clusters(paged, threshold, min_size, id_col, vec_col, strict=True)
     fresh = stage_table(greedy_clusters(paged, threshold, min_size, id_col, vec_col), "fresh")
     known, moved = expand_heads(fresh, old)
     # Only members under another head need their vectors again.
-    kept = known.where(F.col("score") > threshold).unionByName(refilter(moved, vectors, threshold, id_col, vec_col))
+    kept = known.where(F.col("score") > threshold).unionByName(
+        refilter(moved, vectors, threshold, id_col, vec_col, subset)
+    )
     if min_size <= 1:
         return kept
     return keep_large(stage_table(kept, "kept"), min_size)
 
 
+def _page_tasks(spark: SparkSession, pages: int) -> int:
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return max(1, min(pages, most))
+
+
 def stack(
     docs: DataFrame, clusters: DataFrame, columns: list[str], id_col: str = "doc_id", topics: DataFrame | None = None
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,9 @@ from topicloom.sources import files
 from topicloom.staging import stage
 
 
-def write_sentence_corpora(cases: DataFrame, folder: str, id_col: str = "case_id", sample: int = 1000) -> None:
+def write_sentence_corpora(
+    cases: DataFrame, folder: str, id_col: str = "case_id", sample: int = 1000, sections: Sequence[str] = V.CORPUS_SECTIONS
+) -> None:
     """Three line files: issues and summaries (small), these and contents (large), first lines of small.
 
     Lines keep corpus order across the part files: field, then row, then position.
@@ -25,7 +27,7 @@ def write_sentence_corpora(cases: DataFrame, folder: str, id_col: str = "case_id
         {
             "issue": F.col("judgment_issue"),
             "summary": F.col("judgment_summary"),
-            "contents": T.joined_sections(F.col("judgment_contents")),
+            "contents": T.joined_sections(F.col("judgment_contents"), sections),
         },
     )
     lines = stage(lines, "lines")
