@@ -51,6 +51,17 @@ def test_dense_gate_equals_constant_gate_when_saturated_at_half():
     assert np.allclose(a, b)
 
 
+def test_dense_gate_mixes_slots():
+    rng = np.random.default_rng(2)
+    weight, bias, rows = rng.normal(size=(3, 6)), rng.normal(size=3), rng.normal(size=(4, 3))
+    want = rows[0]
+    for nxt in rows[1:]:
+        gate = [1 / (1 + math.exp(-(weight[i] @ np.concatenate([want, nxt]) + bias[i]))) for i in range(3)]
+        want = np.array([g * a + (1 - g) * b for g, a, b in zip(gate, want, nxt)])
+    folded = K.fold_rows(rows, np.array([4]), D.Gate(weight=weight, bias=bias).step())
+    assert np.allclose(folded[0], want)
+
+
 def test_matrix_reads_sliced_arrays():
     column = pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], pa.list_(pa.float32()))
     assert K.matrix(column.slice(1, 2)).tolist() == [[3.0, 4.0], [5.0, 6.0]]

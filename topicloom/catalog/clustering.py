@@ -28,6 +28,8 @@ def vectors(spark, folder):
 
 # ---------------------------------------------------------------- SQL building blocks
 
+# A zero vector has cosine 0 here, but no number in DuckDB.
+COSINE = "round(coalesce(nullif(list_cosine_similarity(a.vec, b.vec), 'NaN'::DOUBLE), 0.0), 6)"
 VECTORS_SQL = "v AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
 
 
@@ -44,9 +46,9 @@ def pages_sql(name: str, ids: str, size: int, seed: str) -> str:
 def candidates_sql(name: str, pages: str, threshold: float) -> str:
     return f"""
     {name} AS MATERIALIZED (
-        SELECT p.page, p.id AS h, q.id AS m, round(list_cosine_similarity(a.vec, b.vec), 6) AS s
+        SELECT p.page, p.id AS h, q.id AS m, {COSINE} AS s
         FROM {pages} p JOIN {pages} q ON p.page = q.page JOIN v a ON a.id = p.id JOIN v b ON b.id = q.id
-        WHERE round(list_cosine_similarity(a.vec, b.vec), 6) >= {threshold})"""
+        WHERE {COSINE} >= {threshold})"""
 
 
 def greedy_sql(name: str, pages: str, threshold: float, smallest: int) -> str:
@@ -73,35 +75,37 @@ def large_sql(source: str, smallest: int, where: str = "true") -> str:
 
 
 def refilter_sql(source: str, threshold: float) -> str:
-    return f"""(SELECT * FROM (SELECT c.head_id, c.member_id, round(list_cosine_similarity(a.vec, b.vec), 6) AS score
+    return f"""(SELECT * FROM (SELECT c.head_id, c.member_id, {COSINE} AS score
         FROM {source} c JOIN v a ON a.id = c.head_id JOIN v b ON b.id = c.member_id) WHERE score > {threshold})"""
 
 
 def nearest_sql(ids: str, heads: str, threshold: float) -> str:
     return f"""(SELECT head_id, member_id, score FROM (
-        SELECT h.id AS head_id, i.id AS member_id, round(list_cosine_similarity(a.vec, b.vec), 6) AS score,
-               row_number() OVER (PARTITION BY i.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, h.id) AS r
+        SELECT h.id AS head_id, i.id AS member_id, {COSINE} AS score,
+               row_number() OVER (PARTITION BY i.id ORDER BY {COSINE} DESC, h.id) AS r
         FROM {ids} i CROSS JOIN (SELECT DISTINCT head_id AS id FROM {heads}) h
         JOIN v a ON a.id = h.id JOIN v b ON b.id = i.id) WHERE r = 1 AND score >= {threshold})"""
 
 
-def created_sql(name: str, ids: str, seed: str, size: int = PAGE, smallest: int = SMALLEST) -> str:
+def created_sql(
+    name: str, ids: str, seed: str, size: int = PAGE, smallest: int = SMALLEST, threshold: float = NEAR
+) -> str:
     return f"""
     {pages_sql(name + '_page', ids, size, seed)},
-    {greedy_sql(name + '_raw', name + '_page', NEAR, smallest)},
-    {name} AS MATERIALIZED {large_sql(name + '_raw', smallest, f'score > {NEAR}')}"""
+    {greedy_sql(name + '_raw', name + '_page', threshold, smallest)},
+    {name} AS MATERIALIZED {large_sql(name + '_raw', smallest, f'score > {threshold}')}"""
 
 
-def merged_sql(name: str, source: str, seed: str) -> str:
+def merged_sql(name: str, source: str, seed: str, threshold: float = NEAR) -> str:
     """Heads of ``source`` clustered in one page, members taken in, kept from two members on."""
     return f"""
     {name}_heads AS MATERIALIZED (SELECT DISTINCT head_id AS id FROM {source}),
     {pages_sql(name + '_page', name + '_heads', 20000, seed)},
-    {greedy_sql(name + '_raw', name + '_page', NEAR, 1)},
+    {greedy_sql(name + '_raw', name + '_page', threshold, 1)},
     {name}_wide AS MATERIALIZED (
         SELECT head_id, member_id FROM {name}_raw
         UNION SELECT g.head_id, o.member_id FROM {name}_raw g JOIN {source} o ON o.head_id = g.member_id),
-    {name}_tight AS MATERIALIZED {refilter_sql(name + '_wide', NEAR)},
+    {name}_tight AS MATERIALIZED {refilter_sql(name + '_wide', threshold)},
     {name} AS MATERIALIZED {large_sql(name + '_tight', 2)}"""
 
 
@@ -265,23 +269,24 @@ def merge_heads(spark, folder):
     return plan.merge_heads(found, vectors(spark, folder), SETTINGS, "0/0")
 
 
-def _loop_sql(rounds: int) -> str:
-    """The loop written out: create, merge, keep large, assign; once per round."""
-    steps = [VECTORS_SQL, "f0 AS MATERIALIZED (SELECT 0::BIGINT AS head_id, 0::BIGINT AS member_id, 0.0::DOUBLE AS score WHERE false)"]
-    for turn in range(rounds):
-        c, m = f"c{turn}", f"m{turn}"
+def loop_sql(settings: plan.Settings) -> str:
+    """The loop over ``v(id, vec)`` written out: create, merge, keep large, assign; the result is ``found``."""
+    near, smallest = settings.threshold, settings.min_size
+    steps = ["f0 AS MATERIALIZED (SELECT 0::BIGINT AS head_id, 0::BIGINT AS member_id, 0.0::DOUBLE AS score WHERE false)"]
+    for turn in range(settings.iterations):
+        c, m, seed = f"c{turn}", f"m{turn}", f"{settings.seed}/{turn}"
         steps += [
             f"l{turn} AS MATERIALIZED {left_sql(f'f{turn}')}",
-            created_sql(c, f"l{turn}", f"0/{turn}"),
-            merged_sql(m, c, f"0/{turn}/m1"),
-            f"n{turn} AS MATERIALIZED {large_sql(m, SMALLEST)}",
+            created_sql(c, f"l{turn}", seed, settings.page_size, smallest, near),
+            merged_sql(m, c, f"{seed}/m1", near),
+            f"n{turn} AS MATERIALIZED {large_sql(m, smallest)}",
             f"u{turn} AS MATERIALIZED ({TRIPLE} f{turn} UNION ALL {TRIPLE} n{turn})",
             f"r{turn} AS MATERIALIZED {left_sql(f'u{turn}')}",
-            f"f{turn + 1} AS MATERIALIZED ({TRIPLE} u{turn} UNION ALL SELECT * FROM {nearest_sql(f'r{turn}', f'u{turn}', NEAR)})",
+            f"f{turn + 1} AS MATERIALIZED ({TRIPLE} u{turn} UNION ALL SELECT * FROM {nearest_sql(f'r{turn}', f'u{turn}', near)})",
         ]
-    return f"{WITH} {', '.join(steps)} {TRIPLE} f{rounds}"
+    return f"{', '.join(steps)}, found AS MATERIALIZED ({TRIPLE} f{settings.iterations})"
 
 
-@query("iterative_clusters", _loop_sql(SETTINGS.iterations))
+@query("iterative_clusters", f"{WITH} {VECTORS_SQL}, {loop_sql(SETTINGS)} {TRIPLE} found")
 def iterative_clusters(spark, folder):
     return plan.iterative_clusters(vectors(spark, folder), SETTINGS)[0]

@@ -16,10 +16,10 @@ def tokens_sql(text: str) -> str:
     return rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 
-def counts_sql(topic: str) -> str:
+def counts_sql(topic: str, source: str = "documents", where: str = f"term NOT IN ({STOP_SQL})") -> str:
     return f"""
-    words AS (SELECT {topic} AS topic, unnest({tokens_sql('text')}) AS term FROM documents),
-    counts AS (SELECT topic, term, count(*) AS n FROM words WHERE term NOT IN ({STOP_SQL}) GROUP BY topic, term),
+    words AS (SELECT {topic} AS topic, unnest({tokens_sql('text')}) AS term FROM {source}),
+    counts AS (SELECT topic, term, count(*) AS n FROM words WHERE {where} GROUP BY topic, term),
     per_topic AS (SELECT topic, sum(n) AS w FROM counts GROUP BY topic),
     per_term AS (SELECT term, sum(n) AS sum_t FROM counts GROUP BY term),
     scored AS (SELECT c.topic, c.term, c.n, c.n / p.w AS tf, ln((SELECT count(*) FROM documents) / s.sum_t) AS idf

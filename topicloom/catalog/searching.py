@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from topicloom.catalog.keywords import KEYWORDS_SQL, source_keywords, tokens_sql
+from topicloom.catalog.clustering import WITH, loop_sql
+from topicloom.catalog.keywords import KEYWORDS_SQL, counts_sql, source_keywords, tokens_sql
 from topicloom.catalog.registry import query, table
 from topicloom.catalog.texts import strip_sql
 from topicloom.functions import text as T
@@ -156,9 +157,21 @@ def split_merge(spark, folder):
     return _long(D.split_merge(_docs(spark, folder), ENCODER, "text"), "doc_id")
 
 
-@query("split_merge_gated")
+GATE_SQL = "(1.0 / (1.0 + exp(-(a - 0.5 * b + 0.1))))"
+
+
+@query(
+    "split_merge_gated",
+    f"""WITH {SENTENCES_SQL},
+        dense AS (SELECT s.doc_id, s.i, p.pos, coalesce(v.x, 0.0) AS x
+                  FROM sent s CROSS JOIN (SELECT CAST(unnest(range(0, {DIM})) AS INTEGER) AS pos) p
+                  LEFT JOIN sv v ON v.doc_id = s.doc_id AND v.i = s.i AND v.pos = p.pos),
+        runs AS (SELECT doc_id, pos, list(x ORDER BY i) AS xs FROM dense GROUP BY doc_id, pos),
+        folded AS (SELECT doc_id, pos, list_reduce(xs, lambda a, b: {GATE_SQL} * a + (1.0 - {GATE_SQL}) * b) AS x FROM runs)
+        SELECT doc_id, pos, round({AS_FLOAT}, 6) AS value FROM folded WHERE round({AS_FLOAT}, 6) <> 0""",
+)
 def split_merge_gated(spark, folder):
-    """A dense sigmoid gate with given weights; a recursion over vectors has no plain SQL."""
+    """A dense sigmoid gate; its weights act on each slot alone, so SQL can fold slot by slot."""
     eye = np.eye(DIM)
     gate = D.Gate(weight=np.concatenate([eye, -0.5 * eye], axis=1), bias=np.full(DIM, 0.1))
     return _long(D.split_merge(_docs(spark, folder), ENCODER, "text", gate), "doc_id")
@@ -279,11 +292,35 @@ def search_ivf_trained(spark, folder):
 # ---------------------------------------------------------------- the whole way
 
 
-@query("e2e_search")
+E2E = plan.Settings(threshold=0.8, min_size=3, page_size=1000, iterations=3)
+
+
+@query(
+    "e2e_search",
+    f"""{WITH} {HITS_SQL}, v AS MATERIALIZED (SELECT doc_id AS id, vec FROM dv), {loop_sql(E2E)},
+        numbers AS (SELECT head_id, CAST(row_number() OVER (ORDER BY count(*) DESC, head_id) - 1 AS INTEGER) AS topic FROM found GROUP BY head_id),
+        stacked AS MATERIALIZED (
+            SELECT d.doc_id, d.text, d.lang, d.source, coalesce(n.topic, -1) AS topic
+            FROM documents d LEFT JOIN found f ON f.member_id = d.doc_id LEFT JOIN numbers n ON n.head_id = f.head_id),
+        {counts_sql('topic', 'stacked', 'true')},
+        keys AS MATERIALIZED (
+            SELECT t.topic, coalesce(string_agg(term, ', ' ORDER BY rank), '') AS keywords
+            FROM (SELECT DISTINCT topic FROM stacked) t LEFT JOIN (SELECT * FROM ranked WHERE rank <= 10) r ON r.topic = t.topic GROUP BY t.topic),
+        key_text AS (SELECT topic, replace(keywords, ', ', ' ') AS text FROM keys),
+        {hashed_sql('kv', 'key_text', 'topic')},
+        {SENTENCES_SQL},
+        mixed AS (SELECT doc_id, pos, sum(x) AS x FROM (
+            SELECT d.doc_id, k.pos, {AS_FLOAT} * 0.25 AS x FROM stacked d JOIN kv k ON k.topic = d.topic
+            UNION ALL SELECT doc_id, pos, {AS_FLOAT} * 0.75 FROM merged) GROUP BY doc_id, pos),
+        {dense_sql('fv', 'mixed', 'doc_id', 'documents')},
+        s AS (SELECT b.item_id AS query_id, d.doc_id, {l2_sql('b.vec', 'd.vec')} AS score FROM bv b CROSS JOIN fv d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s)
+        SELECT query_id, CAST(r.rank AS INTEGER) AS rank, r.doc_id, r.score, d.topic, k.keywords, d.lang, d.source
+        FROM r JOIN stacked d ON d.doc_id = r.doc_id JOIN keys k ON k.topic = d.topic WHERE r.rank <= 5""",
+)
 def e2e_search(spark, folder):
-    """Documents to clusters, keywords, blended vectors and ranked hits; every stage has its own SQL above."""
+    """Documents to clusters, keywords, merged and blended vectors, and ranked hits for all benchmark texts."""
     docs = _docs(spark, folder, "lang", "source")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    settings = plan.Settings(threshold=0.8, min_size=3, page_size=1000, iterations=3)
-    built = pipeline.build(docs, ENCODER, "text", ["doc_id", "text", "lang", "source"], settings, n_keywords=10)
+    built = pipeline.build(docs, ENCODER, "text", ["doc_id", "text", "lang", "source"], E2E, n_keywords=10)
     return pipeline.search(built, asked, ENCODER, 5, ["topic", "keywords", "lang", "source"])

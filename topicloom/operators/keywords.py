@@ -105,7 +105,9 @@ def class_tf_idf(counts: DataFrame, documents: DataFrame | Column) -> DataFrame:
     m = documents.agg(F.count(F.lit(1)).alias("m")).scalar() if isinstance(documents, DataFrame) else documents
     per_topic = counts.groupBy("topic").agg(F.sum("n").alias("w"))
     per_term = counts.groupBy("term").agg(F.sum("n").alias("sum_t"))
-    joined = counts.join(per_term, "term").join(per_topic, "topic")
+    # One row per term makes even, small hash tables, so neither side is sorted;
+    # a term of all topics is on the probe side, where the adaptive join can split it.
+    joined = counts.join(per_term.hint("shuffle_hash"), "term").join(per_topic, "topic")
     return joined.select(
         "topic", "term", "n",
         (F.col("n") / F.col("w")).alias("tf"),
