@@ -118,6 +118,15 @@ def test_loop_invariants_and_warm_start(spark):
     assert shares["clustered"] + left.count() == shares["total"] == 400
 
 
+def test_loop_on_hash_pages(spark):
+    vectors = vector_table(spark, range(200), random_vectors(7, 200, 8, groups=10))
+    found, left = plan.iterative_clusters(vectors, plan.Settings(0.85, 3, 60, 2, paging="hash"))
+    check_invariants(vectors, found, left, 0.85, 3)
+    assert found.count() > 0
+    with pytest.raises(ValueError):
+        C.create_clusters(vectors, 0.85, 3, 60, paging="random")
+
+
 def test_result_does_not_depend_on_partitions_or_row_order(spark):
     rows = random_vectors(6, 200, 6, groups=12)
     results = []

@@ -173,6 +173,18 @@ def create_clusters(spark, folder):
     return created(spark, folder)
 
 
+@query(
+    "create_clusters_hashed",
+    f"""{WITH} {VECTORS_SQL},
+        p AS MATERIALIZED (SELECT id, CAST(('0x' || substr(md5('0/0' || id), 1, 8))::BIGINT
+                           % (SELECT CAST(ceil(count(*) / {PAGE}) AS BIGINT) FROM v) AS INTEGER) AS page FROM v),
+        {greedy_sql('g', 'p', NEAR, SMALLEST)}, c AS MATERIALIZED {large_sql('g', SMALLEST, f'score > {NEAR}')} {TRIPLE} c""",
+)
+def create_clusters_hashed(spark, folder):
+    """Pages straight from the hash of the id."""
+    return C.create_clusters(vectors(spark, folder), NEAR, SMALLEST, PAGE, "0/0", paging="hash")
+
+
 @query(
     "cluster_sizes",
     f"""{WITH} {CREATED} SELECT head_id, count(*) AS size,

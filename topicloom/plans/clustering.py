@@ -21,6 +21,7 @@ class Settings:
     iterations: int = 15
     seed: str = "0"
     merge_page: int = V.MERGE_PAGE
+    paging: str = "balanced"
 
 
 def merge_heads(
@@ -52,7 +53,7 @@ def merge_heads(
         last = count < settings.merge_page
         merged = C.create_clusters(
             vectors.join(heads, id_col, "left_semi"), settings.threshold, 1, settings.merge_page, f"{seed}/m{turn}",
-            old=merged, vectors=vectors, rows=count, id_col=id_col, vec_col=vec_col,
+            old=merged, vectors=vectors, rows=count, id_col=id_col, vec_col=vec_col, paging=settings.paging,
         )
         merged = C.keep_large(stage(merged, "tight"), smallest if last else V.MERGE_KEEP)
         merged = stage(merged, "merged")
@@ -100,7 +101,7 @@ def iterative_clusters(
         seed = f"{settings.seed}/{turn}"
         created = C.create_clusters(
             left, settings.threshold, settings.min_size, settings.page_size, seed,
-            rows=left_count, id_col=id_col, vec_col=vec_col,
+            rows=left_count, id_col=id_col, vec_col=vec_col, paging=settings.paging,
         )
         # New clusters consist of left-over rows only, so no step below reads the other vectors.
         new = merge_heads(stage(created, "created"), left, settings, seed, settings.min_size, id_col, vec_col)
