@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import random_vectors, vector_table
+from conftest import random_vectors
 from topicloom.functions import kernels as K
 from topicloom.functions import vectors as X
 from topicloom.functions.encoders import encode, hash_encoder, model_encoder

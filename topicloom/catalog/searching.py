@@ -15,7 +15,7 @@ from topicloom.functions.encoders import encode, hash_encoder
 from topicloom.operators import docvectors as D
 from topicloom.operators import search as S
 from topicloom.plans import clustering as plan
-from topicloom.plans import searching as pipeline
+from topicloom.plans import searching as plan_of_search
 from topicloom.staging import spread, stage
 
 DIM = 64
@@ -284,7 +284,7 @@ def search_ivf_trained(spark, folder):
     """K-means cells kept as a table by cell; centroids depend on the optimizer, so there is no SQL."""
     docs, asked = _encoded(spark, folder)
     centroids = S.train_cells(docs, 20)
-    path = pipeline.index_path(spark)
+    path = plan_of_search.index_path(spark)
     S.save_index(S.assign_cells(docs, centroids).select("doc_id", "vec", "cell"), path)
     return S.search_cells(spark.read.parquet(path), centroids, asked, 5, 6)
 
@@ -322,5 +322,5 @@ def e2e_search(spark, folder):
     """Documents to clusters, keywords, merged and blended vectors, and ranked hits for all benchmark texts."""
     docs = _docs(spark, folder, "lang", "source")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    built = pipeline.build(docs, ENCODER, "text", ["doc_id", "text", "lang", "source"], E2E, n_keywords=10)
-    return pipeline.search(built, asked, ENCODER, 5, ["topic", "keywords", "lang", "source"])
+    built = plan_of_search.build(docs, ENCODER, "text", ["doc_id", "text", "lang", "source"], E2E, n_keywords=10)
+    return plan_of_search.search(built, asked, ENCODER, 5, ["topic", "keywords", "lang", "source"])

@@ -73,8 +73,9 @@ def border_ngrams(
     # Both ends of the list; the second piece starts behind the first, so no word is sent twice.
     ends = F.concat(F.slice(numbered, 1, edge), F.slice(numbered, F.greatest(size - edge, F.lit(edge)) + 1, edge))
     narrow = narrow.select("topic", "ord", size.alias("size"), ends.alias("edges")).where(F.col("size") > 0)
-    ranged = narrow.repartitionByRange("topic", "ord").withColumn("_part", F.spark_partition_id())
-    ranged = stage(ranged, "borders")
+    # Range partitioning reads its input twice, once for a sample; the texts are read once for both.
+    narrow = stage(narrow, "edges")
+    ranged = stage(narrow.repartitionByRange("topic", "ord").withColumn("_part", F.spark_partition_id()), "borders")
     earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy("topic", "_part").agg(F.sum("size").alias("_size"))
     offsets = parts.select("topic", "_part", F.coalesce(F.sum("_size").over(earlier("topic", "_part")), F.lit(0)).alias("_offset"))
