@@ -52,8 +52,9 @@ def ngram_counts(spark, folder):
 @query(
     "ngram_counts_cross_docs",
     f"""WITH {GRAMS_SQL},
-             line AS (SELECT topic, ws[i] AS a, lead(ws[i]) OVER w AS b, lead(ws[i], 2) OVER w AS c
-                      FROM positions WINDOW w AS (PARTITION BY topic ORDER BY doc_id, i)),
+             placed AS MATERIALIZED (SELECT topic, doc_id, unnest(ws) AS a, unnest(range(len(ws))) AS i FROM lists),
+             line AS (SELECT topic, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c
+                      FROM placed WINDOW w AS (PARTITION BY topic ORDER BY doc_id, i)),
              runs AS (SELECT topic, a || ' ' || b AS term FROM line WHERE b IS NOT NULL
                       UNION ALL SELECT topic, a || ' ' || b || ' ' || c FROM line WHERE c IS NOT NULL)
         SELECT topic, term, count(*) AS n FROM runs GROUP BY topic, term""",
