@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,24 +12,58 @@ from pyspark.sql import functions as F
 SMALL_SCAN_BYTES = 256 * 1024 * 1024
 
 
+STAGE_KEY = "spark.topicloom.stageDir"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting falls back to a fresh temporary
-    folder; on a cluster a machine-local folder would lose data with its machine.
+    Spark refuses to set that key while it runs, so the folder a caller (or a
+    local session without the setting) chooses is kept under ``STAGE_KEY``.
+    Only a local session falls back to a fresh temporary folder; on a cluster
+    a machine-local folder would lose data with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGE_KEY, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="topicloom-stage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(STAGE_KEY, folder)
     return folder
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/topicloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/topicloom/{label}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append((spark, path))
+    return path
+
+
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def stage_scope():
+    """Remove the tables staged inside once the block is left.
+
+    The caller writes or collects the final result inside the block; a lazy
+    result that leaves it would read removed tables.
+    """
+    mine: list[tuple[SparkSession, str]] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for spark, path in mine:
+            drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder through the file system that Spark uses for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
