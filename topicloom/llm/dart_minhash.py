@@ -30,8 +30,8 @@ BANDS, ROWS = 26, 5
 DART_CHUNK = 400_000
 #: Rank borders between which darts are thrown together: 0, 1/16, 1/8, 1/4, ...
 FIRST_SLAB = 1 / 16
-#: Weight borders: 0, 1, 2, 4, ...
-LEADER_GROWTH = 8
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 512
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
@@ -191,10 +191,10 @@ def near_duplicates(
 
     Candidates are texts with an equal band key; at 0.8 a pair is missed with
     a probability of 3e-5 for 26 bands of 5 rows.  In each bucket all members
-    are compared with few leaders first; texts that are by then in one class
-    need no further comparison.  Buckets that still hold several classes are
-    compared with eight times as many leaders each round, until every pair of
-    different classes was compared, so no candidate link is lost.
+    are compared with its earliest one first.  Buckets that then still hold
+    several classes are compared in full, block by block of their members, and
+    only links that join two classes leave a task, so no candidate link is
+    lost and no group is written out as pairs or gathered in one task.
 
     Null texts count as empty.  Empty texts are equal to each other only.
     Texts under five words have one shingle, all their words.  Null ids are
@@ -228,44 +228,95 @@ def near_duplicates(
 
 def _link(keyed: DataFrame, members: DataFrame, threshold: float, weights: str) -> DataFrame:
     """``(id, root)`` of the nodes that are linked to another node."""
-    spark = members.sparkSession
     nodes = stage(members.select("node").distinct(), "candidates")
     # one text per node; equal texts come as one row after the distinct
     texts = keyed.join(small(nodes), F.col("_h1") == F.col("node")).select("node", "text")
     sets = stage(texts.mapInArrow(_sets(weights), "node long, items array<long>").dropDuplicates(["node"]), "sets")
-    found = spark.createDataFrame([], "a long, b long")
-    root = spark.createDataFrame([], "id long, root long")
-    live, last = members, 0.0
-    unit = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
-    for turn in range(64):
-        rooted = live.join(small(root), F.col("node") == F.col("id"), "left")
-        seen = rooted.select("key", "n", "node", "first_id", F.coalesce("root", "node").alias("root"))
-        if turn == 0:
-            least = live.groupBy("key").agg(F.min(F.struct("first_id", "node")).alias("_least"))
-            leaders = least.select("key", F.col("_least.node").alias("lead"), F.col("_least.node").alias("lead_root"))
-        else:
-            # buckets of several classes of which not every member was a leader yet
-            seen = stage(seen, "seen")
-            split = seen.where(F.col("n") > F.lit(last)).groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-            live = stage(seen.join(split.where("_low <> _high").select("key"), "key"), "live")
-            if live.isEmpty():
-                break
-            seen, live = live, live.drop("root")
-            share = float(LEADER_GROWTH**turn)
-            chosen = (unit < F.lit(share) / F.col("n")) & (unit >= F.lit(last) / F.col("n"))
-            leaders = seen.where(chosen).select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-            last = share
-        pairs = seen.join(leaders, "key").where("lead <> node and lead_root <> root")
-        pairs = pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        one = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        two = one.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        links = two.where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - F.lit(1e-9)).select("a", "b")
-        links = stage(links, "links")
-        if not links.isEmpty():
-            found = stage(found.union(links), "found")
-            root = stage(components(found, "linked"), "roots")
-    return root
+    least = members.groupBy("key").agg(F.min(F.struct("first_id", "node")).alias("_least"))
+    pairs = members.join(least.select("key", F.col("_least.node").alias("lead")), "key").where("lead <> node")
+    pairs = pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    links = stage(two.where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - F.lit(1e-9)).select("a", "b"), "links")
+    root = stage(components(links, "linked"), "roots")
+    # buckets that still hold several classes: blocks of their members against blocks
+    rooted = members.join(small(root), F.col("node") == F.col("id"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stage(rooted, "rooted")
+    split = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rooted.join(split, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "root")
+    held = dealt.join(sets, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    more = stage(held.select("key", "low", "high", "own", "node", "root", "items").mapInArrow(_compare(threshold), "a long, b long"), "links")
+    if more.isEmpty():
+        return root
+    return stage(components(links.union(more), "linked"), "roots")
+
+
+def _compare(threshold: float):
+    """Links between different classes inside each run of rows with equal ``(key, low, high)``.
+
+    A run has at most two blocks.  Only links that join classes not yet joined
+    in the run come out, so there are fewer of them than rows.
+    """
+
+    def links(own, node, root, items) -> list[tuple[int, int]]:
+        size = np.fromiter(map(len, items), np.int64, len(items))
+        starts = np.cumsum(size) - size
+        codes = np.unique(np.concatenate(items), return_inverse=True)[1]
+        label = np.unique(root, return_inverse=True)[1]
+        across = own.min() != own.max()
+        mark = np.zeros(int(codes.max()) + 1, bool)
+        out = []
+        for i in range(len(node) - 1):
+            apart = label[i + 1 :] != label[i]
+            if across:
+                apart &= own[i + 1 :] != own[i]
+            if not apart.any():
+                continue
+            mine = codes[starts[i] : starts[i] + size[i]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[codes[starts[i + 1] :]].astype(np.int32), starts[i + 1 :] - starts[i + 1])
+            mark[mine] = False
+            near = np.flatnonzero(apart & (both >= threshold * (size[i] + size[i + 1 :] - both) - 1e-9)) + i + 1
+            for j in near:
+                if label[j] != label[i]:
+                    out.append((int(node[i]), int(node[j])))
+                    label[label == label[j]] = label[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            yield from done(rest, False)
+            key = np.stack([rest.column(c).to_numpy() for c in ("key", "low", "high")])
+            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+            if len(change):
+                rest = rest.slice(change[-1] + 1)
+        if rest is not None:
+            yield from done(rest, True)
+
+    def done(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        """Links of the runs that are complete: all but the last one, or all."""
+        if not len(rows):
+            return
+        key = np.stack([rows.column(c).to_numpy() for c in ("key", "low", "high")])
+        cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(rows)] if last else []]).astype(int)
+        own, node, root = (rows.column(c).to_numpy() for c in ("own", "node", "root"))
+        column = rows.column("items").combine_chunks()
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        found = []
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                found += links(own[a:b], node[a:b], root[a:b], [values[ends[i] : ends[i + 1]] for i in range(a, b)])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
