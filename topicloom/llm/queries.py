@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import table
-from topicloom.llm import containment, dart_minhash, label_propagation, line_crf, mixing
+from topicloom.llm import containment, dart_minhash, label_propagation, line_crf, mixing, phrase_automata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= line_crf.ACCEPT).cast("int").alias("predicted"), "bad_lines")
 
 
+@_query("op4_repeated_passages")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_automata.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
