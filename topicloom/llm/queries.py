@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import table
-from topicloom.llm import containment, dart_minhash, label_propagation, line_crf, mixing, phrase_automata
+from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, mixing, ngram_bayes, phrase_automata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_automata.remove_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+@_query("op5_language")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = ngram_bayes.predict(docs, ngram_bayes.train(docs, fold(4) != 2))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op7_fingerprints")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return imatch.edit_report(docs, imatch.lexicon(docs))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
