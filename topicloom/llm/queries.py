@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import table
-from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, mixing, ngram_bayes, phrase_automata
+from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, log_bilinear, mixing, ngram_bayes, phrase_automata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@_query("op6_language_model")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model, counts = log_bilinear.train(docs, fold(5) != 1)
+    scored = log_bilinear.score(docs, model, counts)
+    return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query("op7_fingerprints")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
