@@ -31,7 +31,7 @@ from topicloom.staging import stage
 WORDS = 1000
 CLASSES = 256
 DIM = 16
-NOISE = 64
+NOISE = 32
 BATCH = 4096
 RATE = 0.05
 #: Words whose counts are sent to every task; the counts of all others are joined.
@@ -85,21 +85,40 @@ class Model:
 
 
 class Lookup(dict):
-    """Unit, count and class of each word: the count is -1 where it has to be joined."""
+    """A number for each word met; by it unit, count (-1: to be joined), class (-1: a unit of its own) and hash."""
 
     def __init__(self, model: Model):
         self.model = model
+        self._start()
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def _start(self) -> None:
+        self.clear()
+        self.facts: tuple[list, ...] = ([], [], [], [])
+
+    def __missing__(self, word: bytes) -> int:
         name, own = xxhash.xxh3_64_intdigest(word), self.model
         at = int(np.searchsorted(own.names, np.uint64(name)))
         found = at < len(own.names) and int(own.names[at]) == name
         cls = class_of(word)
         unit = int(own.unit[at]) if found else -1
-        value = self[word] = (unit if unit >= 0 else WORDS + cls, int(own.counts[at]) if found else -1, -1 if unit >= 0 else cls, name)
-        return value
+        for held, value in zip(self.facts, (unit if unit >= 0 else WORDS + cls, int(own.counts[at]) if found else -1, -1 if unit >= 0 else cls, name)):
+            held.append(value)
+        number = self[word] = len(self)
+        return number
+
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Numbers of all tokens in a row, where each text ends, and the facts by number."""
+        if len(self) > REMEMBERED:
+            self._start()
+        words, sizes = [], np.empty(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            own = text.lower().split()
+            sizes[k] = len(own) + 1
+            words += own
+            words.append(END)
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        unit, count, cls, name = self.facts
+        return number, np.cumsum(sizes), [np.array(unit, np.int64), np.array(count, np.int64), np.array(cls, np.int64), np.array(name, np.uint64)]
 
 
 def _contexts(units: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,25 +172,14 @@ class Trainer:
         return np.concatenate([x.ravel() for x in (self.context, self.target, self.bias, self.pull)])
 
 
-def _units(texts: list[bytes], lookup: Lookup) -> tuple[list, np.ndarray]:
-    found, sizes = [], np.empty(len(texts), np.int64)
-    end = lookup[END]
-    for k, text in enumerate(texts):
-        own = [lookup[w] for w in text.lower().split()]
-        own.append(end)
-        sizes[k] = len(own)
-        found += own
-    return found, np.cumsum(sizes)
-
-
 def _train(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         lookup, trainer, seen = Lookup(model), Trainer(model, 1), 0
         for batch in batches:
             for _, _, texts in chunks(batch):
-                found, ends = _units(texts, lookup)
-                unit = np.fromiter((f[0] for f in found), np.int64, len(found))
+                number, ends, facts = lookup.tokens(texts)
+                unit = facts[0][number]
                 one, two = _contexts(unit, ends, model.units)
                 order = trainer.random.permutation(len(unit))
                 for at in range(0, len(order), BATCH):
@@ -266,9 +274,8 @@ def _score(held):
         floor = model.tokens + 0.5 * (model.distinct + 1)
         for batch in batches:
             for start, stop, texts in chunks(batch):
-                found, ends = _units(texts, lookup)
-                unit, count, cls, name = (np.array(x) for x in zip(*found))
-                name = name.astype(np.uint64)
+                number, ends, facts = lookup.tokens(texts)
+                unit, count, cls, name = (x[number] for x in facts)
                 begins = np.concatenate([[0], ends[:-1]])
                 known = count >= 0
                 base = np.where(known, np.log10((np.maximum(count, 0) + 0.5) / floor), 0.0)
