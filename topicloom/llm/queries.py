@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import table
-from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, log_bilinear, mixing, ngram_bayes, phrase_automata
+from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,36 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= line_crf.ACCEPT).cast("int").alias("predicted"), "bad_lines")
 
 
+_SHORT = "unnest([struct_pack(m := n, k := 0), struct_pack(m := n, k := 1), struct_pack(m := n - 1, k := 0), struct_pack(m := n - 1, k := 1)])"
+
+
+@_query(
+    "op3_near_lines",
+    f"""
+    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    lines AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM split, unnest(range(1, len(ls) + 1)) AS t(i)),
+    firsts AS (SELECT line, min(doc_id * 1000000 + pos) AS place, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
+    halves AS (SELECT line, place, n, h.m AS m, h.k AS k,
+                      CASE h.k WHEN 0 THEN left(line, h.m // 2) ELSE right(line, h.m - h.m // 2) END AS half
+               FROM (SELECT line, place, n, {_SHORT} AS h FROM firsts WHERE n >= 10)),
+    pairs AS (SELECT DISTINCT a.line AS x, a.n AS nx, b.line AS y, b.n AS ny
+              FROM halves a JOIN halves b ON a.m = b.m AND a.k = b.k AND a.half = b.half
+              WHERE a.place < b.place AND abs(a.n - b.n) <= 1),
+    near AS (SELECT DISTINCT y FROM pairs
+             WHERE len(list_filter(range(0, greatest(nx, ny)), lambda i: left(x, i) = left(y, i) AND
+                 substr(x, i + CASE WHEN nx >= ny THEN 2 ELSE 1 END) = substr(y, i + CASE WHEN ny >= nx THEN 2 ELSE 1 END))) > 0),
+    judged AS (SELECT l.doc_id, l.pos, l.line, l.line <> '' AND (near.y IS NOT NULL OR l.doc_id * 1000000 + l.pos <> f.place) AS gone
+               FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near ON l.line = near.y)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_deletion.dedup_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query("op4_repeated_passages")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_automata.remove_repeats(table(spark, folder, "documents")).drop("kept")
