@@ -1,3 +1,5 @@
+import pytest
+
 from topicloom.operators import keywords as W
 from topicloom.sources import files
 
@@ -41,3 +43,29 @@ def test_text_and_json_sinks(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["b", "가"]
     files.write_json(spark.sql("SELECT 1 AS id, named_struct('a', named_struct('b', 'x')) AS c"), str(tmp_path / "j"))
     assert spark.read.schema("id int, c struct<a: struct<b: string>>").json(str(tmp_path / "j")).first()["c"]["a"]["b"] == "x"
+
+
+def test_csv_columns_are_found_by_header_name(spark, tmp_path):
+    path = tmp_path / "h.csv"
+    path.write_text(",year,title\n0,2018,first\n1,,second\n")
+    got = files.read_csv(spark, str(path), "title string, year int").collect()
+    assert sorted((r["title"], r["year"]) for r in got) == [("first", 2018), ("second", None)]
+    with pytest.raises(ValueError, match="no column abstract"):
+        files.read_csv(spark, str(path), "title string, abstract string")
+
+
+@pytest.mark.parametrize("body", ["title,year\na,20x8\n", "title,year\na\n"])
+def test_bad_csv_cells_raise_or_are_null(spark, tmp_path, body):
+    path = tmp_path / "b.csv"
+    path.write_text(body)
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(path), "title string, year int").collect()
+    assert [tuple(r) for r in files.read_csv(spark, str(path), "title string, year int", mode="null").collect()] == [("a", None)]
+
+
+def test_broken_json_lines_raise_or_are_null(spark, tmp_path):
+    path = tmp_path / "b.json"
+    path.write_text('{"title": "t"}\n{"title": \n')
+    with pytest.raises(Exception):
+        files.read_json_lines(spark, str(path)).collect()
+    assert files.read_json_lines(spark, str(path), mode="null").count() == 2

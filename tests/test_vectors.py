@@ -127,3 +127,9 @@ def test_arrow_function_is_not_copied_by_filters(spark):
     df = encode(spark.createDataFrame([("a",)], "t string"), hash_encoder(4), "t")
     plan = df.where("vec IS NOT NULL").select(F.posexplode("vec"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("rows", [[[1.0] * 63, [1.0] * 65], [[1.0], None], [[1.0, None], [1.0, 2.0]]])
+def test_unequal_and_null_vectors_raise(rows):
+    with pytest.raises(ValueError):
+        K.matrix(pa.array(rows, pa.list_(pa.float32())))

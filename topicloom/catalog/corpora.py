@@ -10,7 +10,7 @@ from topicloom.functions import text as T
 from topicloom.operators import corpus
 from topicloom.plans import corpora as plans
 from topicloom.sources import files
-from topicloom.staging import spread, stage_path
+from topicloom.staging import stage_path
 
 FIRST_LINE = "^(.+?)\\n"
 INNER_LINE = "\\n(.+?)\\n"
@@ -30,7 +30,7 @@ PIECES_SQL = rf"""
 
 
 def _sentences(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     text = F.col("text")
     return corpus.sentence_corpus(
         docs,
@@ -69,7 +69,7 @@ def corpus_sample(spark, folder):
 )
 def corpus_files(spark, folder):
     """The three line files, read back and counted; sample is the first 1000 lines of small."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     cases = docs.select(
         "doc_id", T.joined_sections(F.col("text"), (FIRST_LINE,)).alias("judgment_issue"),
         F.col("text").alias("judgment_summary"), F.col("text").alias("judgment_contents"),
@@ -99,7 +99,7 @@ REASONING = ((INNER_LINE, " end", 0), (FIRST_LINE, "", 8))
 )
 def corpus_nested_json(spark, folder):
     """Records are written to the JSON sink and read back."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     docs = docs.withColumn("issue", T.joined_sections(F.col("text"), (FIRST_LINE,)))
     records = corpus.nested_records(
         docs, "doc_id", "lang", "source", "issue", "text", "text", RULING, REASONING, keep=LATIN_KEEP

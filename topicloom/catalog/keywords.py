@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import query, sql_text, table
 from topicloom.operators import keywords as W
-from topicloom.staging import spread, stage
+from topicloom.staging import stage
 
 STOP = ("the", "and", "of", "de", "la", "que", "der", "und", "le", "en")
 STOP_SQL = ", ".join(sql_text(w) for w in STOP)
@@ -29,7 +29,7 @@ def counts_sql(topic: str, source: str = "documents", where: str = f"term NOT IN
 
 
 def _docs(spark, folder, *columns):
-    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns))
+    return table(spark, folder, "documents").select("doc_id", "text", *columns)
 
 
 @query("topic_term_counts", f"WITH {counts_sql('lang')} SELECT topic, term, n FROM counts")

@@ -16,7 +16,7 @@ from topicloom.operators import docvectors as D
 from topicloom.operators import search as S
 from topicloom.plans import clustering as plan
 from topicloom.plans import searching as plan_of_search
-from topicloom.staging import spread, stage
+from topicloom.staging import stage
 
 DIM = 64
 ENCODER = hash_encoder(DIM)
@@ -31,7 +31,7 @@ def _label_means(spark, folder):
 
 
 def _docs(spark, folder, *columns):
-    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns))
+    return table(spark, folder, "documents").select("doc_id", "text", *columns)
 
 
 def _long(df, *keys, vec="vec"):

@@ -9,7 +9,7 @@ from topicloom.functions import fixed_values as V
 from topicloom.functions import text as T
 from topicloom.operators import tables
 from topicloom.sources import files
-from topicloom.staging import spread, stage_path
+from topicloom.staging import stage_path
 
 WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(5760)||" + (
     "||".join(f"chr({c})" for c in [*range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
@@ -49,7 +49,7 @@ def src_csv_roundtrip(spark, folder):
         F.when(F.col("lang") != "de", F.col("n_chars")).alias("n_chars"),
     )
     path = stage_path(spark, "csv")
-    files.write_csv(spread(docs), path)
+    files.write_csv(docs, path)
     return files.read_csv(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
 
 
@@ -88,17 +88,17 @@ def src_xml_list(spark, folder):
 
 @query(
     "src_xml_detail",
-    rf"""WITH p AS (SELECT page_id, url, coalesce({strip_sql("regexp_extract(html, '<title>(.+?)</title>', 1)")}, '') AS t FROM pages),
-            q AS (SELECT page_id, url, regexp_replace(t, '[&<>]', ' ', 'g') AS t FROM p)
+    rf"""WITH p AS (SELECT page_id, url, html, coalesce({strip_sql("regexp_extract(html, '<title>(.+?)</title>', 1)")}, '') AS t FROM pages),
+            q AS (SELECT page_id, url, html, regexp_replace(t, '[&<>]', ' ', 'g') AS t FROM p)
        SELECT page_id, nullif({strip_sql('t')}, '') AS issue, CAST(NULL AS VARCHAR) AS summary,
-              CASE WHEN url LIKE 'https%' THEN 'page ' || page_id END AS contents
+              nullif({strip_sql('html')}, '') AS contents
        FROM q""",
 )
 def src_xml_detail(spark, folder):
     title = F.regexp_replace(F.regexp_extract("html", "<title>(.+?)</title>", 1), "[&<>]", " ")
     payload = F.concat(
         F.lit("<case><issue>"), title, F.lit("</issue><summary></summary><contents>"),
-        F.when(F.col("url").startswith("https"), F.concat(F.lit("page "), F.col("page_id"))).otherwise(F.lit("")),
+        F.replace(F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")),
         F.lit("</contents></case>"),
     )
     pages = table(spark, folder, "pages").select("page_id", payload.alias("payload"))
@@ -181,13 +181,13 @@ def link_rewrite(spark, folder):
         SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, {strip_sql('parts[i]')} || '.' AS sentence FROM n""",
 )
 def sentence_split(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query("clean_a", f"SELECT page_id, {clean_corpus_sql('html')} AS cleaned FROM pages")
 def clean_a(spark, folder):
-    pages = spread(table(spark, folder, "pages").select("page_id", "html"))
+    pages = table(spark, folder, "pages").select("page_id", "html")
     return pages.select("page_id", T.clean_corpus(F.col("html")).alias("cleaned"))
 
 
@@ -197,7 +197,7 @@ def clean_a(spark, folder):
                {clean_record_sql('text', LATIN_KEEP)} AS cleaned_latin FROM documents""",
 )
 def clean_b(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select(
         "doc_id",
         T.clean_sentence(F.col("text")).alias("cleaned"),

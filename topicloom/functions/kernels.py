@@ -21,11 +21,23 @@ CLUSTER_SCHEMA = "head_id bigint, member_id bigint, score double"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of a list column of equal lengths as a float64 matrix."""
+    """Rows of a list column of equal lengths as a float64 matrix.
+
+    Rows of unequal lengths, null rows and null items raise: their numbers
+    would land in other rows.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if column.null_count:
+        raise ValueError(f"{column.null_count} vectors are null")
+    sizes = np.diff(column.offsets.to_numpy()) if rows and not pa.types.is_fixed_size_list(column.type) else np.empty(0, int)
+    if len(sizes) and sizes.min() != sizes.max():
+        raise ValueError(f"vectors of {sizes.min()} and {sizes.max()} numbers in one column; they must be equally long")
+    items = column.flatten()
+    if items.null_count:
+        raise ValueError(f"{items.null_count} numbers of the vectors are null")
+    flat = items.to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(rows, -1 if rows else 0)
 
 

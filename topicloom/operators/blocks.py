@@ -27,11 +27,13 @@ class SmallSide:
 def fetch_small(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: int = BROADCAST_BYTES) -> SmallSide | None:
     """The side as arrays in id order when it is small, else None.
 
-    At most ``BROADCAST_ROWS + 1`` rows leave the executors, and a side of more rows
-    or more bytes than allowed is not used.
+    The number of rows that the bytes allow follows from the dimension of a first
+    row, so no more than these, and one, leave the executors.
     """
-    table = df.select(id_col, vec_col, *extra).limit(BROADCAST_ROWS + 1).toArrow()
-    if table.num_rows > BROADCAST_ROWS:
+    first = df.select(F.size(vec_col).alias("dim")).first()
+    allowed = min(BROADCAST_ROWS, limit // (8 * max(1, first["dim"] if first else 1)))
+    table = df.select(id_col, vec_col, *extra).limit(allowed + 1).toArrow()
+    if table.num_rows > allowed:
         return None
     ids = table.column(id_col).to_numpy().astype(np.int64)
     order = np.argsort(ids, kind="stable")

@@ -350,8 +350,12 @@ def create_clusters(
     return keep_large(stage_table(kept, "kept"), min_size)
 
 
+#: Pages a task solves one after the other at most, so that its input stays bounded.
+PAGES_PER_TASK = 32
+
+
 def _page_tasks(spark: SparkSession, pages: int) -> int:
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, pages // PAGES_PER_TASK)
     return max(1, min(pages, most))
 
 

@@ -18,6 +18,10 @@ from topicloom.functions import text as T
 from topicloom.functions import vectors as X
 from topicloom.functions.encoders import Encoder, arrow_once, encode
 
+#: Key vectors sent to every task; more of them are joined by a merge.
+KEY_BYTES = 64 * 1024 * 1024
+TEXTS_PER_PARTITION = 50_000
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -104,9 +108,15 @@ def pooled_vectors(
     return joined.groupBy(id_col).agg(vector_to_array(mean, "float32").alias(out))
 
 
-def train_word_vectors(docs: DataFrame, text_col: str, dim: int, seed: int = 7, min_count: int = 5, partitions: int = 8) -> DataFrame:
-    """``(word, vec)`` learned by Word2Vec from the texts themselves."""
+def train_word_vectors(docs: DataFrame, text_col: str, dim: int, seed: int = 7, min_count: int = 5, partitions: int | None = None) -> DataFrame:
+    """``(word, vec)`` learned by Word2Vec from the texts themselves.
+
+    ``partitions`` comes from the number of texts unless it is given.  Words
+    seen fewer than ``min_count`` times are left out; the learner holds
+    vocabulary x ``dim`` floats in the driver.
+    """
     listed = docs.select(T.tokens(F.col(text_col)).alias("words"))
+    partitions = partitions or max(8, listed.count() // TEXTS_PER_PARTITION)
     learner = Word2Vec(
         vectorSize=dim, seed=seed, minCount=min_count, numPartitions=partitions, inputCol="words", outputCol="_"
     )
@@ -145,6 +155,9 @@ def build_vectors(
     if topic_keywords is None:
         raise ValueError("blending needs the keywords of the topics")
     keys = keyword_vectors(topic_keywords.select(topic_col, keywords_col), encoder, keywords_col)
-    joined = with_vectors.join(keys.select(topic_col, "key_vec"), topic_col, "left")
+    # Spark counts an array as one number, so the size of the key vectors is worked out here.
+    fits = topic_keywords.count() * encoder.dim * 4 <= KEY_BYTES
+    keys = keys.select(topic_col, "key_vec")
+    joined = with_vectors.join(F.broadcast(keys) if fits else keys.hint("merge"), topic_col, "left")
     mixed = X.blend(F.col("key_vec"), F.col("vec"), weight)
     return joined.withColumn("vec", F.coalesce(mixed, F.col("vec"))).drop("key_vec")

@@ -25,13 +25,16 @@ def topic_term_counts(
     docs: DataFrame,
     text_col: str,
     topic_col: str = "topic",
-    stopwords: Sequence[str] = (),
+    stopwords: Sequence[str] | DataFrame = (),
     ngram_range: tuple[int, int] = (1, 1),
     cross_docs: bool = False,
     order_col: str | None = None,
 ) -> DataFrame:
     """``(topic, term, n)``; stopwords go before n-grams are built.
 
+    Stopwords in a table of any size are joined away from single words; for
+    n-grams the table is fetched as a list.
+
     Counting is partial before the shuffle and keyed by topic and term, so a
     topic with a third of all rows spreads over its terms.  ``cross_docs`` adds
     the n-grams that run over the border of two texts of a topic in the order of
@@ -40,9 +43,12 @@ def topic_term_counts(
     low, high = ngram_range
     if high == 1:
         terms = docs.select(F.col(topic_col).alias("topic"), F.explode(T.tokens(F.col(text_col))).alias("term"))
-        if stopwords:
+        if isinstance(stopwords, DataFrame):
+            terms = terms.join(stopwords.select(F.col(stopwords.columns[0]).alias("term")), "term", "left_anti").select("topic", "term")
+        elif stopwords:
             terms = terms.where(~F.col("term").isin(*stopwords))
     else:
+        stopwords = stopword_list(stopwords) if isinstance(stopwords, DataFrame) else stopwords
         # The word list is a column of its own, so the n-gram lambdas do not tokenise again.
         words = T.drop_words(T.tokens(F.col(text_col)), stopwords)
         listed = docs.select(F.col(topic_col).alias("topic"), words.alias("_words"))
@@ -106,9 +112,9 @@ def class_tf_idf(counts: DataFrame, documents: DataFrame | Column) -> DataFrame:
     m = documents.agg(F.count(F.lit(1)).alias("m")).scalar() if isinstance(documents, DataFrame) else documents
     per_topic = counts.groupBy("topic").agg(F.sum("n").alias("w"))
     per_term = counts.groupBy("term").agg(F.sum("n").alias("sum_t"))
-    # One row per term makes even, small hash tables, so neither side is sorted;
-    # a term of all topics is on the probe side, where the adaptive join can split it.
-    joined = counts.join(per_term.hint("shuffle_hash"), "term").join(per_topic, "topic")
+    # The adaptive planner picks hash tables only where the measured partitions fit;
+    # a term of all topics is on the side that it can split.
+    joined = counts.join(per_term, "term").join(per_topic, "topic")
     return joined.select(
         "topic", "term", "n",
         (F.col("n") / F.col("w")).alias("tf"),

@@ -18,20 +18,50 @@ CASE_SCHEMA = (
 PAPER_SCHEMA = "title string, abstract string, `journal-ref` string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, nulls: Sequence[str] = V.CSV_NULLS) -> DataFrame:
-    """CSV with header; quoted fields may hold commas, quotes and line ends."""
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("nullValue", "NaN")
-        .option("nanValue", "NaN")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    return null_tokens(raw, nulls)
+def read_csv(spark: SparkSession, path: str, schema: str, nulls: Sequence[str] = V.CSV_NULLS, mode: str = "fail", multi_line: bool = True) -> DataFrame:
+    """CSV with header; columns are found by their header name, others are skipped.
+
+    Files of one read have one header.  A column that the header lacks raises.
+    ``mode="fail"`` also raises on a row with another number of fields and on a
+    cell that is no value of its type; ``mode="null"`` makes such cells null.
+    With ``multi_line`` quoted fields may hold line ends, and a file is one
+    task; files without such fields are read in splits with it off.
+    """
+    if mode not in ("fail", "null"):
+        raise ValueError(f"mode must be fail or null, not {mode!r}")
+    wanted = spark.createDataFrame([], schema).schema
+
+    def reader():
+        return (
+            spark.read.option("header", True)
+            .option("multiLine", multi_line)
+            .option("escape", '"')
+            .option("mode", "FAILFAST" if mode == "fail" else "PERMISSIVE")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
+
+    # only the header is read here; an unnamed first column is called _c0
+    names = reader().csv(path).columns
+    missing = [f.name for f in wanted if f.name not in names]
+    if missing:
+        raise ValueError(f"the CSV header has no column {', '.join(missing)}")
+    texts = S.StructType([S.StructField(n, S.StringType()) for n in names])
+    named = not any(n.startswith("_c") for n in names)
+    raw = reader().option("enforceSchema", not named).option("columnPruning", mode == "null").schema(texts).csv(path)
+    return raw.select(*[_typed(f, nulls, mode).alias(f.name) for f in wanted])
+
+
+def _typed(field: S.StructField, nulls: Sequence[str], mode: str) -> Column:
+    cell = F.col(f"`{field.name}`")
+    cell = F.when(~cell.isin(*nulls), cell)
+    if isinstance(field.dataType, S.StringType):
+        return cell
+    value = cell.try_cast(field.dataType)
+    if mode == "null":
+        return value
+    wrong = F.raise_error(F.concat(F.lit(f"column {field.name}: no {field.dataType.simpleString()}: "), cell))
+    return F.when(cell.isNotNull() & value.isNull(), wrong.cast(field.dataType)).otherwise(value)
 
 
 def null_tokens(df: DataFrame, nulls: Sequence[str] = V.CSV_NULLS) -> DataFrame:
@@ -59,9 +89,14 @@ def write_csv(df: DataFrame, path: str, null: str = "NaN", mode: str = "errorife
     )
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str | S.StructType = PAPER_SCHEMA) -> DataFrame:
-    """One object per line; keys outside the schema are skipped, missing keys are null."""
-    return spark.read.schema(schema).json(path)
+def read_json_lines(spark: SparkSession, path: str, schema: str | S.StructType = PAPER_SCHEMA, mode: str = "fail") -> DataFrame:
+    """One object per line; keys outside the schema are skipped, missing keys are null.
+
+    A broken line raises; with ``mode="null"`` it is a row of nulls.
+    """
+    if mode not in ("fail", "null"):
+        raise ValueError(f"mode must be fail or null, not {mode!r}")
+    return spark.read.schema(schema).option("mode", "FAILFAST" if mode == "fail" else "PERMISSIVE").json(path)
 
 
 def json_fields(text: Column, schema: str) -> Column:

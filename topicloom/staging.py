@@ -1,4 +1,4 @@
-"""Cutting lineage through written tables, spreading small scans, ordered numbering."""
+"""Cutting lineage through written tables, ordered numbering."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_SCAN_BYTES = 256 * 1024 * 1024
-
 
 STAGE_KEY = "spark.topicloom.stageDir"
 
@@ -77,23 +75,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as the optimizer estimates it; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan one partition per core; leave a large scan as it is.
-
-    A small file with one row group is read by one task.  Large inputs have
-    enough splits of their own, and reshuffling raw text would only cost.
-    """
-    if estimated_bytes(df) > SMALL_SCAN_BYTES:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys)
-
-
 def ordered_index(df: DataFrame, order: list[Column], name: str, label: str = "ordered") -> DataFrame:
     """Add ``name`` = 0..N-1 in the given total order, without a one-task window.
 
