@@ -57,15 +57,18 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _round(state: DataFrame, shards: int, room: int) -> DataFrame | None:
     held = state.where("link is not null").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("_g").alias("_g"))
-    best = held.groupBy("link").agg(F.max("_g").alias("_all"), F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))), asc=False).alias("_top"))
+    free = state.where("link is null")
+    room_of = {r["shard"]: r["n"] for r in free.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    quota = F.array(*[F.lit(room_of.get(s, 0)) for s in range(shards)])
+    # a group that fits into one shard passes over shards that can take in nobody
+    open_ = (F.col("_g") > room) | (F.element_at(quota, (F.col("shard") + 1).cast("int")) > 0)
+    wanted = F.struct(open_.alias("o"), "n", (-F.col("shard")).alias("s"))
+    best = held.groupBy("link").agg(F.max("_g").alias("_all"), F.sort_array(F.collect_list(wanted), asc=False).alias("_top"))
     need = F.least(F.ceil(F.col("_all") / F.lit(room)), F.size("_top")).cast("int")
     best = best.where(F.size("_top") > need).select(F.col("link").alias("_k"), F.transform(F.slice("_top", 1, need), lambda x: -x["s"]).alias("_to"))
     wish = state.where("link is not null").join(best, F.col("link") == F.col("_k"))
     wish = wish.where(~F.array_contains("_to", F.col("shard")))
     wish = wish.select("row", "shard", F.element_at("_to", (F.pmod(F.xxhash64("row", F.lit("wish")), F.size("_to")) + 1).cast("int")).alias("want"))
-    free = state.where("link is null")
-    room_of = {r["shard"]: r["n"] for r in free.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    quota = F.array(*[F.lit(room_of.get(s, 0)) for s in range(shards)])
     wish = ranked(wish, ["want"], [F.xxhash64("row"), F.col("row")], "turn", "wishes")
     taken = stage(wish.where(F.col("turn") < F.element_at(quota, (F.col("want") + 1).cast("int"))).select("row", "shard", "want"), "taken")
     flow = taken.groupBy("shard", "want").agg(F.count(F.lit(1)).alias("n")).collect()

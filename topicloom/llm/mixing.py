@@ -160,17 +160,17 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, pieces = mix(keyed.select(F.struct(id_col, "_key").alias("_id"), text_col, source_col), "_id", text_col, source_col, **settings)
     runs = pieces.groupBy("row", "pass").agg(F.first("doc_id").alias("_id"), F.min("start").alias("_from"), F.sum("words").alias("_words"))
     sized = rows.select(F.col("row").alias("_row"), "size", F.col("source").alias("_source"))
-    runs = runs.join(sized, F.col("row") == F.col("_row")).select("_id", "_source", "pass", "_from", "_words", "size", "row")
+    runs = runs.join(sized, F.col("row") == F.col("_row")).select("_id", "_source", "_from", "_words", F.col("size").alias("_size"), F.col("row").alias("_run"))
     # equal rows have equal ids: each takes its own turn among them
-    turn = F.row_number().over(Window.partitionBy("_id", "_source").orderBy("row"))
-    numbers = runs.select("row", "_id", "_source").distinct().withColumn("_turn", turn).select(F.col("row").alias("_r"), "_turn")
-    runs = runs.join(numbers, F.col("row") == F.col("_r"))
+    turn = F.row_number().over(Window.partitionBy("_id", "_source").orderBy("_run"))
+    numbers = runs.select("_run", "_id", "_source").distinct().withColumn("_turn", turn).select(F.col("_run").alias("_r"), "_turn")
+    runs = runs.join(numbers, F.col("_run") == F.col("_r"))
     mine = keyed.withColumn("_mine", F.row_number().over(Window.partitionBy(id_col, "_key", source_col).orderBy(F.lit(1))))
     same = (
         F.col(id_col).eqNullSafe(F.col(f"_id.{id_col}")) & (F.col("_key") == F.col("_id._key")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_mine") == F.col("_turn"))
     )
     words = F.filter(F.split(F.col(text_col), GAP), lambda w: w != "")
     cut = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("size"), F.col(text_col)).otherwise(cut)
+    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(cut)
     out = mine.join(runs, same).withColumn("_cut", text)
     return out.select(*[F.col("_cut").alias(c) if c == text_col else docs[c] for c in docs.columns])
