@@ -257,12 +257,15 @@ class Scorer:
     def score(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         key = one * (self.model.units + 1) + two
         new = np.unique(key[np.isnan(self.sums[key])])
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
+        for at in range(0, len(new), 256):
+            # few contexts at once and in place, so that their scores stay in the cache
+            part = new[at : at + 256]
             state = self.context[part // (self.model.units + 1)] * self.pull[0] + self.context[part % (self.model.units + 1)] * self.pull[1]
-            logits = state @ self.target.T + self.bias
+            logits = state @ self.target.T
+            logits += self.bias
             most = logits.max(axis=1)
-            self.sums[part] = most + np.log(np.exp(logits - most[:, None]).sum(axis=1))
+            logits -= most[:, None]
+            self.sums[part] = most + np.log(np.exp(logits, out=logits).sum(axis=1))
         state = self.context[one] * self.pull[0] + self.context[two] * self.pull[1]
         return ((state * self.target[word]).sum(axis=1) + self.bias[word] - self.sums[key]) / np.float32(np.log(10))
 
