@@ -5,7 +5,7 @@ from topicloom.functions.encoders import hash_encoder
 from topicloom.operators import clusters as C
 from topicloom.plans import clustering as plan
 from topicloom.plans import searching
-from topicloom.staging import ordered_index, shared_folder, spread, stage
+from topicloom.staging import ordered_index, shared_folder, stage, stage_scope
 from topicloom.streaming.assign import assign_stream
 
 
@@ -38,13 +38,15 @@ def test_shared_folder_must_be_set_on_a_cluster():
         shared_folder(Session())
 
 
-def test_large_scans_are_left_alone(spark, monkeypatch):
-    import topicloom.staging as staging
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(staging, "SMALL_SCAN_BYTES", 0)
-    assert spread(docs) is docs
+def test_scope_removes_its_tables_and_no_others(spark):
+    outer = stage(spark.range(3), "outer")
+    with stage_scope():
+        inner = stage(spark.range(4), "inner")
+        path = inner.inputFiles()[0].rsplit("/", 1)[0]
+        assert inner.count() == 4
+    assert outer.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
 
 
 def test_whole_way_finds_the_text_itself(spark):
