@@ -183,14 +183,11 @@ def test_head_expansion_takes_in_members_of_old_heads(spark):
     assert {r["member_id"]: r["score"] for r in known.collect()} == {1: 1.0, 4: 0.9, 6: 0.9, 2: 0.9}
 
 
-def test_nearest_head_grid_equals_broadcast(spark, monkeypatch):
-    from topicloom.operators import blocks
-
+def test_nearest_head_by_parts_equals_broadcast(spark):
     vectors = vector_table(spark, range(130), random_vectors(9, 130, 5, groups=7))
     heads = vectors.where("id < 40")
     small = C.assign_nearest(vectors, heads, 0.7)
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
-    large = C.assign_nearest(vectors, heads, 0.7, limit=0)
+    large = C.assign_nearest(vectors, heads, 0.7, limit=400)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     assert small.count() > 40
 

@@ -56,7 +56,12 @@ def test_top_terms_limit_runs_before_the_shuffle(docs):
     assert "WindowGroupLimit" in plan
 
 
-def test_stopword_bound(spark, monkeypatch):
-    monkeypatch.setattr(W, "MAX_STOPWORDS", 2)
-    with pytest.raises(ValueError):
-        W.stopword_list(spark.range(3).select(F.col("id").cast("string")))
+def test_stopword_table_equals_list(spark, docs):
+    rows = [(i, " ".join("w%dx" % ((i * 7 + j) % 5) for j in range(i % 6)), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, topic int").repartition(6)
+    stops = spark.createDataFrame([("w1x",), ("w3x",)], "word string")
+    for grams in ((1, 1), (1, 2)):
+        across = grams[1] > 1
+        want = W.topic_term_counts(df, "text", stopwords=["w1x", "w3x"], ngram_range=grams, cross_docs=across, order_col="doc_id")
+        got = W.topic_term_counts(df, "text", stopwords=stops, ngram_range=grams, cross_docs=across, order_col="doc_id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3

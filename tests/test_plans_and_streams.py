@@ -75,8 +75,10 @@ def test_stream_assigns_like_the_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select(*C.CLUSTER_COLUMNS)
     want = C.assign_nearest(vectors, heads, 0.8)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    with pytest.raises(ValueError):
-        C.assign_nearest(arrivals, heads, 0.8, limit=0)
+    again = assign_stream(arrivals, heads, 0.8, str(tmp_path / "out2"), str(tmp_path / "cp2"), limit=80)
+    assert again.awaitTermination(120)
+    parts = spark.read.parquet(str(tmp_path / "out2")).select(*C.CLUSTER_COLUMNS)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_saved_stage_tables_search_alike(spark, tmp_path):

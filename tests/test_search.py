@@ -41,11 +41,10 @@ def test_flat_search_equals_brute_force(spark, data, metric, monkeypatch):
     queries = vector_table(spark, range(len(asked)), asked, "query_id")
     want = brute(docs.astype(float), ids.tolist(), asked.astype(float), 6, metric)
     assert by_query(S.search_flat(vectors, queries, 6, metric)) == want
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
-    assert by_query(S.search_flat(vectors, queries, 6, metric, limit=0)) == want
+    assert by_query(S.search_flat(vectors, queries, 6, metric, limit=150)) == want
 
 
-def test_cells_with_all_probes_equal_flat(spark, data, monkeypatch):
+def test_cells_with_all_probes_equal_flat(spark, data):
     docs, ids, asked = data
     vectors = vector_table(spark, ids, docs, "doc_id")
     queries = vector_table(spark, range(len(asked)), asked, "query_id")
@@ -53,8 +52,7 @@ def test_cells_with_all_probes_equal_flat(spark, data, monkeypatch):
     celled = S.assign_cells(vectors, centroids)
     flat = by_query(S.search_flat(vectors, queries, 4))
     assert by_query(S.search_cells(celled, centroids, queries, 4, 6)) == flat
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
-    assert by_query(S.search_cells(celled, centroids, queries, 4, 6, limit=0)) == flat
+    assert by_query(S.search_cells(celled, centroids, queries, 4, 6, limit=150)) == flat
 
 
 @pytest.mark.parametrize("probes", [1, 2])

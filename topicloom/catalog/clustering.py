@@ -18,6 +18,8 @@ NEAR = 0.30
 TIGHT = 0.35
 PAGE = 200
 SMALLEST = 3
+#: Bound that makes several parts of a few heads or queries.
+PART_BYTES = 8192
 
 SETTINGS = plan.Settings(threshold=NEAR, min_size=SMALLEST, page_size=PAGE, iterations=2, seed="0")
 
@@ -259,6 +261,15 @@ def assign_nearest(spark, folder):
     return C.assign_nearest(left, heads, NEAR)
 
 
+@query("assign_nearest_parts", f"{WITH} {CREATED}, l AS {left_sql('c')} SELECT * FROM {nearest_sql('l', 'c', NEAR)}")
+def assign_nearest_parts(spark, folder):
+    """As above with a bound so low that the heads are sent in several parts."""
+    found = stage(created(spark, folder), "clusters")
+    left = C.unclustered(vectors(spark, folder), found)
+    heads = vectors(spark, folder).join(found.select(F.col("head_id").alias("id")).distinct(), "id", "left_semi")
+    return C.assign_nearest(left, heads, NEAR, limit=PART_BYTES)
+
+
 @query("assign_incremental", f"{WITH} {CREATED}, l AS {left_sql('c')} {TRIPLE} c UNION ALL SELECT * FROM {nearest_sql('l', 'c', NEAR)}")
 def assign_incremental(spark, folder):
     return plan.assign_incremental(vectors(spark, folder), stage(created(spark, folder), "clusters"), NEAR)
@@ -281,10 +292,15 @@ def merge_heads(spark, folder):
     return plan.merge_heads(found, vectors(spark, folder), SETTINGS, "0/0")
 
 
-def loop_sql(settings: plan.Settings) -> str:
-    """The loop over ``v(id, vec)`` written out: create, merge, keep large, assign; the result is ``found``."""
+def loop_sql(settings: plan.Settings, start: str | None = None) -> str:
+    """The loop over ``v(id, vec)`` written out: create, merge, keep large, assign; the result is ``found``.
+
+    ``start`` names clusters to begin with; rows near their heads are given to them first.
+    """
     near, smallest = settings.threshold, settings.min_size
     steps = ["f0 AS MATERIALIZED (SELECT 0::BIGINT AS head_id, 0::BIGINT AS member_id, 0.0::DOUBLE AS score WHERE false)"]
+    if start is not None:
+        steps = [f"f0 AS MATERIALIZED ({TRIPLE} {start} UNION ALL SELECT * FROM {nearest_sql(left_sql(start), start, near)})"]
     for turn in range(settings.iterations):
         c, m, seed = f"c{turn}", f"m{turn}", f"{settings.seed}/{turn}"
         steps += [
@@ -302,3 +318,22 @@ def loop_sql(settings: plan.Settings) -> str:
 @query("iterative_clusters", f"{WITH} {VECTORS_SQL}, {loop_sql(SETTINGS)} {TRIPLE} found")
 def iterative_clusters(spark, folder):
     return plan.iterative_clusters(vectors(spark, folder), SETTINGS)[0]
+
+
+WARM = f"{VECTORS_SQL}, {pages_sql('p9', 'v', PAGE, '9')}, {greedy_sql('g9', 'p9', TIGHT, SMALLEST)}, o AS MATERIALIZED {large_sql('g9', SMALLEST, f'score > {TIGHT}')}"
+
+
+@query("warm_start_clusters", f"{WITH} {WARM}, {loop_sql(SETTINGS, 'o')} {TRIPLE} found")
+def warm_start_clusters(spark, folder):
+    """Tighter clusters from other pages are given; the loop fills them up and clusters the rest."""
+    old = C.create_clusters(vectors(spark, folder), TIGHT, SMALLEST, PAGE, "9")
+    return plan.iterative_clusters(vectors(spark, folder), SETTINGS, old)[0]
+
+
+@query(
+    "member_ranks",
+    f"""{WITH} {GREEDY} SELECT head_id, row_number() OVER (PARTITION BY head_id ORDER BY score DESC, member_id) AS rank,
+        member_id, score FROM g""",
+)
+def member_ranks(spark, folder):
+    return C.member_ranks(greedy_clusters(spark, folder))

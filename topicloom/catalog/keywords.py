@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import query, sql_text, table
+from topicloom.functions import text as T
 from topicloom.operators import keywords as W
-from topicloom.staging import stage
+from topicloom.sources import files
+from topicloom.staging import stage, stage_path
 
 STOP = ("the", "and", "of", "de", "la", "que", "der", "und", "le", "en")
 STOP_SQL = ", ".join(sql_text(w) for w in STOP)
@@ -91,3 +93,38 @@ def topic_keywords(spark, folder):
 def topic_keywords_attach(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return W.attach_keywords(docs, source_keywords(spark, folder), "source").select("doc_id", "source", "keywords")
+
+
+WORD_FILE_SQL = f"SELECT unnest({tokens_sql('text')}) FROM benchmark"
+
+
+def _word_file(spark, folder):
+    """Words of the benchmark texts, written as lines and scanned."""
+    words = table(spark, folder, "benchmark").select(F.explode(T.tokens(F.col("text"))))
+    path = stage_path(spark, "stopwords")
+    files.write_lines(words, path)
+    return files.read_word_list(spark, path)
+
+
+@query(
+    "keywords_with_word_file",
+    f"""WITH {counts_sql('source', where=f'term NOT IN ({WORD_FILE_SQL})')},
+        keys AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS keywords FROM ranked WHERE rank <= 10 GROUP BY topic)
+        SELECT t.topic, coalesce(keywords, '') AS keywords FROM (SELECT DISTINCT source AS topic FROM documents) t LEFT JOIN keys ON keys.topic = t.topic""",
+)
+def keywords_with_word_file(spark, folder):
+    found = W.topic_keywords(_docs(spark, folder, "source"), "text", 10, "source", _word_file(spark, folder))
+    return found.select("topic", F.array_join("keywords", ", ").alias("keywords"))
+
+
+@query(
+    "ngram_counts_word_file",
+    f"""WITH lists AS (SELECT lang AS topic, list_filter({tokens_sql('text')}, lambda t: NOT list_contains(s, t)) AS ws
+                      FROM documents CROSS JOIN (SELECT list(DISTINCT w) AS s FROM (SELECT unnest({tokens_sql('text')}) AS w FROM benchmark))),
+        positions AS (SELECT topic, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists),
+        grams AS (SELECT topic, ws[i] AS term FROM positions UNION ALL SELECT topic, ws[i] || ' ' || ws[i + 1] FROM positions WHERE i < len(ws))
+        SELECT topic, term, count(*) AS n FROM grams GROUP BY topic, term""",
+)
+def ngram_counts_word_file(spark, folder):
+    """One- and two-word terms after the words of the file are gone."""
+    return W.topic_term_counts(_docs(spark, folder, "lang"), "text", "lang", _word_file(spark, folder), (1, 2))

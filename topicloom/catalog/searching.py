@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from topicloom.catalog.clustering import WITH, loop_sql
+from topicloom.catalog.clustering import PART_BYTES, WITH, loop_sql
 from topicloom.catalog.keywords import KEYWORDS_SQL, counts_sql, source_keywords, tokens_sql
 from topicloom.catalog.registry import query, table
 from topicloom.catalog.texts import strip_sql
@@ -212,6 +212,12 @@ def search_flat_l2(spark, folder):
     return S.search_flat(_vectors(spark, folder), _label_means(spark, folder), 5)
 
 
+@query("search_flat_parts", _flat_sql(l2_sql("m.vec", "CAST(e.embedding AS DOUBLE[])"), "ASC"))
+def search_flat_parts(spark, folder):
+    """As above with a bound so low that the queries are sent in several parts."""
+    return S.search_flat(_vectors(spark, folder), stage(_label_means(spark, folder), "means"), 5, limit=PART_BYTES)
+
+
 @query("search_flat_ip", _flat_sql("round(list_inner_product(m.vec, CAST(e.embedding AS DOUBLE[])), 6)", "DESC"))
 def search_flat_ip(spark, folder):
     return S.search_flat(_vectors(spark, folder), _label_means(spark, folder), 5, "ip")
@@ -247,19 +253,27 @@ def search_format(spark, folder):
 # ---------------------------------------------------------------- cells
 
 
-@query(
-    "ivf_assign",
+IVF_ASSIGN_SQL = (
     f"""WITH {MEANS_SQL}, s AS (SELECT e.vec_id AS doc_id, m.label AS cell, {l2_sql('m.vec', 'CAST(e.embedding AS DOUBLE[])')} AS far FROM embeddings e CROSS JOIN mean_vec m),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY far, cell) AS n FROM s)
-        SELECT doc_id, cell FROM r WHERE n = 1""",
+        SELECT doc_id, cell FROM r WHERE n = 1"""
 )
+
+
+@query("ivf_assign", IVF_ASSIGN_SQL)
 def ivf_assign(spark, folder):
     centroids = _label_means(spark, folder).select(F.col("query_id").cast("int").alias("cell"), F.col("vec").alias("centroid"))
     return S.assign_cells(_vectors(spark, folder), centroids).select("doc_id", "cell")
 
 
-@query(
-    "search_ivf",
+@query("ivf_assign_parts", IVF_ASSIGN_SQL)
+def ivf_assign_parts(spark, folder):
+    """As above with a bound so low that the centroids are sent in several parts."""
+    centroids = stage(_label_means(spark, folder).select(F.col("query_id").cast("int").alias("cell"), F.col("vec").alias("centroid")), "means")
+    return S.assign_cells(_vectors(spark, folder), centroids, limit=PART_BYTES).select("doc_id", "cell")
+
+
+SEARCH_IVF_SQL = (
     f"""WITH {HITS_SQL},
         cn AS MATERIALIZED (SELECT CAST(substr(source, 4) AS INTEGER) AS cell, list(x ORDER BY i) AS vec FROM (
             SELECT source, i, avg(vec[i]) AS x FROM (SELECT doc_id, vec, unnest(range(1, {DIM + 1})) AS i FROM dv) JOIN documents USING (doc_id) GROUP BY source, i) GROUP BY source),
@@ -269,24 +283,39 @@ def ivf_assign(spark, folder):
             SELECT item_id, b.vec, cell, row_number() OVER (PARTITION BY item_id ORDER BY {l2_sql('b.vec', 'c.vec')}, cell) AS n FROM bv b CROSS JOIN cn c) WHERE n <= 3),
         s AS (SELECT item_id AS query_id, doc_id, {l2_sql('q.vec', 'd.vec')} AS score FROM qc q JOIN dc d ON d.cell = q.cell),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s)
-        SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 5""",
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 5"""
 )
-def search_ivf(spark, folder):
+
+
+@query("search_ivf", SEARCH_IVF_SQL)
+def search_ivf(spark, folder, limit=S.blocks.BROADCAST_BYTES):
     """Three nearest of the cells whose centroids are the means of the sources."""
     docs, asked = _encoded(spark, folder)
     means = stage(D.mean_pool(docs, ["source"], "vec", "centroid"), "centroids")
     centroids = means.select(F.substring("source", 4, 10).cast("int").alias("cell"), "centroid")
-    return S.search_cells(S.assign_cells(docs, centroids), centroids, asked, 5, 3)
+    return S.search_cells(S.assign_cells(docs, centroids, limit=limit), centroids, asked, 5, 3, limit=limit)
 
 
-@query("search_ivf_trained")
+@query("search_ivf_parts", SEARCH_IVF_SQL)
+def search_ivf_parts(spark, folder):
+    """As above with a bound so low that the queries are sent in several parts."""
+    return search_ivf(spark, folder, 4 * PART_BYTES)
+
+
+@query(
+    "search_ivf_trained",
+    f"""WITH {HITS_SQL},
+        s AS (SELECT b.item_id AS query_id, d.doc_id, {l2_sql('b.vec', 'd.vec')} AS score FROM bv b CROSS JOIN dv d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 5""",
+)
 def search_ivf_trained(spark, folder):
-    """K-means cells kept as a table by cell; centroids depend on the optimizer, so there is no SQL."""
+    """K-means cells kept as a table by cell; all cells are probed, which must equal the exhaustive search."""
     docs, asked = _encoded(spark, folder)
     centroids = S.train_cells(docs, 20)
     path = plan_of_search.index_path(spark)
     S.save_index(S.assign_cells(docs, centroids).select("doc_id", "vec", "cell"), path)
-    return S.search_cells(spark.read.parquet(path), centroids, asked, 5, 6)
+    return S.search_cells(spark.read.parquet(path), centroids, asked, 5, 20)
 
 
 # ---------------------------------------------------------------- the whole way
@@ -295,8 +324,7 @@ def search_ivf_trained(spark, folder):
 E2E = plan.Settings(threshold=0.8, min_size=3, page_size=1000, iterations=3)
 
 
-@query(
-    "e2e_search",
+E2E_SQL = (
     f"""{WITH} {HITS_SQL}, v AS MATERIALIZED (SELECT doc_id AS id, vec FROM dv), {loop_sql(E2E)},
         numbers AS (SELECT head_id, CAST(row_number() OVER (ORDER BY count(*) DESC, head_id) - 1 AS INTEGER) AS topic FROM found GROUP BY head_id),
         stacked AS MATERIALIZED (
@@ -316,11 +344,28 @@ E2E = plan.Settings(threshold=0.8, min_size=3, page_size=1000, iterations=3)
         s AS (SELECT b.item_id AS query_id, d.doc_id, {l2_sql('b.vec', 'd.vec')} AS score FROM bv b CROSS JOIN fv d),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s)
         SELECT query_id, CAST(r.rank AS INTEGER) AS rank, r.doc_id, r.score, d.topic, k.keywords, d.lang, d.source
-        FROM r JOIN stacked d ON d.doc_id = r.doc_id JOIN keys k ON k.topic = d.topic WHERE r.rank <= 5""",
+        FROM r JOIN stacked d ON d.doc_id = r.doc_id JOIN keys k ON k.topic = d.topic WHERE r.rank <= 5"""
 )
+
+
+@query("e2e_search", E2E_SQL)
 def e2e_search(spark, folder):
     """Documents to clusters, keywords, merged and blended vectors, and ranked hits for all benchmark texts."""
     docs = _docs(spark, folder, "lang", "source")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     built = plan_of_search.build(docs, ENCODER, "text", ["doc_id", "text", "lang", "source"], E2E, n_keywords=10)
     return plan_of_search.search(built, asked, ENCODER, 5, ["topic", "keywords", "lang", "source"])
+
+
+@query("e2e_search_cells", E2E_SQL)
+def e2e_search_cells(spark, folder):
+    """The same hits from tables that were saved by cell and loaded again; the cells are the means of the sources, all probed."""
+    docs = _docs(spark, folder, "lang", "source")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    built = plan_of_search.build(docs, ENCODER, "text", ["doc_id", "text", "lang", "source"], E2E, n_keywords=10)
+    means = stage(D.mean_pool(built.vectors.join(docs.select("doc_id", "source"), "doc_id"), ["source"], "vec", "centroid"), "centroids")
+    centroids = means.select(F.substring("source", 4, 10).cast("int").alias("cell"), "centroid")
+    path = plan_of_search.index_path(spark)
+    plan_of_search.save(plan_of_search.with_cells(built, centroids), path)
+    kept = plan_of_search.load(spark, path)
+    return plan_of_search.search(kept, asked, ENCODER, 5, ["topic", "keywords", "lang", "source"], centroids=centroids, probes=centroids.count())

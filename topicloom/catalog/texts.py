@@ -9,7 +9,7 @@ from topicloom.functions import fixed_values as V
 from topicloom.functions import text as T
 from topicloom.operators import tables
 from topicloom.sources import files
-from topicloom.staging import stage_path
+from topicloom.staging import ordered_index, stage_path
 
 WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(5760)||" + (
     "||".join(f"chr({c})" for c in [*range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
@@ -166,6 +166,26 @@ def preview_count(spark, folder):
     return tables.preview(table(spark, folder, "documents").select("doc_id", "lang", "source"), [F.asc("doc_id")])
 
 
+@query(
+    "preview_last",
+    """SELECT doc_id, lang, source, (SELECT count(*) FROM documents) AS total_rows
+       FROM documents ORDER BY doc_id DESC LIMIT 5""",
+)
+def preview_last(spark, folder):
+    return tables.preview(table(spark, folder, "documents").select("doc_id", "lang", "source"), [F.desc("doc_id")])
+
+
+@query(
+    "string_row_ids",
+    """WITH k AS (SELECT doc_id, md5(source || '-' || doc_id) AS case_id FROM documents)
+       SELECT doc_id, case_id, row_number() OVER (ORDER BY case_id) - 1 AS id FROM k""",
+)
+def string_row_ids(spark, folder):
+    """A number for every string key, in key order, as the vector operators take it."""
+    docs = table(spark, folder, "documents").select("doc_id", F.md5(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))).alias("case_id"))
+    return ordered_index(docs, [F.asc("case_id")], "id", "numbered")
+
+
 # ---------------------------------------------------------------- text functions
 
 

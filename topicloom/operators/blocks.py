@@ -1,8 +1,9 @@
-"""Vector against vector work: a small checked side goes to every task, a large one to a block grid."""
+"""Vector against vector work: one side goes to every task, whole when it is small, else part by part."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import kernels as K
+from topicloom.staging import stage, stage_path
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 65536
-BLOCK_BYTES = 128 * 1024 * 1024
 
 
 @dataclass
@@ -24,51 +25,81 @@ class SmallSide:
     extra: pa.Table
 
 
-def fetch_small(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: int = BROADCAST_BYTES) -> SmallSide | None:
-    """The side as arrays in id order when it is small, else None.
-
-    The number of rows that the bytes allow follows from the dimension of a first
-    row, so no more than these, and one, leave the executors.
-    """
+def _allowed(df: DataFrame, vec_col: str, limit: int) -> int:
+    """Rows of the dimension of a first row that the bytes allow."""
     first = df.select(F.size(vec_col).alias("dim")).first()
-    allowed = min(BROADCAST_ROWS, limit // (8 * max(1, first["dim"] if first else 1)))
-    table = df.select(id_col, vec_col, *extra).limit(allowed + 1).toArrow()
-    if table.num_rows > allowed:
-        return None
+    return min(BROADCAST_ROWS, limit // (8 * max(1, first["dim"] if first else 1)))
+
+
+def _side(table: pa.Table, id_col: str, vec_col: str, extra: tuple[str, ...]) -> SmallSide:
     ids = table.column(id_col).to_numpy().astype(np.int64)
     order = np.argsort(ids, kind="stable")
     table = table.take(pa.array(order))
-    rows = K.matrix(table.column(vec_col))
-    if rows.nbytes > limit:
-        return None
-    return SmallSide(ids[order], rows, table.select(list(extra)))
-
+    return SmallSide(ids[order], K.matrix(table.column(vec_col)), table.select(list(extra)))
 
-def _block_count(df: DataFrame) -> int:
-    """Blocks of about ``BLOCK_BYTES`` of float vectors in column ``vec``."""
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vec")).alias("dim")).first()
-    return max(1, math.ceil(size["rows"] * 4 * (size["dim"] or 1) / BLOCK_BYTES))
 
+def fetch_small(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: int = BROADCAST_BYTES) -> SmallSide | None:
+    """The side as arrays in id order when it is small, else None.
 
-def grid(big: DataFrame, big_id: str, small: DataFrame, small_id: str, run, schema: str) -> DataFrame:
-    """Run ``run(big block, small block)`` on every cell of a grid of bounded blocks.
-
-    Blocks come from a hash of the unique ids, so no value can make one hot.
-    Either side is copied once per block of the other side, which is why blocks
-    are as large as a task can hold.
+    The number of rows that the bytes allow follows from the dimension of a first
+    row, so no more than these, and one, leave the executors.
     """
-    big_blocks, small_blocks = _block_count(big), _block_count(small)
-
-    def cells(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(F.lit(own), key), F.lit(count))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<bigint>"))
-        )
+    allowed = _allowed(df, vec_col, limit)
+    table = df.select(id_col, vec_col, *extra).limit(allowed + 1).toArrow()
+    return None if table.num_rows > allowed else _side(table, id_col, vec_col, extra)
 
-    left = cells(big, big_id, "_b", big_blocks, "_s", small_blocks)
-    right = cells(small, small_id, "_s", small_blocks, "_b", big_blocks)
 
-    def cell(one: pa.Table, two: pa.Table) -> pa.Table:
-        return run(one, two)
+def parts_of(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: int = BROADCAST_BYTES) -> Iterator[SmallSide]:
+    """A large side in parts of about ``limit`` bytes, one after the other.
 
-    cell.__annotations__ = {"one": pa.Table, "two": pa.Table, "return": pa.Table}
-    return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(cell, schema)
+    Parts come from a hash of the unique ids, so no value can make one hot.  The
+    side is written once by part; fetching a part reads that part alone.
+    """
+    side = stage(df.select(id_col, vec_col, *extra), "side")
+    # Half of what the bytes allow, so that a part a little over the mean still fits.
+    count = max(1, math.ceil(2 * side.count() / max(2, _allowed(side, vec_col, limit))))
+    part = F.pmod(F.xxhash64(F.lit("part"), id_col), F.lit(count))
+    path = stage_path(df.sparkSession, "parts")
+    side.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    for number in range(count):
+        table = written.where(F.col("_part") == number).select(id_col, vec_col, *extra).toArrow()
+        if table.num_rows:
+            yield _side(table, id_col, vec_col, extra)
+
+
+def against(
+    big: DataFrame,
+    small: DataFrame,
+    id_col: str,
+    vec_col: str,
+    *extra: str,
+    pack: Callable[[SmallSide], object],
+    task: Callable[[object], Callable],
+    schema: str,
+    limit: int = BROADCAST_BYTES,
+    narrow: Callable[[DataFrame, object], DataFrame] | None = None,
+    derived: bool = False,
+) -> tuple[DataFrame, bool]:
+    """``big.mapInArrow(task(packed side))`` over the whole small side, in one pass or one per part.
+
+    Returns the results and whether there were several parts.  The big side is scanned where it lies and never shuffled.  A side within
+    ``limit`` makes one lazy pass.  A larger one is sent part by part; the
+    narrow results of each pass are written, so at most one part is held in the
+    driver and in a task.  A row of ``big`` then has results from each part.
+    ``derived`` writes ``big`` before the passes, for one that is no plain table.
+    """
+    spark = big.sparkSession
+    narrow = narrow or (lambda rows, packed: rows)
+    side = fetch_small(small, id_col, vec_col, *extra, limit=limit)
+    if side is not None:
+        packed = pack(side)
+        return narrow(big, packed).mapInArrow(task(spark.sparkContext.broadcast(packed)), schema), False
+    big = stage(big, "scanned") if derived else big
+    path = stage_path(spark, "passes")
+    for side in parts_of(small, id_col, vec_col, *extra, limit=limit):
+        packed = pack(side)
+        shared = spark.sparkContext.broadcast(packed)
+        narrow(big, packed).mapInArrow(task(shared), schema).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path), True

@@ -134,6 +134,20 @@ def best_per_member(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("head_id", "member_id").agg(F.max("score").alias("score"))
 
 
+def member_ranks(clusters: DataFrame) -> DataFrame:
+    """``(head_id, rank, member_id, score)``: 1 for the best score of a cluster, ties to the lower member.
+
+    Ranks are positions in an order over all rows minus that of the cluster's
+    first row, so a cluster with a third of all rows spreads over many tasks.
+    """
+    placed = ordered_index(
+        clusters.select(*CLUSTER_COLUMNS), [F.asc("head_id"), F.desc("score"), F.asc("member_id")], "_at", "ranked"
+    )
+    starts = placed.groupBy("head_id").agg(F.min("_at").alias("_start"))
+    rank = (F.col("_at") - F.col("_start") + 1).alias("rank")
+    return placed.join(starts, "head_id").select("head_id", rank, "member_id", "score")
+
+
 def remove_overlap(clusters: DataFrame) -> DataFrame:
     """Each member stays in its largest cluster, equal sizes by lower head."""
     sized = clusters.join(cluster_sizes(clusters), "head_id")
@@ -251,26 +265,31 @@ def assign_nearest(
     """Nearest head of every vector when its cosine reaches the threshold: a cluster table.
 
     ``heads`` has the columns ``id_col`` and ``vec_col``.  A small head side goes
-    to every task and the vectors stay where they are; a large one runs on a grid
-    of bounded blocks and the best block result wins.
+    to every task and the vectors stay where they are; a large one is sent part by
+    part, and the best of a vector's heads in the parts wins.
     """
     vectors = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("member_id"), F.col(vec_col).alias("vec"))
     heads = heads.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("head_id"), F.col(vec_col).alias("vec"))
-    small = blocks.fetch_small(heads, "head_id", "vec", limit=limit)
-    if small is None:
-        if vectors.isStreaming:
-            raise ValueError("a stream needs a head table that fits the broadcast limit")
-        return _nearest_grid(vectors, heads, threshold)
-    if not len(small.ids):
-        return no_clusters(vectors.sparkSession)
-    shared = vectors.sparkSession.sparkContext.broadcast((small.ids, K.unit_rows(small.rows)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_ids, head_units = shared.value
-        for batch in batches:
-            yield from _nearest_table(batch, head_ids, head_units, threshold).to_batches()
+    def task(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            head_ids, head_units = shared.value
+            for batch in batches:
+                if batch.num_rows and len(head_ids):
+                    yield from _nearest_table(batch, head_ids, head_units, threshold).to_batches()
 
-    return vectors.mapInArrow(run, K.CLUSTER_SCHEMA)
+        return run
+
+    found, parts = blocks.against(
+        vectors, heads, "head_id", "vec", pack=lambda s: (s.ids, K.unit_rows(s.rows)), task=task,
+        schema=K.CLUSTER_SCHEMA, limit=limit, derived=True,
+    )
+    if not parts:
+        return found
+    best = found.groupBy("member_id").agg(
+        F.max_by(F.struct("head_id", "score"), F.struct(F.col("score"), -F.col("head_id"))).alias("best")
+    )
+    return best.select("best.head_id", "member_id", "best.score")
 
 
 def _nearest_table(data: pa.RecordBatch | pa.Table, head_ids, head_units, threshold: float) -> pa.Table:
@@ -285,24 +304,6 @@ def _nearest_table(data: pa.RecordBatch | pa.Table, head_ids, head_units, thresh
     )
 
 
-def _nearest_grid(vectors: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    def run(rows: pa.Table, some_heads: pa.Table) -> pa.Table:
-        if not rows.num_rows or not some_heads.num_rows:
-            return pa.table(
-                {"head_id": pa.array([], pa.int64()), "member_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-            )
-        ids = some_heads.column("head_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        units = K.unit_rows(K.matrix(some_heads.column("vec")))
-        return _nearest_table(rows, ids[order], units[order], threshold)
-
-    found = blocks.grid(vectors, "member_id", heads, "head_id", run, K.CLUSTER_SCHEMA)
-    best = found.groupBy("member_id").agg(
-        F.max_by(F.struct("head_id", "score"), F.struct(F.col("score"), -F.col("head_id"))).alias("best")
-    )
-    return best.select("best.head_id", "member_id", "best.score")
-
-
 # ---------------------------------------------------------------- create and stack
 
 

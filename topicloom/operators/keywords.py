@@ -10,17 +10,6 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as T
 from topicloom.staging import stage
 
-MAX_STOPWORDS = 50_000
-
-
-def stopword_list(words: DataFrame) -> list[str]:
-    """A checked small one-column table as a list for the token filter."""
-    rows = words.select(F.col(words.columns[0]).alias("w")).where("w is not null").distinct().limit(MAX_STOPWORDS + 1).collect()
-    if len(rows) > MAX_STOPWORDS:
-        raise ValueError(f"more than {MAX_STOPWORDS} stopwords")
-    return sorted(r["w"] for r in rows)
-
-
 def topic_term_counts(
     docs: DataFrame,
     text_col: str,
@@ -32,8 +21,8 @@ def topic_term_counts(
 ) -> DataFrame:
     """``(topic, term, n)``; stopwords go before n-grams are built.
 
-    Stopwords in a table of any size are joined away from single words; for
-    n-grams the table is fetched as a list.
+    A table of stopwords may have any size: it is joined away from the words of
+    the texts and never fetched.
 
     Counting is partial before the shuffle and keyed by topic and term, so a
     topic with a third of all rows spreads over its terms.  ``cross_docs`` adds
@@ -48,22 +37,38 @@ def topic_term_counts(
         elif stopwords:
             terms = terms.where(~F.col("term").isin(*stopwords))
     else:
-        stopwords = stopword_list(stopwords) if isinstance(stopwords, DataFrame) else stopwords
-        # The word list is a column of its own, so the n-gram lambdas do not tokenise again.
-        words = T.drop_words(T.tokens(F.col(text_col)), stopwords)
-        listed = docs.select(F.col(topic_col).alias("topic"), words.alias("_words"))
-        terms = listed.select("topic", F.explode(T.ngrams(F.col("_words"), low, high)).alias("term"))
+        listed = word_lists(docs, text_col, topic_col, order_col, stopwords)
+        terms = listed.select("topic", F.explode(T.ngrams(F.col("words"), low, high)).alias("term"))
     if cross_docs and high > 1:
         if order_col is None:
             raise ValueError("cross_docs needs a unique order_col")
-        terms = terms.unionByName(border_ngrams(docs, text_col, topic_col, order_col, stopwords, low, high))
+        terms = terms.unionByName(border_ngrams(listed, low, high))
     return terms.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def border_ngrams(
-    docs: DataFrame, text_col: str, topic_col: str, order_col: str, stopwords: Sequence[str], low: int, high: int
+def word_lists(
+    docs: DataFrame, text_col: str, topic_col: str, order_col: str | None, stopwords: Sequence[str] | DataFrame
 ) -> DataFrame:
-    """n-grams over text borders: ``(topic, term)``, one row per occurrence.
+    """``(topic, ord, words)`` of every text without the stopwords; ``ord`` is null without ``order_col``.
+
+    Words of a table are joined away one by one and the rest is put together
+    again per row, which is never more than one text in a group.
+    """
+    order = F.lit(None) if order_col is None else F.col(order_col)
+    words = T.tokens(F.col(text_col))
+    if not isinstance(stopwords, DataFrame):
+        return docs.select(F.col(topic_col).alias("topic"), order.alias("ord"), T.drop_words(words, stopwords).alias("words"))
+    listed = docs.select(F.col(topic_col).alias("topic"), order.alias("ord"), words.alias("words"))
+    listed = stage(listed.withColumn("_row", F.monotonically_increasing_id()), "listed")
+    stops = stopwords.select(F.col(stopwords.columns[0]).alias("word"))
+    left = listed.select("_row", F.posexplode("words").alias("at", "word")).join(stops, "word", "left_anti")
+    left = left.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
+    kept = left.select("_row", F.transform("w", lambda x: x["word"]).alias("words"))
+    return listed.drop("words").join(kept, "_row").select("topic", "ord", "words")
+
+
+def border_ngrams(listed: DataFrame, low: int, high: int) -> DataFrame:
+    """n-grams over text borders of ``(topic, ord, words)``: ``(topic, term)``, one row per occurrence.
 
     Each text gets the position of its first word inside its topic: words of
     earlier texts of its range partition plus words of earlier partitions.  Only
@@ -71,14 +76,12 @@ def border_ngrams(
     n-gram; they are sent to the start positions they may belong to, so a group
     holds at most ``high`` words.
     """
-    words = T.drop_words(T.tokens(F.col(text_col)), stopwords)
     edge = high - 1
-    narrow = docs.select(F.col(topic_col).alias("topic"), F.col(order_col).alias("ord"), words.alias("words"))
     numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
     size = F.size("words")
     # Both ends of the list; the second piece starts behind the first, so no word is sent twice.
     ends = F.concat(F.slice(numbered, 1, edge), F.slice(numbered, F.greatest(size - edge, F.lit(edge)) + 1, edge))
-    narrow = narrow.select("topic", "ord", size.alias("size"), ends.alias("edges")).where(F.col("size") > 0)
+    narrow = listed.select("topic", "ord", size.alias("size"), ends.alias("edges")).where(F.col("size") > 0)
     # Range partitioning reads its input twice, once for a sample; the texts are read once for both.
     narrow = stage(narrow, "edges")
     ranged = stage(narrow.repartitionByRange("topic", "ord").withColumn("_part", F.spark_partition_id()), "borders")
@@ -138,7 +141,7 @@ def topic_keywords(
     text_col: str,
     n: int,
     topic_col: str = "topic",
-    stopwords: Sequence[str] = (),
+    stopwords: Sequence[str] | DataFrame = (),
     ngram_range: tuple[int, int] = (1, 1),
     cross_docs: bool = False,
     order_col: str | None = None,

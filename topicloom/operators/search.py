@@ -54,26 +54,28 @@ def search_flat(
 
     The vector table is scanned once and never shuffled: each task keeps the best
     ``k`` per query of its rows, and only these meet in the final ranking.  A
-    query batch beyond the size limit runs on a grid of bounded blocks.
+    query batch beyond the size limit takes one scan per bounded part of it.
     """
     _check(metric, k)
     vectors = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("vec"))
     queries = queries.where(F.col(query_vec).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec")
     )
-    small = blocks.fetch_small(queries, "query_id", "vec", limit=limit)
-    if small is None:
-        return _ranked(_flat_grid(vectors, queries, k, metric), k, metric)
-    shared = vectors.sparkSession.sparkContext.broadcast((small.ids, small.rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows = shared.value
-        best = K.TopK(len(query_ids), k)
-        for batch in batches:
-            _add_all(best, query_rows, batch, metric)
-        yield best.table(query_ids, metric)
+    def task(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, query_rows = shared.value
+            best = K.TopK(len(query_ids), k)
+            for batch in batches:
+                _add_all(best, query_rows, batch, metric)
+            yield best.table(query_ids, metric)
 
-    return _ranked(vectors.mapInArrow(run, HITS_SCHEMA), k, metric)
+        return run
+
+    hits, _ = blocks.against(
+        vectors, queries, "query_id", "vec", pack=lambda s: (s.ids, s.rows), task=task, schema=HITS_SCHEMA, limit=limit
+    )
+    return _ranked(hits, k, metric)
 
 
 def _add_all(best: K.TopK, query_rows: np.ndarray, data: pa.RecordBatch | pa.Table, metric: str) -> None:
@@ -85,16 +87,6 @@ def _add_all(best: K.TopK, query_rows: np.ndarray, data: pa.RecordBatch | pa.Tab
         best.add(np.arange(block.start, block.stop), ids, K.distances(query_rows[block], rows, metric))
 
 
-def _flat_grid(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        best = K.TopK(asked.num_rows, k)
-        if asked.num_rows:
-            _add_all(best, K.matrix(asked.column("vec")), rows, metric)
-        return pa.Table.from_batches([best.table(asked.column("query_id").to_numpy(), metric)])
-
-    return blocks.grid(vectors, "doc_id", queries, "query_id", run, HITS_SCHEMA)
-
-
 def train_cells(vectors: DataFrame, cells: int, vec_col: str = "vec", seed: int = 7, max_iter: int = 20) -> DataFrame:
     """K-means centroids of the vectors: ``(cell, centroid)``, at most ``cells`` rows."""
     data = vectors.where(F.col(vec_col).isNotNull()).select(array_to_vector(F.col(vec_col)).alias("features"))
@@ -104,30 +96,68 @@ def train_cells(vectors: DataFrame, cells: int, vec_col: str = "vec", seed: int
 
 
 def assign_cells(
-    vectors: DataFrame, centroids: DataFrame, vec_col: str = "vec", out: str = "cell", keep: int = 1
+    vectors: DataFrame, centroids: DataFrame, vec_col: str = "vec", out: str = "cell", keep: int = 1,
+    id_col: str = "doc_id", limit: int = blocks.BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add the nearest cell (squared L2, ties to the lower cell), or an array of the ``keep`` nearest."""
-    small = blocks.fetch_small(centroids, "cell", "centroid")
+    """Add the nearest cell (squared L2, ties to the lower cell), or an array of the ``keep`` nearest.
+
+    Centroids beyond the limit are compared part by part; the best of the parts
+    are then joined to the vectors by the unique ``id_col``.
+    """
+    vectors = vectors.where(F.col(vec_col).isNotNull())
+    small = blocks.fetch_small(centroids, "cell", "centroid", limit=limit)
     if small is None:
-        raise ValueError("the centroid table is larger than the broadcast limit; use fewer cells")
+        return _cells_by_parts(vectors, centroids, vec_col, out, keep, id_col, limit)
     shared = vectors.sparkSession.sparkContext.broadcast((small.ids, small.rows))
 
     def run(vecs: pa.Array) -> pa.Array:
-        cell_ids, centers = shared.value
-        rows = K.matrix(vecs)
-        wanted = min(keep, len(cell_ids))
-        nearest = np.empty((len(rows), wanted), np.int32)
-        for block in K.row_blocks(len(rows), len(cell_ids)):
-            far = np.round(K.distances(rows[block], centers, "l2"), X.ROUND)
-            nearest[block] = cell_ids[np.argsort(far, axis=1, kind="stable")[:, :wanted]]
-        if keep == 1:
-            return pa.array(nearest[:, 0], pa.int32())
-        offsets = np.arange(0, nearest.size + 1, wanted, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(nearest.ravel()))
+        nearest, _ = _nearest_cells(K.matrix(vecs), *shared.value, keep)
+        return pa.array(nearest[:, 0], pa.int32()) if keep == 1 else _lists(nearest, pa.int32())
 
     run.__annotations__ = {"vecs": pa.Array, "return": pa.Array}
     cell = arrow_once(run, "int" if keep == 1 else "array<int>")
-    return vectors.where(F.col(vec_col).isNotNull()).withColumn(out, cell(F.col(vec_col)))
+    return vectors.withColumn(out, cell(F.col(vec_col)))
+
+
+def _nearest_cells(rows: np.ndarray, cell_ids: np.ndarray, centers: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(rows, keep)`` cells, nearest first, and their distances."""
+    wanted = min(keep, len(cell_ids))
+    nearest, far = np.empty((len(rows), wanted), np.int32), np.empty((len(rows), wanted))
+    for block in K.row_blocks(len(rows), len(cell_ids)):
+        away = np.round(K.distances(rows[block], centers, "l2"), X.ROUND)
+        order = np.argsort(away, axis=1, kind="stable")[:, :wanted]
+        nearest[block], far[block] = cell_ids[order], np.take_along_axis(away, order, axis=1)
+    return nearest, far
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), kind))
+
+
+def _cells_by_parts(vectors: DataFrame, centroids: DataFrame, vec_col: str, out: str, keep: int, id_col: str, limit: int) -> DataFrame:
+    def task(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    cells, far = _nearest_cells(K.matrix(batch.column("vec")), *shared.value, keep)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id"), _lists(far, pa.float64()), _lists(cells, pa.int32())], ["id", "far", "cells"]
+                    )
+
+        return run
+
+    found, _ = blocks.against(
+        vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), centroids, "cell", "centroid",
+        pack=lambda s: (s.ids, s.rows), task=task, schema="id bigint, far array<double>, cells array<int>", limit=limit, derived=True,
+    )
+    # A row has keep entries from each part, so its list is bounded by the number of parts.
+    pairs = F.flatten(F.collect_list(F.arrays_zip("far", "cells")))
+    best = F.transform(F.slice(F.sort_array(pairs), 1, keep), lambda p: p["cells"])
+    best = found.groupBy(F.col("id").alias(id_col)).agg(best.alias(out))
+    if keep == 1:
+        best = best.withColumn(out, F.col(out)[0])
+    return vectors.join(best, id_col)
 
 
 def save_index(vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -161,28 +191,33 @@ def search_cells(
         F.col(id_col).alias("doc_id"), F.col("cell").cast("int").alias("cell"), F.col(vec_col).alias("vec")
     )
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
-    asked = assign_cells(asked, centroids, out="cells", keep=max(2, probes))
+    asked = assign_cells(asked, centroids, out="cells", keep=max(2, probes), id_col="query_id", limit=limit)
     asked = asked.withColumn("cells", F.slice("cells", 1, probes))
-    small = blocks.fetch_small(asked, "query_id", "vec", "cells", limit=limit)
-    if small is None:
-        return _ranked(_cells_grid(vectors, asked, k), k, "l2")
-    probed = small.extra.column("cells").to_pylist()
-    by_cell: dict[int, list[int]] = {}
-    for position, cells in enumerate(probed):
-        for c in cells:
-            by_cell.setdefault(c, []).append(position)
-    wanted = {c: np.array(p) for c, p in by_cell.items()}
-    shared = vectors.sparkSession.sparkContext.broadcast((small.ids, small.rows, wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows, of_cell = shared.value
-        best = K.TopK(len(query_ids), k)
-        for batch in batches:
-            _add_cells(best, query_rows, of_cell, batch)
-        yield best.table(query_ids, "l2")
-
-    near = vectors.where(F.col("cell").isin(*sorted(wanted))) if wanted else vectors.where(F.lit(False))
-    return _ranked(near.mapInArrow(run, HITS_SCHEMA), k, "l2")
+
+    def pack(side: blocks.SmallSide):
+        by_cell: dict[int, list[int]] = {}
+        for position, cells in enumerate(side.extra.column("cells").to_pylist()):
+            for c in cells:
+                by_cell.setdefault(c, []).append(position)
+        return side.ids, side.rows, {c: np.array(p) for c, p in by_cell.items()}
+
+    def narrow(rows: DataFrame, packed) -> DataFrame:
+        return rows.where(F.col("cell").isin(*sorted(packed[2]))) if packed[2] else rows.where(F.lit(False))
+
+    def task(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, query_rows, of_cell = shared.value
+            best = K.TopK(len(query_ids), k)
+            for batch in batches:
+                _add_cells(best, query_rows, of_cell, batch)
+            yield best.table(query_ids, "l2")
+
+        return run
+
+    hits, _ = blocks.against(
+        vectors, asked, "query_id", "vec", "cells", pack=pack, task=task, schema=HITS_SCHEMA, limit=limit, narrow=narrow
+    )
+    return _ranked(hits, k, "l2")
 
 
 def _add_cells(best: K.TopK, query_rows: np.ndarray, of_cell: dict, data: pa.RecordBatch | pa.Table) -> None:
@@ -201,21 +236,6 @@ def _add_cells(best: K.TopK, query_rows: np.ndarray, of_cell: dict, data: pa.Rec
             best.add(part, ids[inside], K.distances(query_rows[part], rows[inside], "l2"))
 
 
-def _cells_grid(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        best = K.TopK(queries.num_rows, k)
-        if queries.num_rows:
-            by_cell: dict[int, list[int]] = {}
-            for position, cells in enumerate(queries.column("cells").to_pylist()):
-                for c in cells:
-                    by_cell.setdefault(c, []).append(position)
-            of_cell = {c: np.array(p) for c, p in by_cell.items()}
-            _add_cells(best, K.matrix(queries.column("vec")), of_cell, rows)
-        return pa.Table.from_batches([best.table(queries.column("query_id").to_numpy(), "l2")])
-
-    return blocks.grid(vectors, "doc_id", asked, "query_id", run, HITS_SCHEMA)
-
-
 def attach_documents(hits: DataFrame, docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """Hits with the chosen columns of their documents.
 

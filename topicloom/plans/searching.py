@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,18 +58,35 @@ def build(
 
 def search(
     built: Built, queries: DataFrame, encoder: Encoder, k: int, columns: list[str], metric: str = "l2",
-    id_col: str = "doc_id", query_text: str = "text",
+    id_col: str = "doc_id", query_text: str = "text", centroids: DataFrame | None = None, probes: int = 1,
 ) -> DataFrame:
-    """Top ``k`` documents of every query text with the chosen document columns."""
-    asked = encode(queries, encoder, query_text).select("query_id", "vec")
-    hits = S.search_flat(built.vectors, asked, k, metric, id_col)
+    """Top ``k`` documents of every query text with the chosen document columns.
+
+    With ``centroids`` only the ``probes`` nearest cells of a query are searched;
+    the vectors of ``built`` must carry their cells (see ``with_cells``).
+    Queries are encoded once and written, since a search reads them several times.
+    """
+    asked = stage(encode(queries, encoder, query_text).select("query_id", "vec"), "asked")
+    if centroids is None:
+        hits = S.search_flat(built.vectors, asked, k, metric, id_col)
+    elif metric != "l2":
+        raise ValueError("cells are searched by 'l2' only")
+    else:
+        hits = S.search_cells(built.vectors, centroids, asked, k, probes, id_col)
     return S.attach_documents(hits, built.docs, columns, id_col)
 
 
+def with_cells(built: Built, centroids: DataFrame, id_col: str = "doc_id") -> Built:
+    """``built`` with the nearest cell of every vector, written once by cell."""
+    path = index_path(centroids.sparkSession)
+    S.save_index(S.assign_cells(built.vectors, centroids, id_col=id_col), path)
+    return replace(built, vectors=centroids.sparkSession.read.parquet(path))
+
+
 def save(built: Built, folder: str, mode: str = "errorifexists") -> None:
     """Keep the stage tables, so that a later session can search without clustering again."""
     for name in ("docs", "vectors", "clusters"):
-        getattr(built, name).write.mode(mode).parquet(f"{folder.rstrip('/')}/{name}")
+        S.save_index(getattr(built, name), f"{folder.rstrip('/')}/{name}", mode)
 
 
 def load(spark: SparkSession, folder: str) -> Built:

@@ -6,27 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from topicloom.operators import blocks
 from topicloom.operators import clusters as C
+from topicloom.staging import stage_scope
 
 
 def assign_stream(
     arrivals: DataFrame, heads: DataFrame, threshold: float, path: str, checkpoint: str,
-    id_col: str = "id", vec_col: str = "vec",
+    id_col: str = "id", vec_col: str = "vec", limit: int = blocks.BROADCAST_BYTES,
 ) -> StreamingQuery:
     """Append a cluster table row for every arriving vector that reaches a head.
 
     Each arriving row is looked at on its own, so there is no state and no late
-    data; heads are fixed when the query starts.  Rows that reach no head are
-    left for the next batch run of the clustering plan.  The head table must be
-    small enough for every task, because the block grid needs counts that a
-    stream does not have.
+    data; ``heads`` is a written table that does not change while the query
+    runs.  Every micro-batch goes through the batch operator, so the head table
+    may have any size.  A batch owns one folder ``batch=<number>`` and writes it
+    anew when it is repeated after a failure, so no row is doubled.
+    Rows that reach no head are left for the next batch run of the clustering
+    plan.
     """
-    found = C.assign_nearest(arrivals, heads, threshold, id_col, vec_col)
+
+    def take_in(rows: DataFrame, number: int) -> None:
+        with stage_scope():
+            found = C.assign_nearest(rows, heads, threshold, id_col, vec_col, limit)
+            found.withColumn("assigned_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
     return (
-        found.withColumn("assigned_at", F.current_timestamp())
-        .writeStream.format("parquet")
+        arrivals.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
