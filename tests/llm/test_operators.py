@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 
@@ -288,6 +289,34 @@ def test_shards_are_even_and_keep_groups(spark):
     assert label_propagation.balanced_shards(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 3])
+def test_shards_hold_groups_together_without_any_unique_text(spark, size):
+    rows = [(i, f"copy {i // size}") for i in range(600 * size)]
+    got = label_propagation.balanced_shards(table(spark, rows), shards=8).collect()
+    count = collections.Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and len(count) == 8 and max(count.values()) - min(count.values()) <= 1
+    where = collections.defaultdict(set)
+    for r in got:
+        where[r["doc_id"] // size].add(r["shard"])
+    assert sum(len(x) == 1 for x in where.values()) >= 0.9 * 600
+
+
+def test_granted_wishes_are_the_most_that_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        wishes = rng.integers(0, 3, (3, 3))
+        np.fill_diagonal(wishes, 0)
+        room = rng.integers(0, 2, 3)
+        got = label_propagation._granted(wishes, room)
+        assert (got >= 0).all() and (got <= wishes).all() and (got.sum(axis=0) - got.sum(axis=1) <= room).all()
+        most = 0
+        for flat in itertools.product(*[range(w + 1) for w in wishes.ravel()]):
+            x = np.array(flat).reshape(3, 3)
+            if (x.sum(axis=0) - x.sum(axis=1) <= room).all():
+                most = max(most, x.sum())
+        assert got.sum() == most
+
+
 def test_components_of_long_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 200), (200, 100)]
     got = {r["id"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "c").collect()}

@@ -1,14 +1,18 @@
 """Shards of even size that keep linked rows together, by balanced label propagation.
 
 Rows with an equal link key are neighbours.  Each round, rows want to move to
-the shard that holds most of their neighbours.  A shard takes in as many as it
-has rows without neighbours; those make room by filling the places that movers
-left elsewhere.  So every shard has the same number of rows after each round
-(Ugander and Backstrom, 2013, bound the moves between shards likewise).
+the shard that holds most of their neighbours; ties are broken anew each round.
+Of all wishes from shard to shard, the most are granted such that no shard gains
+more rows than it has without neighbours: rows change places in pairs and in
+longer rings, and rows without neighbours fill the places left over.  So every
+shard has the same number of rows after each round (Ugander and Backstrom, 2013,
+bound the moves between shards likewise).  The rounds go on until they no longer
+bring rows together.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +20,11 @@ from topicloom.llm.common import ranked
 from topicloom.staging import stage
 
 SHARDS = 40
-ROUNDS = 6
+#: Rounds in a row, each with other ties, that bring no more rows together before the end.
+PATIENCE = 4
 
 
-def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, link: Column | None = None) -> DataFrame:
+def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int | None = None, link: Column | None = None) -> DataFrame:
     """``(row, doc_id, size, text_crc32, link, shard, slot)``: one row per input row.
 
     Law: the numbers of rows of two shards differ by one at most.  ``size`` is
@@ -28,7 +33,8 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     larger than a shard is dealt to as many shards as it needs and no more.
 
     Every state is a written table; joins and counts by key do the moving, and
-    of each round only the counts per shard reach the driver.  Null texts have
+    of each round only the counts per pair of shards reach the driver.
+    ``rounds`` bounds the rounds; by default they run to their end.  Null texts have
     size 16 and the checksum 0; they and empty texts have no neighbours.
     Null and repeated ids are rows like others.  An empty table gives no rows.
     """
@@ -46,38 +52,101 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows without neighbours carry no group size; they make room
     state = stage(tied.select("row", "link", "_g", "shard"), "state")
     room = max(1, total // shards)
-    for _ in range(rounds if total else 0):
-        moved = _round(state, shards, room)
-        if moved is None:
+    least, kept, stale, turn = None, state, 0, 0
+    while total:
+        apart = _apart(state, room)
+        if least is None or apart < least:
+            least, kept, stale = apart, state, 0
+        else:
+            stale += 1
+        if apart == 0 or stale == PATIENCE or turn == rounds:
             break
-        state = moved
+        # every other round without gain, groups pass over shards that have no room
+        state = _round(state, shards, room, turn, stale % 2 == 1)
+        turn += 1
+    state = kept
     out = rows.join(state.select(F.col("row").alias("_row"), "shard"), F.col("row") == F.col("_row")).drop("_row")
     return ranked(out, ["shard"], [F.xxhash64("row"), F.col("row")], "slot", "slots")
 
 
-def _round(state: DataFrame, shards: int, room: int) -> DataFrame | None:
+def _held(state: DataFrame, room: int) -> DataFrame:
+    """Rows of each group in each shard, and how many shards the group needs at least."""
     held = state.where("link is not null").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("_g").alias("_g"))
+    return held.withColumn("need", F.ceil(F.col("_g") / F.lit(room)).cast("int"))
+
+
+def _apart(state: DataFrame, room: int) -> int:
+    """Rows outside the shards that hold most of their group."""
+    groups = _held(state, room).groupBy("link").agg(F.max("need").alias("need"), F.sort_array(F.collect_list("n"), asc=False).alias("_n"))
+    rest = F.slice("_n", F.col("need") + 1, F.greatest(F.size("_n") - F.col("need"), F.lit(0)))
+    return groups.agg(F.coalesce(F.sum(F.aggregate(rest, F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()[0]
+
+
+def _granted(wishes: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The most of ``wishes[i, j]`` from shard i to j such that no shard gains more than its ``room``.
+
+    All are granted first.  From shards that then gain too much, rows are sent
+    back along shortest paths to shards that can keep them, each step refusing a
+    wish or granting a refused one (a flow of least cost).
+    """
+    granted = wishes.copy()
+    over = granted.sum(axis=0) - granted.sum(axis=1) - room
+    while (over > 0).any():
+        again = granted < wishes
+        cost = np.where(again, -1.0, np.where(granted.T > 0, 1.0, np.inf))
+        far, before = np.where(over > 0, 0.0, np.inf), np.full(len(room), -1)
+        while True:
+            ways = far[:, None] + cost
+            first = ways.argmin(axis=0)
+            nearer = ways.min(axis=0) < far
+            if not nearer.any():
+                break
+            far[nearer], before[nearer] = ways.min(axis=0)[nearer], first[nearer]
+        end = at = int(np.where(over < 0, far, np.inf).argmin())
+        steps = []
+        while before[at] >= 0:
+            steps.append((int(before[at]), at))
+            at = int(before[at])
+        count = min(over[at], -over[end], *[wishes[j, i] - granted[j, i] if again[j, i] else granted[i, j] for j, i in steps])
+        for j, i in steps:
+            if again[j, i]:
+                granted[j, i] += count
+            else:
+                granted[i, j] -= count
+        over[at] -= count
+        over[end] += count
+    return granted
+
+
+def _round(state: DataFrame, shards: int, room: int, turn: int, pass_full: bool) -> DataFrame:
+    spark = state.sparkSession
     free = state.where("link is null")
-    room_of = {r["shard"]: r["n"] for r in free.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    quota = F.array(*[F.lit(room_of.get(s, 0)) for s in range(shards)])
-    # a group that fits into one shard passes over shards that can take in nobody
-    open_ = (F.col("_g") > room) | (F.element_at(quota, (F.col("shard") + 1).cast("int")) > 0)
-    wanted = F.struct(open_.alias("o"), "n", (-F.col("shard")).alias("s"))
-    best = held.groupBy("link").agg(F.max("_g").alias("_all"), F.sort_array(F.collect_list(wanted), asc=False).alias("_top"))
-    need = F.least(F.ceil(F.col("_all") / F.lit(room)), F.size("_top")).cast("int")
-    best = best.where(F.size("_top") > need).select(F.col("link").alias("_k"), F.transform(F.slice("_top", 1, need), lambda x: -x["s"]).alias("_to"))
+    room_of = np.zeros(shards, np.int64)
+    for r in free.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():
+        room_of[r["shard"]] = r["n"]
+    # a group that fits into one shard may pass over shards that have no room
+    full = F.array(*[F.lit(bool(n == 0)) for n in room_of])
+    open_ = (F.col("need") > 1) | ~F.element_at(full, (F.col("shard") + 1).cast("int")) if pass_full else F.lit(True)
+    wanted = F.struct(open_.alias("o"), "n", F.xxhash64("link", "shard", F.lit(turn)).alias("t"), F.col("shard").alias("s"))
+    best = _held(state, room).groupBy("link").agg(F.max("need").alias("need"), F.sort_array(F.collect_list(wanted), asc=False).alias("_top"))
+    best = best.where(F.size("_top") > F.col("need")).select(F.col("link").alias("_k"), F.transform(F.slice("_top", F.lit(1), F.col("need")), lambda x: x["s"]).alias("_to"))
     wish = state.where("link is not null").join(best, F.col("link") == F.col("_k"))
     wish = wish.where(~F.array_contains("_to", F.col("shard")))
-    wish = wish.select("row", "shard", F.element_at("_to", (F.pmod(F.xxhash64("row", F.lit("wish")), F.size("_to")) + 1).cast("int")).alias("want"))
-    wish = ranked(wish, ["want"], [F.xxhash64("row"), F.col("row")], "turn", "wishes")
-    taken = stage(wish.where(F.col("turn") < F.element_at(quota, (F.col("want") + 1).cast("int"))).select("row", "shard", "want"), "taken")
-    flow = taken.groupBy("shard", "want").agg(F.count(F.lit(1)).alias("n")).collect()
+    wish = wish.select("row", "shard", F.element_at("_to", (F.pmod(F.xxhash64("row", F.lit(turn)), F.size("_to")) + 1).cast("int")).alias("want"))
+    wish = stage(wish, "wishes")
+    wishes = np.zeros((shards, shards), np.int64)
+    for r in wish.groupBy("shard", "want").agg(F.count(F.lit(1)).alias("n")).collect():
+        wishes[r["shard"], r["want"]] = r["n"]
+    granted = _granted(wishes, room_of)
+    flow = [(int(i), int(j), int(granted[i, j])) for i, j in zip(*np.nonzero(granted))]
     if not flow:
-        return None
-    gain = [0] * shards
-    for r in flow:
-        gain[r["want"]] += r["n"]
-        gain[r["shard"]] -= r["n"]
+        return state
+    parts = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // shards)
+    wish = ranked(wish, ["shard", "want"], [F.xxhash64("row", F.lit(turn)), F.col("row")], "turn", "wishes", parts)
+    bound = F.broadcast(spark.createDataFrame(flow, "_i int, _j int, _most long"))
+    taken = wish.join(bound, (F.col("shard") == F.col("_i")) & (F.col("want") == F.col("_j"))).where("turn < _most")
+    taken = stage(taken.select("row", "shard", "want"), "taken")
+    gain = [int(g) for g in granted.sum(axis=0) - granted.sum(axis=1)]
     # rows without neighbours leave the shards that gained for those that lost
     leave, borders, lost, total, filled = [], [], [], 0, 0
     for s in range(shards):
