@@ -238,6 +238,19 @@ def test_contained_items_equal_brute_force(spark):
     assert containment.contained_items(docs, bench.limit(0)).count() == 0 == containment.contained_items(docs.limit(0), bench).count()
 
 
+def test_short_and_repetitive_items_are_never_missed(spark):
+    items = [(k, " ".join(words(2000 + k, 5 + k % 2))) for k in range(400)]
+    items += [(1000 + k, " ".join((words(3000 + k, 2 + k % 3) * 40)[: 20 + k])) for k in range(100)]
+    rows = [(i, " ".join(words(5000 + i, 60) + text.split() + words(7000 + i, 60))) for i, text in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = containment.contained_items(table(spark, rows), bench).collect()
+    found = {(r["doc_id"], r["item_id"], r["n_found"]) for r in got}
+    assert {(i, i, len(shingle_set(text))) for i, text in items} <= found
+    sets = {i: shingle_set(text) for i, text in rows}
+    want = {(i, k, len(sets[i] & s)) for k, text in items for s in [shingle_set(text)] for i in sets if len(sets[i] & s) >= 0.8 * len(s)}
+    assert found == want
+
+
 def test_mix_reaches_targets(spark):
     rows = [(i, " ".join(words(i, 1 + i % 40)), "en", f"s{min(i % 7, 3)}") for i in range(300)] + [(400, "a b c", "en", None), (401, None, "en", "s1"), (402, "", "en", "s9"), (403, "x", "en", "z"), (404, "d d", "en", "s1"), (404, "d d", "en", "s1")]
     docs = table(spark, rows)

@@ -9,6 +9,10 @@ neighbouring blocks, and blocks of a class are merged from the class below, so
 one pass over the shingles serves all classes.  An item and a window with an
 equal coordinate are a candidate; it counts if the document holds the wanted
 share of the item's distinct shingles, which is checked exactly.
+
+Items with fewer distinct shingles than a quarter of their window, very short or
+full of repeats, would be too unlike the window.  They are looked up by their
+shingles themselves, as many as cannot all be missing.
 """
 
 from __future__ import annotations
@@ -43,10 +47,29 @@ def _block_minima(values: np.ndarray, width: int, multipliers: np.ndarray) -> np
     return out
 
 
+def _sorted(values: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values in order, the item of each, and the low bits that occur among them."""
+    order = np.argsort(values)
+    seen = np.zeros(1 << 22, bool)
+    seen[(values & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+    return values[order], item[order], seen
+
+
+def _met(table: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray) -> list[np.ndarray]:
+    """The items of each of the values that the table has."""
+    flat, item, seen = table
+    values = values[seen[(values & np.uint64((1 << 22) - 1)).astype(np.int64)]]
+    if not len(values):
+        return []
+    values = np.unique(values)
+    low, high = np.searchsorted(flat, values, "left"), np.searchsorted(flat, values, "right")
+    return [item[a:b] for a, b in zip(low, high) if b > a]
+
+
 class Items:
     """The coordinates and shingles of a block of items, as a task searches them."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], coordinates: int):
+    def __init__(self, rows: list[tuple[int, bytes]], coordinates: int, threshold: float):
         hasher = WordHasher()
         names, owner = shingles([t for _, t in rows], hasher, 5)
         words = np.array([len(t.split()) for _, t in rows], np.int64)
@@ -65,39 +88,33 @@ class Items:
         self.level = np.maximum(0, np.ceil(np.log2(np.maximum(span, 1) / SMALLEST))).astype(np.int64)
         self.multipliers = _mask(coordinates)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for level in np.unique(self.level[self.sizes > 0]):
-            own = np.flatnonzero((self.level == level) & (self.sizes > 0))
+        few = self.sizes * 4 < 2 * SMALLEST * 2**self.level
+        # a document with the wanted share has one of any so many shingles
+        need = np.minimum(np.maximum(1, self.sizes - np.ceil(threshold * self.sizes - 1e-9).astype(np.int64) + 1), self.sizes)
+        turn = np.arange(len(self.names)) - self.starts[self.owner]
+        asked = few[self.owner] & (turn < need[self.owner])
+        self.exact = _sorted(self.names[asked], self.owner[asked])
+        for level in np.unique(self.level[(self.sizes > 0) & ~few]):
+            own = np.flatnonzero((self.level == level) & (self.sizes > 0) & ~few)
             values = np.stack([(self.names[self.starts[i] : self.starts[i + 1], None] * self.multipliers).min(axis=0) for i in own])
             values = values ^ mixed(np.arange(coordinates, dtype=np.uint64))
-            flat, item = values.ravel(), np.repeat(own, coordinates)
-            order = np.argsort(flat)
-            seen = np.zeros(1 << 22, bool)
-            seen[(flat & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.tables[int(level)] = (flat[order], item[order], seen)
+            self.tables[int(level)] = _sorted(values.ravel(), np.repeat(own, coordinates))
         self.salt = mixed(np.arange(coordinates, dtype=np.uint64))
 
     def candidates(self, names: np.ndarray) -> np.ndarray:
-        """Items with a coordinate in common with some window of a document's shingles."""
-        found = []
-        if not self.tables:
-            return np.empty(0, np.int64)
-        minima = _block_minima(names, SMALLEST, self.multipliers)
-        for level in range(max(self.tables) + 1):
+        """Items with a coordinate in common with some window of a document's shingles, or looked up by one of them."""
+        found = _met(self.exact, names) if len(self.exact[0]) else []
+        minima = _block_minima(names, SMALLEST, self.multipliers) if self.tables else None
+        for level in range(max(self.tables, default=-1) + 1):
             if level:
                 even = minima[0::2]
                 odd = minima[1::2]
                 minima = even.copy()
                 minima[: len(odd)] = np.minimum(even[: len(odd)], odd)
             if level in self.tables:
-                flat, item, seen = self.tables[level]
                 window = minima.copy()
                 window[:-1] = np.minimum(minima[:-1], minima[1:])
-                values = (window ^ self.salt).ravel()
-                values = values[seen[(values & np.uint64((1 << 22) - 1)).astype(np.int64)]]
-                if len(values):
-                    values = np.unique(values)
-                    low, high = np.searchsorted(flat, values, "left"), np.searchsorted(flat, values, "right")
-                    found += [item[a:b] for a, b in zip(low, high) if b > a]
+                found += _met(self.tables[level], (window ^ self.salt).ravel())
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
@@ -148,9 +165,10 @@ def contained_items(
     the document has, ``threshold`` or more.  Items are the stated query set:
     they are read in blocks of at most ``block`` rows and 64 MB of text, each
     block sent to all tasks and searched in one pass over the documents, which
-    are never shuffled.  A window misses a wholly contained item with a
-    probability under 1e-4 and one at 0.8 with at most 1.2e-3 for 32
-    coordinates.
+    are never shuffled.  For 32 coordinates, a window misses a wholly contained
+    item with a probability of 1e-4 at most and one at 0.8 with at most 1.2e-3.
+    Items with fewer distinct shingles than a quarter of their window are never
+    missed.
 
     Items under five words, empty or null have no shingle and are never found;
     null or empty documents contain nothing.  Items with equal texts are all
@@ -162,7 +180,7 @@ def contained_items(
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     out = spark.createDataFrame([], "doc_id long, item_id long, n_found long, n_shingles long")
     for rows in _item_blocks(wanted, block):
-        found = plain.mapInArrow(_search(Items(rows, coordinates), threshold), "doc_id long, item_id long, n_found long, n_shingles long")
+        found = plain.mapInArrow(_search(Items(rows, coordinates, threshold), threshold), "doc_id long, item_id long, n_found long, n_shingles long")
         out = found if out.isLocal() else out.union(found)
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
