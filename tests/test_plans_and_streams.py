@@ -126,3 +126,14 @@ def test_nested_record_files(spark, tmp_path):
     assert sorted(r["id"] for r in rows) == ["1", "2"]
     full = {r["id"]: r["law_case"]["full_text"] for r in rows}
     assert full["1"]["reasoning"].endswith("주문과 같이 판결한다.")
+
+
+def test_registered_loops_run_the_rounds_of_the_plan():
+    import __spark_entry__ as entry
+    from topicloom.catalog import clustering as loops
+    from topicloom.catalog import searching as ways
+
+    rounds = plan.Settings().iterations
+    assert loops.SETTINGS.iterations == rounds == ways.E2E.iterations
+    for name in ("iterative_clusters", "warm_start_clusters", "e2e_search", "e2e_search_cells"):
+        assert f"f{rounds} AS MATERIALIZED" in entry.oracle_sql()[name]

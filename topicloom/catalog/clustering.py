@@ -21,7 +21,7 @@ SMALLEST = 3
 #: Bound that makes several parts of a few heads or queries.
 PART_BYTES = 8192
 
-SETTINGS = plan.Settings(threshold=NEAR, min_size=SMALLEST, page_size=PAGE, iterations=2, seed="0")
+SETTINGS = plan.Settings(threshold=NEAR, min_size=SMALLEST, page_size=PAGE, seed="0")
 
 
 def vectors(spark, folder):

@@ -321,7 +321,7 @@ def search_ivf_trained(spark, folder):
 # ---------------------------------------------------------------- the whole way
 
 
-E2E = plan.Settings(threshold=0.8, min_size=3, page_size=1000, iterations=3)
+E2E = plan.Settings(threshold=0.8, min_size=3, page_size=1000)
 
 
 E2E_SQL = (
