@@ -218,6 +218,15 @@ def test_edit_report_follows_descending_ids(spark):
     assert imatch.edit_report(docs.limit(1), np.empty(0, np.uint64)).count() == 1
 
 
+def test_different_texts_without_a_term_in_the_band_are_unlike():
+    terms = imatch.Terms(np.array([5], np.uint64))
+    prints = imatch.fingerprints([b"rare words", b"other things", b"Words, rare!", b"", b" ", b"!!", b"??"], terms)
+    same = [[float(imatch.likeness(prints[[a]], prints[[b]])[0]) for b in range(7)] for a in range(7)]
+    alike = {(a, b) for a in range(7) for b in range(7) if same[a][b] == 1}
+    assert alike == {(k, k) for k in range(7)} | {(0, 2), (2, 0), (3, 4), (4, 3)}
+    assert max(same[0][1], same[0][3], same[0][5], same[5][6]) < 0.1
+
+
 def test_contained_items_equal_brute_force(spark):
     items = [(k, " ".join(words(300 + k, n))) for k, n in enumerate((5, 9, 20, 33, 60, 200))] + [(50, "too short"), (51, None), (52, "")]
     rows = [(k, " ".join(words(k, 40) + items[k % 6][1].split() + words(k + 1, 3000 * (k % 3)))) for k in range(12)]

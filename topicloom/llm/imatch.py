@@ -89,7 +89,10 @@ def lexicon(docs: DataFrame, text_col: str = "text", rarest: int = RAREST, commo
 
 
 def fingerprints(texts: list[bytes], terms: Terms) -> np.ndarray:
-    """``(texts, rates x subsets)`` 16-bit hashes; 0 where a text has no term of the subset."""
+    """``(texts, rates x subsets)`` 16-bit hashes; 0 where a text has no term of the subset.
+
+    A text with words but no term in any subset has hashes of all its terms instead.
+    """
     words, sizes = split_words(texts)
     names = terms.hash(words)
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -112,11 +115,18 @@ def fingerprints(texts: list[bytes], terms: Terms) -> np.ndarray:
         value = mixed(np.add.reduceat(mixed(term + turn.astype(np.uint64) * MIX), start))
         short = np.maximum(value >> np.uint64(48), np.uint64(1)).astype(np.uint16)
         out[slot[start] // SUBSETS, k * SUBSETS + slot[start] % SUBSETS] = short
+    for i in np.flatnonzero((sizes > 0) & ~out.any(axis=1)):
+        own = set(texts[i].split())
+        # marks alone are no terms; such a text is known by its marks
+        all_terms = {w.lower().strip(EDGE) for w in own} - {b""} or own
+        whole = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(sorted(all_terms))))
+        value = mixed(np.full(out.shape[1], whole) + np.arange(out.shape[1], dtype=np.uint64) * MIX)
+        out[i] = np.maximum(value >> np.uint64(48), np.uint64(1)).astype(np.uint16)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal hashes among the subsets that either text has terms of; 1 if neither has any and both are bare."""
+    """Share of equal hashes among the subsets that either text has terms of; 1 if neither has any, both being without words."""
     some = (a != 0) | (b != 0)
     n = some.sum(axis=1)
     return np.where(n > 0, ((a == b) & some).sum(axis=1) / np.maximum(n, 1), (a == b).all(axis=1).astype(float))
