@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import table
-from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata
+from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata, residue_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,30 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = label_propagation.balanced_shards(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query(
+    "op11_hard_negatives",
+    """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+               FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id,
+                      CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+               FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+    ranked AS (SELECT p.anchor_id, p.positive_id,
+                      CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+                      s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+               FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same
+               WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+    SELECT * FROM ranked WHERE rank <= 10
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return residue_negatives.hard_negatives(table(spark, folder, "embeddings"), vec_id % 100 == 0, label=label)
