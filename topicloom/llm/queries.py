@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import table
-from topicloom.llm import containment, dart_minhash, imatch, label_propagation, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata, residue_negatives
+from topicloom.llm import containment, dart_minhash, imatch, label_propagation, lightest_repair, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata, residue_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,64 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     vec_id = F.col("vec_id")
     label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return residue_negatives.hard_negatives(table(spark, folder, "embeddings"), vec_id % 100 == 0, label=label)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` with the damage that the CRC-32 of ``conv_id:turn`` chooses; ``there`` is false for dropped rows."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    chosen = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key) % 20).alias("harm"))
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("harm") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return chosen.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("harm") != 0).alias("there"), F.explode(times).alias("copy")).drop("copy")
+
+
+_KEY = "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"
+_LAST = r"regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1)"
+
+
+@_query(
+    "op12_conversation_repair",
+    rf"""
+    WITH RECURSIVE
+    keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_KEY} AS k FROM conversations),
+    chosen AS (SELECT *, xor(list_reduce(
+                   list_concat([4294967295::BIGINT], list_transform(range(0, 8 * strlen(k)), lambda j: (ascii(substr(k, j // 8 + 1, 1)) >> (j % 8)::INTEGER) & 1)::BIGINT[]),
+                   lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS harm FROM keyed),
+    harmed AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+                      CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+               FROM chosen, unnest(CASE WHEN harm = 3 THEN [1, 2] ELSE [1] END) AS u(copy) WHERE harm <> 0),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, left(role, 1) AS first FROM harmed),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i FROM numbered),
+    judged AS (SELECT *, CASE WHEN {_LAST} = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN {_LAST} NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+                      lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first AS pair FROM placed),
+    insertions(q, p, ins) AS (VALUES ('-', '-', 0), ('-', 'u', 1), ('-', 'a', 2), ('s', 's', 0), ('s', 'u', 1), ('s', 'a', 2), ('u', 'u', 0), ('u', 'a', 1), ('a', 'a', 0), ('a', 'u', 1)),
+    follows(q, x, p) AS (VALUES ('-', 's', 's'), ('-', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+    edits AS (SELECT q, x, p, 'K' AS letter, 0 AS cost FROM follows UNION ALL SELECT q, x, p, 'R', 3 FROM follows WHERE x <> 's'
+              UNION ALL SELECT DISTINCT q, '', q, 'D', 4 FROM insertions),
+    way AS (SELECT DISTINCT conv_id, 0 AS i, '-' AS q, {{'c': 0, 'w': ''}} AS v FROM judged
+            UNION ALL
+            SELECT way.conv_id, way.i + 1, e.p,
+                   min({{'c': way.v.c + 3 * s.ins + e.cost + CASE WHEN r.fault = 't' AND e.letter <> 'D' THEN 3 ELSE 0 END, 'w': way.v.w || repeat('I', s.ins) || e.letter}})
+            FROM way JOIN insertions s ON s.q = way.q JOIN judged r ON r.conv_id = way.conv_id AND r.i = way.i + 1
+            JOIN edits e ON e.q = s.p AND (e.letter = 'D' OR r.fault NOT IN ('b', 'd')) AND (e.letter <> 'K' OR e.x = r.first)
+            GROUP BY way.conv_id, way.i, e.p),
+    counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                       count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                       count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM judged GROUP BY conv_id),
+    best AS (SELECT way.conv_id, min({{'c': way.v.c + 3 * s.ins, 'w': way.v.w || repeat('I', s.ins)}}) AS v
+             FROM way JOIN counted ON counted.conv_id = way.conv_id AND counted.n = way.i JOIN insertions s ON s.q = way.q AND s.p IN ('-', 'a') GROUP BY way.conv_id),
+    letters AS (SELECT conv_id, j, substr(v.w, j, 1) AS letter, length(replace(left(v.w, j), 'I', '')) AS i, length(replace(left(v.w, j), 'D', '')) AS o,
+                       length(replace(v.w, 'D', '')) % 2 AS odd FROM best, unnest(range(1, length(v.w) + 1)) AS t(j)),
+    lines AS (SELECT l.conv_id, l.j, CASE WHEN l.letter = 'K' THEN r.role WHEN (l.o + l.odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+                     CASE WHEN l.letter = 'I' THEN '' ELSE r.text END AS line
+              FROM letters l LEFT JOIN judged r ON r.conv_id = l.conv_id AND r.i = l.i WHERE l.letter <> 'D'),
+    joined AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS body FROM lines GROUP BY conv_id)
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, CAST(coalesce(best.v.c, 0) AS BIGINT) AS cost, coalesce(best.v.w, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN joined USING (conv_id)
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lightest_repair.report(lightest_repair.repair(damaged(table(spark, folder, "conversations")), present=F.col("there")))
