@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import table
-from topicloom.llm import containment, dart_minhash, imatch, label_propagation, lightest_repair, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata, residue_negatives
+from topicloom.llm import containment, dart_minhash, imatch, label_propagation, lightest_repair, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata, residue_negatives, robust_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +222,9 @@ _LAST = r"regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1)"
 )
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return lightest_repair.report(lightest_repair.repair(damaged(table(spark, folder, "conversations")), present=F.col("there")))
+
+
+@_query("op13_quality_rules")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    judged = robust_rules.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
