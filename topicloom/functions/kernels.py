@@ -155,6 +155,23 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(lengths - 2 * products, 0.0)
 
 
+def lloyd(rows: np.ndarray, count: int, steps: int) -> np.ndarray:
+    """At most ``count`` k-means centers of the rows, starting from the first ones; empty ones are left out."""
+    centers = rows[: max(1, count)].copy()
+    for _ in range(steps):
+        nearest = np.empty(len(rows), np.int64)
+        for block in row_blocks(len(rows), len(centers)):
+            nearest[block] = np.argmin((centers * centers).sum(axis=1) - 2 * (rows[block] @ centers.T), axis=1)
+        order = np.argsort(nearest, kind="stable")
+        kinds, starts = np.unique(nearest[order], return_index=True)
+        sizes = np.diff(np.append(starts, len(rows)))
+        moved = np.add.reduceat(rows[order], starts, axis=0) / sizes[:, None]
+        if len(moved) == len(centers) and np.array_equal(moved, centers[kinds]):
+            break
+        centers = moved
+    return centers
+
+
 class TopK:
     """Running best ``k`` rows of each query; ties go to the lower id."""
 

@@ -186,13 +186,23 @@ def search_cells(
     is still worked on by many tasks.  Cells nobody probes are not read when the
     table is laid out by cell.
     """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
+    asked = assign_cells(asked, centroids, out="cells", keep=max(2, probes), id_col="query_id", limit=limit)
+    return search_probed(vectors, asked.withColumn("cells", F.slice("cells", 1, probes)), k, id_col, vec_col, limit)
+
+
+def search_probed(
+    vectors: DataFrame, asked: DataFrame, k: int, id_col: str = "doc_id", vec_col: str = "vec", limit: int = blocks.BROADCAST_BYTES
+) -> DataFrame:
+    """Top ``k`` by squared L2 among vectors whose ``cell`` is in the list ``cells`` of ``asked(query_id, vec, cells)``.
+
+    The probed cells are a table that the vectors are joined with, so a layout
+    by cell is pruned by its folders and the plan does not grow with their number.
+    """
     _check("l2", k)
     vectors = vectors.where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col("cell").cast("int").alias("cell"), F.col(vec_col).alias("vec")
     )
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
-    asked = assign_cells(asked, centroids, out="cells", keep=max(2, probes), id_col="query_id", limit=limit)
-    asked = asked.withColumn("cells", F.slice("cells", 1, probes))
 
     def pack(side: blocks.SmallSide):
         by_cell: dict[int, list[int]] = {}
@@ -202,7 +212,8 @@ def search_cells(
         return side.ids, side.rows, {c: np.array(p) for c, p in by_cell.items()}
 
     def narrow(rows: DataFrame, packed) -> DataFrame:
-        return rows.where(F.col("cell").isin(*sorted(packed[2]))) if packed[2] else rows.where(F.lit(False))
+        probed = rows.sparkSession.createDataFrame([(c,) for c in sorted(packed[2])], "cell int")
+        return rows.join(F.broadcast(probed), "cell", "left_semi").select("doc_id", "cell", "vec")
 
     def task(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
