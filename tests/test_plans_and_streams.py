@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA, random_vectors, vector_table
 from topicloom.functions.encoders import hash_encoder
@@ -7,6 +9,7 @@ from topicloom.plans import clustering as plan
 from topicloom.plans import searching
 from topicloom.staging import ordered_index, shared_folder, stage, stage_scope
 from topicloom.streaming.assign import assign_stream
+from topicloom.streaming.pages import clusters_so_far, heads_so_far, page_stream
 
 
 def test_ordered_index_is_dense_and_ordered(spark):
@@ -137,3 +140,99 @@ def test_registered_loops_run_the_rounds_of_the_plan():
     assert loops.SETTINGS.iterations == rounds == ways.E2E.iterations
     for name in ("iterative_clusters", "warm_start_clusters", "e2e_search", "e2e_search_cells"):
         assert f"f{rounds} AS MATERIALIZED" in entry.oracle_sql()[name]
+
+
+def streamed_by_hand(ids, vectors, threshold, smallest, size, order):
+    """Clusters and page numbers of one lane, row by row."""
+    units = {i: v / np.linalg.norm(v) for i, v in zip(ids, np.asarray(vectors, float))}
+    heads, page, found, left, number = [], [], [], [], 0
+    for i in order:
+        near = sorted((-round(float(units[h] @ units[i]), 6), h) for h in heads)
+        if near and -near[0][0] >= threshold:
+            found.append((near[0][1], i, -near[0][0]))
+            continue
+        page.append(i)
+        if len(page) == size:
+            sims = {(a, b): round(float(units[a] @ units[b]), 6) for a in page for b in page}
+            cover = {a: [b for b in page if sims[a, b] >= threshold] for a in page}
+            taken = set()
+            for a in sorted(page, key=lambda a: (-len(cover[a]), a)):
+                if len(cover[a]) >= smallest and not taken & set(cover[a]):
+                    taken |= set(cover[a])
+                    own = [b for b in cover[a] if sims[a, b] > threshold]
+                    if len(own) >= smallest:
+                        found += [(a, b, sims[a, b]) for b in own]
+                        heads.append(a)
+            members = {m for _, m, _ in found}
+            left += [i for i in page if i not in members]
+            page, number = [], number + 1
+    return sorted(found), sorted(left), sorted(page)
+
+
+def test_page_stream_goes_on_from_its_state(spark, tmp_path):
+    """Three runs of a stream, each with new files, end with what one look at all rows in order gives."""
+    values = random_vectors(12, 330, 6, groups=14)
+    order = np.random.default_rng(3).permutation(330)
+    settings = plan.Settings(threshold=0.93, min_size=3, page_size=40)
+    schema = "id bigint, vec array<float>, arrived bigint"
+    lanes = 2
+    for run, some in enumerate(np.array_split(order, 3)):
+        start = sum(len(x) for x in np.array_split(order, 3)[:run])
+        rows = [(int(i), [float(x) for x in values[i]], start + k) for k, i in enumerate(some)]
+        rows += [(None, [0.0] * 6, 0), (9999, None, 0)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        arrivals = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        lane = F.col("id") % lanes
+        stream = page_stream(arrivals, settings, str(tmp_path / "out"), str(tmp_path / "cp"), lanes, order_col="arrived", lane=lane)
+        assert stream.awaitTermination(200)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    for lane in range(lanes):
+        mine = [int(i) for i in order if i % lanes == lane]
+        found, left, waiting = streamed_by_hand(range(330), values, 0.93, 3, 40, mine)
+        got = sorted((r["head_id"], r["member_id"], r["score"]) for r in out if r["lane"] == lane and r["head_id"] is not None)
+        assert len(found) > 20 and waiting
+        assert [g[:2] for g in got] == [f[:2] for f in found]
+        assert np.allclose([g[2] for g in got], [f[2] for f in found], atol=2e-6)
+        assert sorted(r["member_id"] for r in out if r["lane"] == lane and r["head_id"] is None) == left
+    heads = heads_so_far(spark, str(tmp_path / "out"), vector_table(spark, range(330), values))
+    assert {r["id"] for r in heads.collect()} == {r["head_id"] for r in clusters_so_far(spark, str(tmp_path / "out")).collect()}
+
+
+def test_rows_that_no_head_takes_go_from_one_stream_to_the_other(spark, tmp_path):
+    vectors = vector_table(spark, range(200), random_vectors(4, 200, 5, groups=12))
+    vectors.write.parquet(str(tmp_path / "in"))
+    heads = vectors.where("id < 6")
+    arrivals = spark.readStream.schema(vectors.schema).parquet(str(tmp_path / "in"))
+    first = assign_stream(arrivals, heads, 0.9, str(tmp_path / "out"), str(tmp_path / "cp"), left=str(tmp_path / "left"))
+    assert first.awaitTermination(120)
+    taken = {r["member_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    rest = spark.readStream.schema(vectors.schema).parquet(str(tmp_path / "left"))
+    second = page_stream(rest, plan.Settings(0.9, 2, 25), str(tmp_path / "pages"), str(tmp_path / "cp2"), 3)
+    assert second.awaitTermination(120)
+    seen = [r["member_id"] for r in spark.read.parquet(str(tmp_path / "pages")).collect()]
+    assert len(seen) == len(set(seen)) >= 50
+    assert not taken & set(seen)
+
+
+def test_a_stream_leaves_the_tables_of_other_threads(spark, tmp_path):
+    """A scope that ends in one thread removes only what that thread has staged."""
+    import threading
+
+    entered, staged = threading.Event(), threading.Event()
+
+    def scoped():
+        with stage_scope():
+            inner.append(stage(spark.range(4), "inner"))
+            entered.set()
+            staged.wait(60)
+
+    inner = []
+    thread = threading.Thread(target=scoped)
+    thread.start()
+    assert entered.wait(60)
+    mine = stage(spark.range(7), "mine")
+    staged.set()
+    thread.join()
+    assert mine.count() == 7
+    with pytest.raises(Exception):
+        spark.read.parquet(inner[0].inputFiles()[0])

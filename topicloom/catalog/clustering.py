@@ -12,7 +12,8 @@ from topicloom.catalog.registry import query, table
 from topicloom.operators import clusters as C
 from topicloom.operators import paging
 from topicloom.plans import clustering as plan
-from topicloom.staging import stage
+from topicloom.staging import stage, stage_files, stage_path
+from topicloom.streaming.pages import clusters_so_far, page_stream
 
 NEAR = 0.30
 TIGHT = 0.35
@@ -330,6 +331,47 @@ def warm_start_clusters(spark, folder):
     return plan.iterative_clusters(vectors(spark, folder), SETTINGS, old)[0]
 
 
+#: Lanes and page size of the streamed clusters, and the pages of a lane that the SQL side writes out.
+LANES, LANE_PAGE, LANE_PAGES = 8, 24, 14
+LOOSE = 0.22
+STREAMED = plan.Settings(threshold=LOOSE, min_size=SMALLEST, page_size=LANE_PAGE)
+
+
+def lanes_sql() -> str:
+    """The pages of every lane one after the other; ``streamed`` has the clusters and the rows that heads took later."""
+    steps = [
+        "arrived AS MATERIALIZED (SELECT id, id % {n} AS lane FROM v)".format(n=LANES),
+        "b0 AS MATERIALIZED (SELECT lane, -1::BIGINT AS stop FROM arrived GROUP BY lane)",
+        "h0 AS MATERIALIZED (SELECT 0::BIGINT AS lane, 0::BIGINT AS head_id, 0::BIGINT AS member_id, 0.0::DOUBLE AS score WHERE false)",
+    ]
+    for t in range(LANE_PAGES):
+        steps += [
+            f"""n{t} AS MATERIALIZED (SELECT r.lane, r.id, x.head_id, x.score FROM arrived r JOIN b{t} USING (lane) LEFT JOIN (
+                SELECT i.id, h.head_id, {COSINE} AS score, row_number() OVER (PARTITION BY i.id ORDER BY {COSINE} DESC, h.head_id) AS k
+                FROM arrived i JOIN (SELECT DISTINCT lane, head_id FROM h{t}) h ON h.lane = i.lane JOIN v a ON a.id = h.head_id JOIN v b ON b.id = i.id
+                ) x ON x.id = r.id AND x.k = 1 AND x.score >= {LOOSE} WHERE r.id > b{t}.stop)""",
+            f"o{t} AS MATERIALIZED (SELECT lane, id, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM n{t} WHERE head_id IS NULL)",
+            f"""b{t + 1} AS MATERIALIZED (SELECT b{t}.lane, coalesce(max(o{t}.id), 9223372036854775807) AS stop
+                FROM b{t} LEFT JOIN o{t} ON o{t}.lane = b{t}.lane AND o{t}.k = {LANE_PAGE} GROUP BY b{t}.lane)""",
+            f"g{t}_page AS MATERIALIZED (SELECT id, o{t}.lane AS page FROM o{t} JOIN b{t + 1} q ON q.lane = o{t}.lane AND q.stop < 9223372036854775807 WHERE o{t}.k <= {LANE_PAGE})",
+            greedy_sql(f"g{t}_raw", f"g{t}_page", LOOSE, SMALLEST),
+            f"g{t} AS MATERIALIZED {large_sql(f'g{t}_raw', SMALLEST, f'score > {LOOSE}')}",
+            f"""h{t + 1} AS MATERIALIZED (SELECT * FROM h{t} UNION ALL SELECT p.page, g.head_id, g.member_id, g.score FROM g{t} g JOIN g{t}_page p ON p.id = g.member_id
+                UNION ALL SELECT n.lane, n.head_id, n.id, n.score FROM n{t} n JOIN b{t + 1} q ON q.lane = n.lane WHERE n.head_id IS NOT NULL AND n.id <= q.stop)""",
+        ]
+    return f"{', '.join(steps)}, streamed AS MATERIALIZED ({TRIPLE} h{LANE_PAGES})"
+
+
+@query("stream_page_clusters", f"{WITH} {VECTORS_SQL}, {lanes_sql()} {TRIPLE} streamed")
+def stream_page_clusters(spark, folder):
+    """The vectors as a stream: pages of rows that no head took are clustered in keyed state, later rows go to their heads."""
+    place = stage_path(spark, "stream")
+    arrivals = spark.readStream.schema("id long, vec array<float>").parquet(stage_files(vectors(spark, folder), "arrivals"))
+    query = page_stream(arrivals, STREAMED, f"{place}/out", f"{place}/checkpoint", LANES, lane=F.col("id") % LANES)
+    query.awaitTermination()
+    return clusters_so_far(spark, f"{place}/out")
+
+
 @query(
     "member_ranks",
     f"""{WITH} {GREEDY} SELECT head_id, row_number() OVER (PARTITION BY head_id ORDER BY score DESC, member_id) AS rank,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,27 +34,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/topicloom/{label}-{uuid.uuid4().hex}"
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append((spark, path))
     return path
 
 
-_SCOPES: list[list[tuple[SparkSession, str]]] = []
+#: Open scopes of this thread; a stream's micro-batches run in a thread of their own.
+_SCOPES: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("stage scopes", default=())
 
 
 @contextmanager
 def stage_scope():
-    """Remove the tables staged inside once the block is left.
+    """Remove the tables that this thread stages inside once the block is left.
 
     The caller writes or collects the final result inside the block; a lazy
     result that leaves it would read removed tables.
     """
     mine: list[tuple[SparkSession, str]] = []
-    _SCOPES.append(mine)
+    token = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
-        _SCOPES.remove(mine)
+        _SCOPES.reset(token)
         for spark, path in mine:
             drop_path(spark, path)
 
@@ -75,6 +77,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_files(df: DataFrame, label: str) -> str:
+    """Folder of a written table, for readers that take files."""
+    path = stage_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def ordered_index(df: DataFrame, order: list[Column], name: str, label: str = "ordered") -> DataFrame:
     """Add ``name`` = 0..N-1 in the given total order, without a one-task window.
 
