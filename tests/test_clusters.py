@@ -1,3 +1,5 @@
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +198,32 @@ def test_equally_near_heads_go_to_the_lower_id(spark):
     vectors = vector_table(spark, [1], [[1.0, 1.0]])
     heads = vector_table(spark, [8, 5], [[1.0, 0.0], [0.0, 1.0]])
     assert C.assign_nearest(vectors, heads, 0.5).first()["head_id"] == 5
+
+
+def test_locality_pages_hold_every_row_once(spark):
+    values = random_vectors(8, 500, 6, groups=5)
+    values[100:300] = values[7]
+    vectors = vector_table(spark, range(500), values)
+    pages = paging.locality_pages(vectors, "id", "vec", 60, "3").select("id", "page").collect()
+    assert sorted(r["id"] for r in pages) == list(range(500))
+    sizes = collections.Counter(r["page"] for r in pages)
+    shift = paging.page_shift("3", 60)
+    assert sizes[0] == 60 - shift
+    assert all(sizes[p] == 60 for p in range(1, max(sizes)))
+    assert paging.locality_pages(vectors.limit(0), "id", "vec", 60).count() == 0
+
+
+def test_locality_finds_small_groups_in_few_rounds(spark):
+    """Thirty groups of three among 1,500 other rows, in pages of fifty."""
+    base = random_vectors(1, 1590, 16)
+    for g in range(30):
+        for copy in (1, 2):
+            base[1500 + 3 * g + copy] = base[1500 + 3 * g] + 0.1 * random_vectors(900 + 3 * g + copy, 1, 16)[0]
+    vectors = vector_table(spark, range(1590), base)
+    found = {}
+    for kind, rounds in (("locality", 3), ("balanced", 15)):
+        settings = plan.Settings(threshold=0.95, min_size=3, page_size=50, iterations=rounds, paging=kind, seed="4")
+        clusters, left = plan.iterative_clusters(vectors, settings)
+        found[kind] = clusters.select("head_id").distinct().count()
+        assert clusters.count() + left.count() == 1590
+    assert found["locality"] >= 18 > 2 * found["balanced"]

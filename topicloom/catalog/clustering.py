@@ -46,6 +46,19 @@ def pages_sql(name: str, ids: str, size: int, seed: str) -> str:
                            CAST(ceil(count(*) OVER () / {size}) AS BIGINT) AS pages FROM {ids})))"""
 
 
+def locality_sql(name: str, ids: str, size: int, seed: str) -> str:
+    """``name(id, page)`` in the order of locality keys, for vectors ``v`` of 64 numbers."""
+    return f"""
+    {name}_plane AS MATERIALIZED (
+        SELECT j, list(CASE WHEN ('0x' || left(md5('{seed}/' || j || '/' || i), 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS p
+        FROM (SELECT unnest(range(0, {paging.PLANES})) AS j) CROSS JOIN (SELECT unnest(range(0, 64)) AS i) GROUP BY j),
+    {name}_key AS MATERIALIZED (
+        SELECT id, string_agg(CASE WHEN round(list_inner_product(vec, p), 6) >= 0 THEN '1' ELSE '0' END, '' ORDER BY j) AS k
+        FROM (SELECT id FROM {ids}) JOIN v USING (id) CROSS JOIN {name}_plane GROUP BY id),
+    {name} AS MATERIALIZED (
+        SELECT id, CAST((row_number() OVER (ORDER BY k, md5('{seed}' || id), id) - 1 + {paging.page_shift(seed, size)}) // {size} AS INTEGER) AS page FROM {name}_key)"""
+
+
 def candidates_sql(name: str, pages: str, threshold: float) -> str:
     return f"""
     {name} AS MATERIALIZED (
@@ -91,10 +104,10 @@ def nearest_sql(ids: str, heads: str, threshold: float) -> str:
 
 
 def created_sql(
-    name: str, ids: str, seed: str, size: int = PAGE, smallest: int = SMALLEST, threshold: float = NEAR
+    name: str, ids: str, seed: str, size: int = PAGE, smallest: int = SMALLEST, threshold: float = NEAR, paging_of=pages_sql
 ) -> str:
     return f"""
-    {pages_sql(name + '_page', ids, size, seed)},
+    {paging_of(name + '_page', ids, size, seed)},
     {greedy_sql(name + '_raw', name + '_page', threshold, smallest)},
     {name} AS MATERIALIZED {large_sql(name + '_raw', smallest, f'score > {threshold}')}"""
 
@@ -306,7 +319,7 @@ def loop_sql(settings: plan.Settings, start: str | None = None) -> str:
         c, m, seed = f"c{turn}", f"m{turn}", f"{settings.seed}/{turn}"
         steps += [
             f"l{turn} AS MATERIALIZED {left_sql(f'f{turn}')}",
-            created_sql(c, f"l{turn}", seed, settings.page_size, smallest, near),
+            created_sql(c, f"l{turn}", seed, settings.page_size, smallest, near, locality_sql if settings.paging == "locality" else pages_sql),
             merged_sql(m, c, f"{seed}/m1", near),
             f"n{turn} AS MATERIALIZED {large_sql(m, smallest)}",
             f"u{turn} AS MATERIALIZED ({TRIPLE} f{turn} UNION ALL {TRIPLE} n{turn})",
@@ -321,6 +334,11 @@ def iterative_clusters(spark, folder):
     return plan.iterative_clusters(vectors(spark, folder), SETTINGS)[0]
 
 
+@query("paging_locality", f"WITH {VECTORS_SQL}, {locality_sql('p', 'v', PAGE, '7')} SELECT id, page FROM p")
+def paging_locality(spark, folder):
+    return paging.locality_pages(vectors(spark, folder), "id", "vec", PAGE, "7").select("id", "page")
+
+
 WARM = f"{VECTORS_SQL}, {pages_sql('p9', 'v', PAGE, '9')}, {greedy_sql('g9', 'p9', TIGHT, SMALLEST)}, o AS MATERIALIZED {large_sql('g9', SMALLEST, f'score > {TIGHT}')}"
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from topicloom.catalog.clustering import WITH, loop_sql
 from topicloom.catalog.registry import query, table
 from topicloom.catalog.searching import ENCODER, HITS_SQL, dense_sql, hashed_sql, l2_sql
 from topicloom.functions.encoders import encode
 from topicloom.operators import celltree
 from topicloom.operators import nearest as N
 from topicloom.operators import search as S
+from topicloom.plans import clustering as plan
 from topicloom.plans.searching import index_path
 from topicloom.staging import stage
 
@@ -94,3 +97,32 @@ def search_tree_recall(spark, folder):
     found = celltree.recall(hits, stage(S.search_flat(docs, asked, 5), "exact"))
     fewer = F.lit(tree.leaves.count() > PROBES)
     return found.select("wanted", (F.col("recall") >= 0.9).alias("found_nine_in_ten"), fewer.alias("fewer_probes"))
+
+
+# ---------------------------------------------------------------- small groups in few rounds
+
+#: Groups of three and more among pages that hold a twentieth of the documents of sf0.01.
+SPARSE = plan.Settings(threshold=0.93, min_size=3, page_size=50, seed="5")
+FEW = replace(SPARSE, paging="locality", iterations=3)
+MANY = replace(SPARSE, iterations=15)
+
+
+def _loop_sql(settings: plan.Settings) -> str:
+    return f"""{WITH} {hashed_sql('dh', 'documents', 'doc_id')}, {dense_sql('dv', 'dh', 'doc_id', 'documents')},
+        v AS MATERIALIZED (SELECT doc_id AS id, vec FROM dv), {loop_sql(settings)}"""
+
+
+@query("locality_clusters", f"{_loop_sql(FEW)} SELECT head_id, member_id, score FROM found")
+def locality_clusters(spark, folder):
+    """Three rounds of locality pages over the documents; heads take left-over rows through blocks and bounds."""
+    return plan.iterative_clusters(encoded(spark, folder), replace(FEW, nearest="pruned"))[0]
+
+
+@query("locality_gain", f"{_loop_sql(FEW)} SELECT count(*) AS members, count(DISTINCT head_id) AS groups, true AS as_many_as_random FROM found")
+def locality_gain(spark, folder):
+    """What three rounds of locality pages find, and whether fifteen rounds of random pages find no more members."""
+    docs = encoded(spark, folder)
+    few, many = (plan.iterative_clusters(docs, settings)[0] for settings in (FEW, MANY))
+    counted = few.agg(F.count(F.lit(1)).alias("members"), F.count_distinct("head_id").alias("groups"))
+    other = many.agg(F.count(F.lit(1)).alias("others"))
+    return counted.join(F.broadcast(other)).select("members", "groups", (F.col("members") >= F.col("others")).alias("as_many_as_random"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import kernels as K
 from topicloom.operators import blocks
 from topicloom.operators import search as S
+from topicloom.operators.search import _lists, _nearest_cells
 from topicloom.staging import stage
 
 #: Rows that train the top centroids, and the leaves of one top, at most.
@@ -123,8 +124,8 @@ def _descending(keep: int):
                     order = np.argsort(ids, kind="stable")
                     own = ids[order], np.concatenate([p[1] for p in parts])[order]
                     parts = []
-                cells, far = S._nearest_cells(rows, *own, keep)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), S._lists(far, pa.float64()), S._lists(cells, pa.int32())], ["id", "far", "cells"])
+                cells, far = _nearest_cells(rows, *own, keep)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), _lists(far, pa.float64()), _lists(cells, pa.int32())], ["id", "far", "cells"])
 
     return run
 

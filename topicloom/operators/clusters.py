@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import kernels as K
 from topicloom.functions.encoders import arrow_once
 from topicloom.operators import blocks
-from topicloom.operators.paging import balanced_pages, hash_pages, page_count
+from topicloom.operators.paging import balanced_pages, hash_pages, locality_pages, page_count
 from topicloom.staging import ordered_index
 from topicloom.staging import stage as stage_table
 
@@ -323,7 +323,8 @@ def create_clusters(
     """Page the subset, cluster every page, take in the members of old clusters, filter again.
 
     ``balanced`` pages differ in size by at most one row; ``hash`` pages only on
-    average, and save one shuffle of the vectors.
+    average, and save one shuffle of the vectors.  ``locality`` pages hold rows
+    that are near each other more often.
 
     With ``old`` the subset holds heads of ``old``, and ``vectors`` must hold the
     vectors of all its members.  Pages share no rows and clusters of ``old`` share
@@ -334,8 +335,10 @@ def create_clusters(
         paged = balanced_pages(subset, id_col, page_size, seed, rows)
     elif paging == "hash":
         paged = hash_pages(subset, id_col, page_count(rows, page_size), seed)
+    elif paging == "locality":
+        paged = locality_pages(subset, id_col, vec_col, page_size, seed)
     else:
-        raise ValueError(f"paging must be 'balanced' or 'hash', not {paging!r}")
+        raise ValueError(f"paging must be 'balanced', 'hash' or 'locality', not {paging!r}")
     # Pages are few bytes but much work; a given number of partitions is not coalesced.
     paged = paged.repartition(_page_tasks(subset.sparkSession, page_count(rows, page_size)), "page")
     if old is None:

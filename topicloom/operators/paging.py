@@ -1,14 +1,24 @@
-"""Cutting ids into pages in a seeded random order."""
+"""Cutting ids into pages in a seeded random order, or in an order that puts similar vectors next to each other."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.functions import kernels as K
+from topicloom.functions.encoders import arrow_once
+from topicloom.functions.vectors import ROUND
+from topicloom.staging import ordered_index
+
 ROWS_PER_BUCKET = 100_000
 MAX_DIGITS = 5
+#: Hyperplanes of a locality key; pages of a table of ``n`` pages share about ``log2(n)`` of them.
+PLANES = 32
 
 
 def shuffle_key(id_col: str, seed: str) -> Column:
@@ -57,3 +67,42 @@ def balanced_pages(
     in_short = F.floor((rank - longer * (small + 1)) / small) + longer
     page = F.when(rank < longer * (small + 1), in_long).otherwise(in_short)
     return ranked.withColumn(out, page.cast("int")).drop("_key", "_bucket", "_rank", "_offset")
+
+
+def hyperplanes(seed: str, dim: int, count: int = PLANES) -> np.ndarray:
+    """``(count, dim)`` signs: 1 where the first hex digit of the md5 of ``seed/plane/place`` is even, else -1."""
+    digit = lambda j, i: int(hashlib.md5(f"{seed}/{j}/{i}".encode()).hexdigest()[0], 16)
+    return np.array([[1.0 if digit(j, i) % 2 == 0 else -1.0 for i in range(dim)] for j in range(count)])
+
+
+def locality_key(vec: Column, seed: str) -> Column:
+    """One character per hyperplane, ``1`` on its side, so that near vectors often share the first ones."""
+
+    def run(vecs: pa.Array) -> pa.Array:
+        rows = K.matrix(vecs)
+        sides = np.round(rows @ hyperplanes(seed, rows.shape[1]).T, ROUND) >= 0
+        return pa.array(["".join(r) for r in np.where(sides, "1", "0")], pa.string())
+
+    run.__annotations__ = {"vecs": pa.Array, "return": pa.Array}
+    return arrow_once(run, "string")(vec)
+
+
+def page_shift(seed: str, page_size: int) -> int:
+    """By how many rows the first page of a seed is shorter, so that borders between pages move from round to round."""
+    return int(hashlib.md5(f"{seed}/shift".encode()).hexdigest()[:8], 16) % page_size
+
+
+def locality_pages(
+    df: DataFrame, id_col: str, vec_col: str, page_size: int, seed: str = "0", out: str = "page"
+) -> DataFrame:
+    """Pages of ``page_size`` rows in the order of their locality keys, equal keys in hash order.
+
+    The first page is shorter by the seed's shift.  Similar rows come into the
+    same page far more often than in a random order; another seed turns the
+    hyperplanes and moves the borders, so a group that one round cuts is whole
+    in another.  Copies of one vector have one key and are cut by the hash.
+    """
+    keyed = df.where(F.col(vec_col).isNotNull()).withColumn("_key", locality_key(F.col(vec_col), seed))
+    placed = ordered_index(keyed, [F.asc("_key"), shuffle_key(id_col, seed).asc(), F.asc(id_col)], "_rank", "locality")
+    page = F.floor((F.col("_rank") + page_shift(seed, page_size)) / page_size).cast("int")
+    return placed.withColumn(out, page).drop("_key", "_rank")

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import fixed_values as V
 from topicloom.operators import clusters as C
+from topicloom.operators import nearest as N
 from topicloom.staging import stage
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``paging`` is ``balanced``, ``hash`` or ``locality``; ``nearest`` is ``scan`` or, for very many heads, ``pruned``."""
+
     threshold: float = 0.7
     min_size: int = 3
     page_size: int = 2500
@@ -22,6 +25,7 @@ class Settings:
     seed: str = "0"
     merge_page: int = V.MERGE_PAGE
     paging: str = "balanced"
+    nearest: str = "scan"
 
 
 def merge_heads(
@@ -76,7 +80,10 @@ def iterative_clusters(
     before cannot reach one later, so after a round only its new heads are tried.
     The loop ends early when nothing is left, or when one page held everything
     left and brought no cluster: the next rounds would repeat that page.
+    ``settings.paging="locality"`` finds small groups in a few rounds that random
+    pages bring together only by chance.
     """
+    assign = {"scan": C.assign_nearest, "pruned": N.assign_nearest_pruned}[settings.nearest]
     vectors = stage(vectors.where(F.col(vec_col).isNotNull()).select(id_col, vec_col), "vectors")
     pieces = [C.no_clusters(vectors.sparkSession)]
     left = vectors
@@ -84,7 +91,7 @@ def iterative_clusters(
     def take_in(new: DataFrame, head_vectors: DataFrame) -> DataFrame:
         """Record new clusters, give left-over rows to their heads; returns what is still left."""
         rest = left.join(new.select(F.col("member_id").alias(id_col)), id_col, "left_anti")
-        gained = stage(C.assign_nearest(rest, head_vectors, settings.threshold, id_col, vec_col), "gained")
+        gained = stage(assign(rest, head_vectors, settings.threshold, id_col, vec_col), "gained")
         pieces.extend([new, gained])
         taken = new.unionByName(gained).select(F.col("member_id").alias(id_col))
         return stage(left.join(taken, id_col, "left_anti"), "left")

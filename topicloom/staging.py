@@ -34,13 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/topicloom/{label}-{uuid.uuid4().hex}"
-    for scope in _SCOPES.get():
+    for scope in _SCOPES.open.get():
         scope.append((spark, path))
     return path
 
 
-#: Open scopes of this thread; a stream's micro-batches run in a thread of their own.
-_SCOPES: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("stage scopes", default=())
+class _Scopes:
+    """Open scopes of this thread; a stream's micro-batches run in a thread of their own.  Travels to tasks empty."""
+
+    def __init__(self):
+        self.open: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("stage scopes", default=())
+
+    def __reduce__(self):
+        return _Scopes, ()
+
+
+_SCOPES = _Scopes()
 
 
 @contextmanager
@@ -51,11 +60,11 @@ def stage_scope():
     result that leaves it would read removed tables.
     """
     mine: list[tuple[SparkSession, str]] = []
-    token = _SCOPES.set((*_SCOPES.get(), mine))
+    token = _SCOPES.open.set((*_SCOPES.open.get(), mine))
     try:
         yield
     finally:
-        _SCOPES.reset(token)
+        _SCOPES.open.reset(token)
         for spark, path in mine:
             drop_path(spark, path)
 
