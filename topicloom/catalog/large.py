@@ -20,6 +20,8 @@ from topicloom.staging import stage
 
 #: Cosine from which a document goes to a head.
 CLOSE = 0.9
+#: Blocks that a document may meet before the heads are sent to all tasks instead.
+BLOCKS_MET = 32
 
 
 def encoded(spark, folder):
@@ -41,7 +43,7 @@ NEAREST_SQL = f"""
 def assign_nearest_pruned(spark, folder):
     """Every fourth document is a head; the others go to the nearest one through blocks and bounds."""
     docs = encoded(spark, folder)
-    return N.assign_nearest_pruned(docs, docs.where("id % 4 = 0"), CLOSE, spread=math.inf)
+    return N.assign_nearest_pruned(docs, docs.where("id % 4 = 0"), CLOSE, spread=BLOCKS_MET)
 
 
 @query(
@@ -114,8 +116,8 @@ def _loop_sql(settings: plan.Settings) -> str:
 
 @query("locality_clusters", f"{_loop_sql(FEW)} SELECT head_id, member_id, score FROM found")
 def locality_clusters(spark, folder):
-    """Three rounds of locality pages over the documents; heads take left-over rows through blocks and bounds."""
-    return plan.iterative_clusters(encoded(spark, folder), replace(FEW, nearest="pruned"))[0]
+    """Three rounds of locality pages over the documents."""
+    return plan.iterative_clusters(encoded(spark, folder), FEW)[0]
 
 
 @query("locality_gain", f"{_loop_sql(FEW)} SELECT count(*) AS members, count(DISTINCT head_id) AS groups, true AS as_many_as_random FROM found")

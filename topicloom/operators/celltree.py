@@ -28,7 +28,7 @@ TRAIN_ROWS = 65_536
 ROWS_PER_CELL = 64
 STEPS = 10
 #: Rows that go to the leaves of one top in one task; more are dealt to several.
-ROWS_PER_SALT = 200_000
+ROWS_PER_SALT = 10_000
 
 
 @dataclass(frozen=True)

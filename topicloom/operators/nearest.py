@@ -29,15 +29,15 @@ from topicloom.staging import stage
 MAX_CENTRES = 65_536
 #: Heads of a block at least before it is cut; a block of more heads becomes several around the same centre.
 BLOCK_ROWS = 4096
-#: Blocks that a vector may meet on average before one scan per part of the heads moves less data.
-SPREAD = 32
+#: Scans of the vectors that cost as much as sending each of them to one block.
+SCANS_PER_BLOCK = 0.25
 SAMPLE = 4096
-#: Rows that meet one block in one task; more are dealt to several.
-ROWS_PER_SALT = 200_000
+#: Rows that meet one block in one task; more are dealt to several, each with the block's heads.
+ROWS_PER_SALT = 10_000
 #: Scores are compared after rounding, so a bound this much below a score may still reach it.
 MARGIN = 2 * K.HALF_UNIT + 1e-9
 
-_TODO = "array<struct<bound:double,block:int>>"
+_TODO = "array<struct<bound:float,block:int>>"
 _FOUND = "member_id long, head_id long, score double, met long, compared long"
 
 
@@ -172,7 +172,9 @@ def _first_look(shared, threshold: float):
                 best_first = np.lexsort((block, -value, nearest[row] != block, row))
                 row, block, value = row[best_first], block[best_first], value[best_first]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(bound)))]).astype(np.int32)
-                todo = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(value), pa.array(block.astype(np.int32))], ["bound", "block"]))
+                # rounded up, since a bound must not get smaller
+                upper = np.nextafter(value.astype(np.float32), np.float32(2))
+                todo = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(upper), pa.array(block.astype(np.int32))], ["bound", "block"]))
                 kept = [batch.column(c).slice(some.start, len(bound)) for c in ("member_id", "vec")]
                 yield pa.RecordBatch.from_arrays([*kept, todo], ["member_id", "vec", "todo"])
 
@@ -274,7 +276,7 @@ def _tasks(spark) -> int:
 
 def nearest_heads(
     vectors: DataFrame, heads: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec",
-    limit: int = blocks.BROADCAST_BYTES, spread: float = SPREAD,
+    limit: int = blocks.BROADCAST_BYTES, spread: float | None = None,
 ) -> DataFrame:
     """``(member_id, head_id, score, met, compared)``: one row per vector that is not all zeros.
 
@@ -288,7 +290,8 @@ def nearest_heads(
     bytes).  The vectors are scanned once whatever the size of the head table,
     and go to blocks by shuffles.  Where bounds leave out too little, that is
     where a sample of vectors may meet more than ``spread`` blocks on average,
-    the heads are sent part by part instead, with the same result.
+    the heads are sent part by part instead, with the same result.  By default
+    that is where one scan of the vectors per part of the heads costs less.
     """
     if threshold <= 0:
         raise ValueError("bounds need a positive threshold")
@@ -302,6 +305,9 @@ def nearest_heads(
     laid, bounds = made
     shared = spark.sparkContext.broadcast(bounds)
     look, schema = _first_look(shared, threshold), f"member_id long, vec {kind}, todo {_TODO}"
+    if spread is None:
+        dim = bounds.middle.shape[1]
+        spread = math.ceil(2 * 8 * dim * int(bounds.size.sum()) / limit) / SCANS_PER_BLOCK
     if math.isfinite(spread):
         sample = asked.limit(SAMPLE).mapInArrow(look, schema).agg(F.avg(F.size("todo"))).first()[0] or 0.0
         if sample > spread:
@@ -336,7 +342,7 @@ def _by_parts(asked: DataFrame, heads: DataFrame, threshold: float, limit: int)
 
 def assign_nearest_pruned(
     vectors: DataFrame, heads: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec",
-    limit: int = blocks.BROADCAST_BYTES, spread: float = SPREAD,
+    limit: int = blocks.BROADCAST_BYTES, spread: float | None = None,
 ) -> DataFrame:
     """The cluster table of ``assign_nearest``, for head tables of any size; see ``nearest_heads``."""
     found = nearest_heads(vectors, heads, threshold, id_col, vec_col, limit, spread)
