@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import query, table
 from topicloom.catalog.texts import LATIN_KEEP, clean_corpus_sql, clean_record_sql, section_sql
+from topicloom.functions import fixed_values as V
 from topicloom.functions import text as T
 from topicloom.operators import corpus
 from topicloom.plans import corpora as plans
@@ -113,6 +114,58 @@ def corpus_nested_json(spark, folder):
     )
 
 
+#: Earliest date of the cases, exclusive.
+AFTER = 19970000.0
+
+CASES_SQL = f"""
+    dates AS (SELECT o_orderkey AS doc_id, CAST(strftime(o_orderdate, '%Y%m%d') AS DOUBLE) AS date FROM orders),
+    cases AS (SELECT CAST(d.doc_id AS VARCHAR) AS case_id, lang, source, date, nullif(regexp_extract(text, '{FIRST_LINE}', 1), '') AS issue, text
+              FROM documents d LEFT JOIN dates USING (doc_id)),
+    whole AS (SELECT * FROM cases WHERE date IS NOT NULL AND issue IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL),
+    firsts AS (SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY issue ORDER BY case_id) = 1),
+    kept AS (SELECT *, CASE WHEN length(text) >= 100 THEN text END AS contents FROM firsts WHERE date > {AFTER}),
+    built AS (SELECT case_id AS id, lang AS case_name, source AS case_num, {clean_record_sql('issue', V.RECORD_KEEP)} AS issue,
+                     {clean_record_sql('text', V.RECORD_KEEP)} AS summary, {clean_record_sql(section_sql('contents', V.RULING_RULES), V.RECORD_KEEP)} AS ruling,
+                     {clean_record_sql(section_sql('contents', V.REASONING_RULES), V.RECORD_KEEP)} AS reasoning FROM kept)"""
+RECORD = "id string, law_case struct<case_name:string,case_num:string,issue:string,summary:string,full_text:struct<ruling:string,reasoning:string>>"
+
+
+def _cases(spark, folder):
+    """Documents as a case table: their first line is the issue, the date is that of the order of the same number."""
+    dates = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyyMMdd").cast("double").alias("date"))
+    docs = table(spark, folder, "documents").join(dates, "doc_id", "left")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("case_id"), F.col("lang").alias("case_name"), F.col("source").alias("case_number"), "date",
+        T.joined_sections(F.col("text"), (FIRST_LINE,)).alias("judgment_issue"), F.col("text").alias("judgment_summary"),
+        F.col("text").alias("judgment_contents"),
+    )
+
+
+def _flat(records):
+    return records.select(
+        "id", "law_case.case_name", "law_case.case_num", "law_case.issue", "law_case.summary",
+        "law_case.full_text.ruling", "law_case.full_text.reasoning",
+    )
+
+
+@query("corpus_case_records", f"WITH {CASES_SQL} SELECT * FROM built")
+def corpus_case_records(spark, folder):
+    """The whole build from a raw case table to files: complete rows, first per issue, after a date, fixed section rules."""
+    path = stage_path(spark, "case-records")
+    plans.write_nested_records(_cases(spark, folder), path, AFTER)
+    return _flat(files.read_json_lines(spark, path, RECORD))
+
+
+@query("corpus_case_array", f"WITH {CASES_SQL} SELECT * FROM built")
+def corpus_case_array(spark, folder):
+    """The same build as one JSON array, whose lines are read back as records."""
+    path = f"{stage_path(spark, 'case-array')}/cases.json"
+    plans.write_nested_array(_cases(spark, folder), path, AFTER)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    line = F.regexp_replace(F.regexp_replace("value", r"^\[", ""), r"[,\]]$", "")
+    return _flat(lines.select(F.from_json(line, RECORD).alias("r")).select("r.*"))
+
+
 ROLES = {"system": 0, "user": 1, "assistant": 2}
 TURNS_SQL = """turns AS (SELECT a.conv_id, a.text AS sentence1, b.text AS sentence2, b.role
                          FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""

@@ -77,6 +77,22 @@ def ctfidf(spark, folder):
     return scored.select("topic", "term", "n", *[F.round(c, 9).alias(c) for c in ("tf", "idf", "score")])
 
 
+@query(
+    "changed_term_counts",
+    f"""WITH {counts_sql("CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'moved' ELSE lang END")}
+        SELECT topic, term, n FROM counts WHERE topic IS NOT NULL""",
+)
+def changed_term_counts(spark, folder):
+    """Counts kept from before: a third of the texts goes to another topic, a fifth goes, a seventh is new."""
+    docs = _docs(spark, folder, "lang")
+    number = F.col("doc_id")
+    old = F.when(number % 7 != 0, F.col("lang"))
+    new = F.when(number % 5 == 0, F.lit(None)).when(number % 3 == 0, "moved").otherwise(F.col("lang"))
+    both = docs.withColumn("old_topic", old).withColumn("new_topic", new)
+    kept = stage(W.topic_term_counts(both.where("old_topic IS NOT NULL"), "text", "old_topic", STOP), "terms")
+    return W.changed_counts(kept, both, "text", stopwords=STOP)
+
+
 KEYWORDS_SQL = f"{counts_sql('source')}, keys AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS keywords FROM ranked WHERE rank <= 10 GROUP BY topic)"
 
 

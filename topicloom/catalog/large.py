@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -46,22 +45,6 @@ def assign_nearest_pruned(spark, folder):
     return N.assign_nearest_pruned(docs, docs.where("id % 4 = 0"), CLOSE, spread=BLOCKS_MET)
 
 
-@query(
-    "assign_nearest_work",
-    f"""WITH {hashed_sql('dh', 'documents', 'doc_id')}, filled AS (SELECT DISTINCT doc_id FROM dh)
-        SELECT count(*) AS vectors, count(*) FILTER (doc_id % 4 = 0) AS heads, count(*) * count(*) FILTER (doc_id % 4 = 0) AS pairs,
-               true AS under_a_tenth FROM filled""",
-)
-def assign_nearest_work(spark, folder):
-    """How many pairs there are, and whether the cosines computed for the query above are under a tenth of them."""
-    docs = encoded(spark, folder)
-    heads = docs.where("id % 4 = 0")
-    found = N.nearest_heads(docs, heads, CLOSE, spread=math.inf).agg(F.count(F.lit(1)).alias("vectors"), F.sum("compared").alias("compared"))
-    counted = heads.where(F.exists("vec", lambda x: x != 0)).agg(F.count(F.lit(1)).alias("heads"))
-    pairs = F.col("vectors") * F.col("heads")
-    return found.join(F.broadcast(counted)).select("vectors", "heads", pairs.alias("pairs"), (F.col("compared") < pairs / 10).alias("under_a_tenth"))
-
-
 # ---------------------------------------------------------------- trained cells
 
 #: Leaves of the tree, and how many of them a query is searched in.

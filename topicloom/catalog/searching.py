@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from topicloom.catalog.clustering import PART_BYTES, WITH, loop_sql
@@ -11,9 +15,11 @@ from topicloom.catalog.registry import query, table
 from topicloom.catalog.texts import strip_sql
 from topicloom.functions import text as T
 from topicloom.functions import vectors as X
-from topicloom.functions.encoders import encode, hash_encoder
+from topicloom.functions.encoders import encode, factory_encoder, hash_encoder
 from topicloom.operators import docvectors as D
 from topicloom.operators import search as S
+from topicloom.operators.fetch import save_buckets
+from topicloom.operators.folding import fold_ordered
 from topicloom.plans import clustering as plan
 from topicloom.plans import searching as plan_of_search
 from topicloom.staging import stage
@@ -157,6 +163,51 @@ def split_merge(spark, folder):
     return _long(D.split_merge(_docs(spark, folder), ENCODER, "text"), "doc_id")
 
 
+@query(
+    "fold_sentences",
+    f"""WITH {SENTENCES_SQL},
+        folded AS (SELECT doc_id, pos, sum({AS_FLOAT} * CASE WHEN i = 1 THEN pow(0.5, n - 1) ELSE pow(0.5, n - i + 1) END) AS x FROM sv GROUP BY doc_id, pos)
+        SELECT doc_id, pos, round({AS_FLOAT}, 6) AS value FROM folded WHERE round({AS_FLOAT}, 6) <> 0""",
+)
+def fold_sentences(spark, folder):
+    """As split_merge, from a table of sentence vectors of float precision that lie in any partitions."""
+    sentences = _docs(spark, folder).select("doc_id", F.posexplode(T.split_sentences(F.coalesce("text", F.lit("")))).alias("at", "sentence"))
+    spread = encode(sentences, ENCODER, "sentence").select("doc_id", "at", "vec").repartition(F.xxhash64("doc_id", "at"))
+    return _long(fold_ordered(spread, "doc_id", "at"), "doc_id")
+
+
+@query(
+    "encode_loaded_model",
+    f"""WITH {hashed_sql('d', 'documents', 'doc_id')}
+        SELECT doc_id, pos, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 6) AS value FROM d WHERE round(CAST(CAST(x AS FLOAT) AS DOUBLE), 6) <> 0""",
+)
+def encode_loaded_model(spark, folder):
+    """The hashed encoder as a model that every Python worker loads once."""
+    return _long(encode(_docs(spark, folder), factory_encoder(hashed_model, DIM), "text"), "doc_id")
+
+
+def hashed_model():
+    """A loader: gives a function from texts to their hashed word vectors."""
+
+    def place(word: str) -> tuple[int, float]:
+        h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return h % DIM, 1.0 if h // DIM % 2 == 0 else -1.0
+
+    places = functools.lru_cache(100_000)(place)
+    words = regex.compile(r"[\p{L}\p{N}_]{2,}")
+
+    def model(texts):
+        rows = np.zeros((len(texts), DIM))
+        for k, text in enumerate(texts):
+            for word in words.findall(text.lower()):
+                at, sign = places(word)
+                rows[k, at] += sign
+        size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        return np.divide(rows, size, out=rows, where=size > 0)
+
+    return model
+
+
 GATE_SQL = "(1.0 / (1.0 + exp(-(a - 0.5 * b + 0.1))))"
 
 
@@ -234,6 +285,23 @@ def _encoded(spark, folder):
     return stage(docs, "encoded"), asked
 
 
+@query(
+    "hit_fetch",
+    f"""WITH {HITS_SQL},
+        s AS (SELECT b.item_id AS query_id, d.doc_id, {l2_sql('b.vec', 'd.vec')} AS score FROM bv b CROSS JOIN dv d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, r.doc_id, r.score, d.lang, d.source, sha256(d.text) AS text_sha256
+        FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 3""",
+)
+def hit_fetch(spark, folder):
+    """Hits with their documents, which lie by bucket of their id; only the buckets of the hits are read."""
+    docs, asked = _encoded(spark, folder)
+    path = plan_of_search.index_path(spark)
+    save_buckets(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), path, buckets=128)
+    hits = S.attach_documents(S.search_flat(docs, asked, 3), spark.read.parquet(path), ["lang", "source", "text"])
+    return hits.select("query_id", "rank", "doc_id", "score", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(
     "search_format",
     f"""WITH {HITS_SQL},

@@ -8,7 +8,7 @@ from topicloom.catalog.registry import query, sql_text, table
 from topicloom.functions import fixed_values as V
 from topicloom.functions import text as T
 from topicloom.operators import tables
-from topicloom.sources import files
+from topicloom.sources import files, splits
 from topicloom.staging import ordered_index, stage_path
 
 WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(5760)||" + (
@@ -53,6 +53,15 @@ def src_csv_roundtrip(spark, folder):
     return files.read_csv(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
 
 
+@query("src_csv_splits", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def src_csv_splits(spark, folder):
+    """Texts with commas, quotes and line ends through a CSV file that is read in splits."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = stage_path(spark, "csv")
+    files.write_csv(docs, path)
+    return splits.read_csv_splits(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
 @query(
     "src_json_props",
     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.z') AS z FROM events",

@@ -7,6 +7,9 @@ matrix.  A wrapped external model uses the text itself as its feature.
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -64,6 +67,26 @@ def model_encoder(encode: Callable[[Sequence[str]], np.ndarray], dim: int) -> En
     )
 
 
+def factory_encoder(load: Callable[[], Callable[[Sequence[str]], np.ndarray]], dim: int) -> Encoder:
+    """Wrap a model that is too large to travel with a plan: ``load()`` gives it, once in each Python worker.
+
+    Only the loader is sent with the plan; it reads the weights from a shared
+    folder, say.  A worker keeps the model for all later tasks and queries.
+    """
+    name = f"topicloom_model_{uuid.uuid4().hex}"
+
+    def matrix(batch: pa.Array) -> np.ndarray:
+        # modules outlive the tasks of a worker; functions of a plan do not
+        held = sys.modules.get(name)
+        if held is None:
+            held = types.ModuleType(name)
+            held.model = load()
+            sys.modules[name] = held
+        return np.asarray(held.model(batch.to_pylist()), np.float64).reshape(len(batch), dim)
+
+    return Encoder(dim, lambda text: F.coalesce(text, F.lit("")), matrix)
+
+
 def encode(df: DataFrame, encoder: Encoder, text_col: str, out: str = "vec") -> DataFrame:
     """Add the vector of a text column; nothing is shuffled."""
     matrix = encoder.matrix

@@ -50,8 +50,9 @@ def nested_records(
     mapping: Mapping[str, str] | None = None,
     keep: str = V.RECORD_KEEP,
     shortest: int = V.SHORTEST_FULL_TEXT,
+    beside: Sequence[str] = (),
 ) -> DataFrame:
-    """``(id, law_case)`` records; contents shorter than the bound have no full text."""
+    """``(id, law_case)`` records; contents shorter than the bound have no full text.  Columns ``beside`` come along."""
 
     def clean(text: Column) -> Column:
         return T.clean_sentence(text, mapping, keep)
@@ -70,6 +71,7 @@ def nested_records(
             clean(F.col(summary_col)).alias("summary"),
             full_text.alias("full_text"),
         ).alias("law_case"),
+        *beside,
     )
 
 

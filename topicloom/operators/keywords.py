@@ -46,6 +46,27 @@ def topic_term_counts(
     return terms.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def changed_counts(
+    counts: DataFrame, changes: DataFrame, text_col: str, old_col: str = "old_topic", new_col: str = "new_topic",
+    stopwords: Sequence[str] | DataFrame = (), ngram_range: tuple[int, int] = (1, 1),
+) -> DataFrame:
+    """``(topic, term, n)`` after the texts of ``changes`` have gone from one topic to another.
+
+    A null old topic is a new text, a null new topic a text that goes.  Only the
+    changed texts are counted, with a sign for each side; their sums are added
+    to the kept counts, and terms whose count falls to zero leave the table.
+    """
+    moved = changes.where(~F.col(old_col).eqNullSafe(F.col(new_col)))
+    sides = [(F.col(new_col), 1), (F.col(old_col), -1)]
+    both = moved.withColumn("_side", F.explode(F.array(*[F.struct(topic.alias("topic"), F.lit(sign).alias("sign")) for topic, sign in sides])))
+    both = both.where(F.col("_side.topic").isNotNull()).select("_side", F.col(text_col).alias("_text"))
+    # the pair of topic and sign counts like a topic, so texts are tokenised once per side
+    signed = topic_term_counts(both, "_text", "_side", stopwords, ngram_range)
+    deltas = signed.select(F.col("topic.topic").alias("topic"), "term", (F.col("n") * F.col("topic.sign")).alias("n"))
+    added = counts.select("topic", "term", "n").unionByName(deltas).groupBy("topic", "term").agg(F.sum("n").alias("n"))
+    return added.where("n <> 0")
+
+
 def word_lists(
     docs: DataFrame, text_col: str, topic_col: str, order_col: str | None, stopwords: Sequence[str] | DataFrame
 ) -> DataFrame:

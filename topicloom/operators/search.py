@@ -15,6 +15,7 @@ from topicloom.functions import kernels as K
 from topicloom.functions import vectors as X
 from topicloom.functions.encoders import arrow_once
 from topicloom.operators import blocks
+from topicloom.operators.fetch import bucket_column, fetch_rows
 from topicloom.staging import stage
 
 METRICS = ("l2", "ip")
@@ -252,7 +253,12 @@ def attach_documents(hits: DataFrame, docs: DataFrame, columns: list[str], id_co
 
     The hits are written first: their measured size lets Spark broadcast a small
     hit list and scan the documents in place, and shuffle both sides otherwise.
+    Of documents kept by bucket only the buckets of the hits are read.
     """
+    if bucket_column(docs) is not None:
+        renamed = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
+        found = fetch_rows(hits, renamed, [c for c in columns if c != id_col])
+        return found.select("query_id", "rank", "doc_id", "score", *[c for c in columns if c != id_col])
     hits = stage(hits, "hits")
     wanted = docs.select(F.col(id_col).alias("doc_id"), *[c for c in columns if c != id_col])
     return hits.join(wanted, "doc_id").select("query_id", "rank", "doc_id", "score", *[c for c in columns if c != id_col])

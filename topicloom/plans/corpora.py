@@ -11,6 +11,7 @@ from topicloom.functions import fixed_values as V
 from topicloom.functions import text as T
 from topicloom.operators import corpus, tables
 from topicloom.sources import files
+from topicloom.sources.arrays import write_json_array
 from topicloom.staging import stage
 
 
@@ -38,13 +39,24 @@ def write_sentence_corpora(
     files.write_lines(corpus.corpus_sample(small, sample).select("sentence"), f"{folder}/sample")
 
 
+def _nested(cases: DataFrame, after: float, mapping: Mapping[str, str] | None) -> DataFrame:
+    kept = tables.clean_table(cases, "judgment_issue", "date", after, "case_id")
+    return corpus.nested_records(
+        kept, "case_id", "case_name", "case_number", "judgment_issue", "judgment_summary", "judgment_contents",
+        V.RULING_RULES, V.REASONING_RULES, mapping, beside=("date", "case_id"),
+    )
+
+
 def write_nested_records(
     cases: DataFrame, path: str, after: float = 19900000.0, mapping: Mapping[str, str] | None = None
 ) -> None:
     """Complete cases after the date, first per issue, as nested JSON lines in date order."""
-    kept = tables.clean_table(cases, "judgment_issue", "date", after, "case_id").orderBy("date", "case_id")
-    records = corpus.nested_records(
-        kept, "case_id", "case_name", "case_number", "judgment_issue", "judgment_summary", "judgment_contents",
-        V.RULING_RULES, V.REASONING_RULES, mapping,
-    )
-    files.write_json(records, path)
+    records = _nested(cases, after, mapping).orderBy("date", "case_id")
+    files.write_json(records.select("id", "law_case"), path)
+
+
+def write_nested_array(
+    cases: DataFrame, path: str, after: float = 19900000.0, mapping: Mapping[str, str] | None = None
+) -> None:
+    """The same records as one JSON array in one file, in date order."""
+    write_json_array(_nested(cases, after, mapping), path, ["date", "case_id"], ["id", "law_case"])

@@ -14,6 +14,7 @@ from topicloom.operators import clusters as C
 from topicloom.operators import docvectors as D
 from topicloom.operators import keywords as W
 from topicloom.operators import search as S
+from topicloom.operators.fetch import save_buckets
 from topicloom.plans.clustering import Settings, iterative_clusters
 from topicloom.staging import stage, stage_path
 
@@ -83,10 +84,15 @@ def with_cells(built: Built, centroids: DataFrame, id_col: str = "doc_id") -> Bu
     return replace(built, vectors=centroids.sparkSession.read.parquet(path))
 
 
-def save(built: Built, folder: str, mode: str = "errorifexists") -> None:
-    """Keep the stage tables, so that a later session can search without clustering again."""
-    for name in ("docs", "vectors", "clusters"):
+def save(built: Built, folder: str, mode: str = "errorifexists", id_col: str = "doc_id") -> None:
+    """Keep the stage tables, so that a later session can search without clustering again.
+
+    Vectors with cells lie by cell, documents by bucket of their id, so that a
+    search reads the cells it probes and the buckets of its hits.
+    """
+    for name in ("vectors", "clusters"):
         S.save_index(getattr(built, name), f"{folder.rstrip('/')}/{name}", mode)
+    save_buckets(built.docs, f"{folder.rstrip('/')}/docs", id_col, mode=mode)
 
 
 def load(spark: SparkSession, folder: str) -> Built:

@@ -52,6 +52,15 @@ def read_csv(spark: SparkSession, path: str, schema: str, nulls: Sequence[str] =
     return raw.select(*[_typed(f, nulls, mode).alias(f.name) for f in wanted])
 
 
+def csv_header(spark: SparkSession, path: str, wanted: S.StructType) -> list[str]:
+    """Column names of the header, which must hold all wanted ones."""
+    names = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    missing = [f.name for f in wanted if f.name not in names]
+    if missing:
+        raise ValueError(f"the CSV header has no column {', '.join(missing)}")
+    return names
+
+
 def _typed(field: S.StructField, nulls: Sequence[str], mode: str) -> Column:
     cell = F.col(f"`{field.name}`")
     cell = F.when(~cell.isin(*nulls), cell)
