@@ -308,3 +308,28 @@ def test_estimates_are_those_of_the_nearest_rows(spark):
 def test_chi_square_limits():
     assert abs(robust_rules.chi_square_limit(0.75, 6) - 7.841) < 1e-3
     assert abs(robust_rules.chi_square_limit(0.999, 6) - 22.458) < 1e-3
+
+
+# ---------------------------------------------------------------- executors without the package
+
+
+def test_queries_run_where_executors_cannot_import_the_package(tmp_path):
+    """Started from an empty folder, with the package on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from topicloom.session import local_session
+from topicloom.llm.queries import QUERIES
+spark = local_session(4, 4)
+for name in ("op5_language", "op6_language_model", "op11_hard_negatives", "op12_conversation_repair", "op13_quality_rules"):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-2000:]

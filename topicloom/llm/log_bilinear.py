@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +84,11 @@ class Model:
     pull: np.ndarray
 
 
+def _sent(spark, model: Model):
+    """The model's fields as a broadcast of plain arrays, which executors read without this package."""
+    return spark.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(Model)))
+
+
 class Lookup(dict):
     """A number for each word met; by it unit, count (-1: to be joined), class (-1: a unit of its own) and hash."""
 
@@ -93,7 +98,9 @@ class Lookup(dict):
 
     def _start(self) -> None:
         self.clear()
-        self.facts: tuple[list, ...] = ([], [], [], [])
+        self.new: tuple[list, ...] = ([], [], [], [])
+        self.facts = [np.empty(REMEMBERED, kind) for kind in (np.int64, np.int64, np.int64, np.uint64)]
+        self.filled = 0
 
     def __missing__(self, word: bytes) -> int:
         name, own = xxhash.xxh3_64_intdigest(word), self.model
@@ -101,7 +108,7 @@ class Lookup(dict):
         found = at < len(own.names) and int(own.names[at]) == name
         cls = class_of(word)
         unit = int(own.unit[at]) if found else -1
-        for held, value in zip(self.facts, (unit if unit >= 0 else WORDS + cls, int(own.counts[at]) if found else -1, -1 if unit >= 0 else cls, name)):
+        for held, value in zip(self.new, (unit if unit >= 0 else WORDS + cls, int(own.counts[at]) if found else -1, -1 if unit >= 0 else cls, name)):
             held.append(value)
         number = self[word] = len(self)
         return number
@@ -117,8 +124,16 @@ class Lookup(dict):
             words += own
             words.append(END)
         number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        unit, count, cls, name = self.facts
-        return number, np.cumsum(sizes), [np.array(unit, np.int64), np.array(count, np.int64), np.array(cls, np.int64), np.array(name, np.uint64)]
+        if self.new[0]:
+            # only the words of this chunk that were not met before are turned into arrays
+            size = len(self)
+            for k, (held, value) in enumerate(zip(self.facts, self.new)):
+                if size > len(held):
+                    held = self.facts[k] = np.resize(held, 2 * size)
+                held[self.filled : size] = value
+                value.clear()
+            self.filled = size
+        return number, np.cumsum(sizes), [held[: self.filled] for held in self.facts]
 
 
 def _contexts(units: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +146,13 @@ def _contexts(units: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarr
     return one, two
 
 
-def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
-    total[at[order][cut]] += np.add.reduceat(rows[order], cut, axis=0)
+def _add_rows(at: np.ndarray, *pairs: tuple[np.ndarray, np.ndarray]) -> None:
+    """Add each row to the total at its place, for all ``(total, rows)``; places are under 2**16, which sort in linear time."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    placed = at[order]
+    cut = np.flatnonzero(np.diff(placed, prepend=-1))
+    for total, rows in pairs:
+        total[placed[cut]] += np.add.reduceat(rows[order], cut, axis=0)
 
 
 class Trainer:
@@ -151,18 +169,20 @@ class Trainer:
     def step(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         noise = np.minimum(np.searchsorted(self.cumulated, self.random.random(NOISE)), len(self.cumulated) - 1)
         a, b = self.context[one], self.context[two]
-        state = a * self.pull[0] + b * self.pull[1]
+        state = (self.context * self.pull[0])[one] + (self.context * self.pull[1])[two]
         goal, other = self.target[word], self.target[noise]
-        good = (state * goal).sum(axis=1) + self.bias[word] - self.log_noise[word]
+        good = np.einsum("ij,ij->i", state, goal) + (self.bias - self.log_noise)[word]
         bad = state @ other.T + (self.bias[noise] - self.log_noise[noise])
         up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
         down = -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
         d_state = up[:, None] * goal + down @ other
         d_context, d_target, d_bias = np.zeros_like(self.context), np.zeros_like(self.target), np.zeros_like(self.bias)
-        _add_rows(d_context, np.concatenate([one, two]), np.concatenate([d_state * self.pull[0], d_state * self.pull[1]]))
-        _add_rows(d_target, np.concatenate([word, noise]), np.concatenate([up[:, None] * state, down.T @ state]))
-        _add_rows(d_bias[:, None], np.concatenate([word, noise]), np.concatenate([up, down.sum(axis=0)])[:, None])
-        d_pull = np.stack([(d_state * a).sum(axis=0), (d_state * b).sum(axis=0)])
+        _add_rows(np.concatenate([one, two]), (d_context, np.concatenate([d_state * self.pull[0], d_state * self.pull[1]])))
+        _add_rows(
+            np.concatenate([word, noise]), (d_target, np.concatenate([up[:, None] * state, down.T @ state])),
+            (d_bias, np.concatenate([up, down.sum(axis=0)])),
+        )
+        d_pull = np.stack([np.einsum("ij,ij->j", d_state, a), np.einsum("ij,ij->j", d_state, b)])
         for value, slope, held in zip((self.context, self.target, self.bias, self.pull), (d_context, d_target, d_bias, d_pull), self.sums):
             slope /= np.float32(len(word) / 64)
             held += slope * slope
@@ -174,7 +194,7 @@ class Trainer:
 
 def _train(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = Model(*held.value)
         lookup, trainer, seen = Lookup(model), Trainer(model, 1), 0
         for batch in batches:
             for _, _, texts in chunks(batch):
@@ -234,7 +254,7 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text") -> tuple[Mod
         random.normal(0, 0.1, (size + 1, DIM)), random.normal(0, 0.1, (size, DIM)), np.log(mass / mass.sum()), np.ones((2, DIM)),
     )
     if tokens:
-        parts = texts.mapInArrow(_train(spark.sparkContext.broadcast(model)), "weight double, values array<double>")
+        parts = texts.mapInArrow(_train(_sent(spark, model)), "weight double, values array<double>")
         parts = stage(parts, "parameters").select("weight", F.posexplode("values").alias("i", "v"))
         mean = parts.groupBy("i").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v")).toArrow()
         flat = np.empty(mean.num_rows)
@@ -253,48 +273,55 @@ class Scorer:
         self.context, self.target = model.context.astype(np.float32), model.target.astype(np.float32)
         self.bias, self.pull = model.bias.astype(np.float32), model.pull.astype(np.float32)
         self.sums = np.full((model.units + 1) ** 2, np.nan, np.float32)
+        # what a unit adds to the state as the last and as the one before
+        self.last, self.before = self.context * self.pull[0], self.context * self.pull[1]
 
     def score(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         key = one * (self.model.units + 1) + two
-        new = np.unique(key[np.isnan(self.sums[key])])
+        fresh = np.zeros(len(self.sums), bool)
+        fresh[key] = True
+        new = np.flatnonzero(fresh & np.isnan(self.sums))
         for at in range(0, len(new), 256):
             # few contexts at once and in place, so that their scores stay in the cache
             part = new[at : at + 256]
-            state = self.context[part // (self.model.units + 1)] * self.pull[0] + self.context[part % (self.model.units + 1)] * self.pull[1]
+            state = self.last[part // (self.model.units + 1)] + self.before[part % (self.model.units + 1)]
             logits = state @ self.target.T
             logits += self.bias
             most = logits.max(axis=1)
             logits -= most[:, None]
             self.sums[part] = most + np.log(np.exp(logits, out=logits).sum(axis=1))
-        state = self.context[one] * self.pull[0] + self.context[two] * self.pull[1]
-        return ((state * self.target[word]).sum(axis=1) + self.bias[word] - self.sums[key]) / np.float32(np.log(10))
+        state = self.last[one] + self.before[two]
+        return (np.einsum("ij,ij->i", state, self.target[word]) + self.bias[word] - self.sums[key]) / np.float32(np.log(10))
 
 
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = Model(*held.value)
         lookup, scorer = Lookup(model), Scorer(model)
         floor = model.tokens + 0.5 * (model.distinct + 1)
         for batch in batches:
             for start, stop, texts in chunks(batch):
                 number, ends, facts = lookup.tokens(texts)
-                unit, count, cls, name = (x[number] for x in facts)
+                units, counts, classes, names = facts
+                # chances that hang on the word alone are worked out once per word met
+                met = counts >= 0
+                word_base = np.where(met, np.log10((np.maximum(counts, 0) + 0.5) / floor), 0.0)
+                inside, word_share = np.flatnonzero(met & (classes >= 0)), np.zeros(len(counts))
+                c = classes[inside]
+                word_share[inside] = np.log10(counts[inside] / model.class_total[c] * (1 - model.class_unseen[c]))
+                unit, known, base = units[number], met[number], word_base[number]
                 begins = np.concatenate([[0], ends[:-1]])
-                known = count >= 0
-                base = np.where(known, np.log10((np.maximum(count, 0) + 0.5) / floor), 0.0)
                 one, two = _contexts(unit, ends, model.units)
-                value = scorer.score(unit, one, two).astype(np.float64)
-                inside = known & (cls >= 0)
-                c = cls[inside]
-                value[inside] += np.log10(count[inside] / model.class_total[c] * (1 - model.class_unseen[c]))
+                value = scorer.score(unit, one, two).astype(np.float64) + word_share[number]
                 rare = np.flatnonzero(~known)
+                name, cls = names[number[rare]], classes[number[rare]]
                 offsets = np.searchsorted(rare, np.concatenate([begins, [len(unit)]])).astype(np.int32)
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"), part.column("doc_id"), pa.array(ends - begins), pa.array(np.add.reduceat(known.astype(np.int64), begins)),
                         pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(value, begins)),
-                        pa.ListArray.from_arrays(offsets, pa.array(name[rare].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(cls[rare].astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(name.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(cls.astype(np.int32))),
                     ],
                     ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "cls"],
                 )
@@ -315,7 +342,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     spark = docs.sparkSession
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     columns = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, cls array<int>"
-    part = stage(plain.mapInArrow(_score(spark.sparkContext.broadcast(model)), columns), "scored")
+    part = stage(plain.mapInArrow(_score(_sent(spark, model)), columns), "scored")
     # a row's number holds from here on, since the table is written
     rare = part.select("row", F.explode(F.arrays_zip("rare", "cls")).alias("t")).groupBy("row", F.col("t.rare").alias("word"), F.col("t.cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     met = rare.join(counts.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"), "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,14 @@ CHUNK = 1 << 19
 MATRIX_BYTES = 256 * 1024 * 1024
 
 
-@cache
+_HELD: dict[str, np.ndarray] = {}
+
+
 def _letters() -> np.ndarray:
-    """Which code points are letters."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    """Which code points are letters; found once and kept."""
+    if not _HELD:
+        _HELD["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _HELD["letters"]
 
 
 def ngrams(texts: list[bytes], bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -128,10 +131,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     0, and so is every text if nothing was learned.  An empty table gives no
     rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, which executors read without this package
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.matrix, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        own = Model(*held.value)
         names = np.array([*own.languages, UNKNOWN], object)
         for batch in batches:
             lang, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
