@@ -106,3 +106,10 @@ def test_stopwords_keep_repeated_words(one):
 
 def test_extend_link(one):
     assert one(lambda x: T.extend_link(x, "https://h"), "/d?type=HTML") == "https://h/d?type=XML"
+
+
+def test_patterns_are_searched_only_where_their_fixed_text_is():
+    assert T.fixed_part("【주    문】(.+?)【이    유】") == "【주    문】"
+    assert T.fixed_part("[이    유](.+?) 이를 기각한다.") == " 이를 기각한다"
+    assert T.fixed_part("ab?cd*") in ("a", "c")
+    assert [T.fixed_part(p) for p in ("a|b", r"^(.+?)\n", "(abc)?", "[abc]+", "")] == [""] * 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -81,7 +82,7 @@ def first_section(text: Column, rules: Iterable[tuple[str, str, int]]) -> Column
     """
     choices = []
     for pattern, suffix, cut in rules:
-        found = _group(text, pattern)
+        found = _group(text, pattern, fixed_part(pattern))
         if suffix:
             found = F.transform(found, lambda s: F.concat(s, F.lit(suffix)))
         if cut:
@@ -90,12 +91,24 @@ def first_section(text: Column, rules: Iterable[tuple[str, str, int]]) -> Column
     return strip(F.coalesce(*choices))
 
 
-def _group(text: Column, pattern: str) -> Column:
+def fixed_part(pattern: str) -> str:
+    """Longest plain text that every match of the pattern holds; empty if there is none to be sure of."""
+    if "|" in pattern:
+        return ""
+    plain = re.sub(r"\\.|\[[^\]]*\][*+?]*|\([^()]*\)[*+?]*|.[*?{]", "\0", pattern)
+    return max(re.split(r"[\0.^$+{}()\[\]*?]", plain), key=len)
+
+
+def _group(text: Column, pattern: str, needed: str = "") -> Column:
     """First group of the pattern as an array of one entry, or of none.
 
     The array lets later steps name the match without searching for it again.
+    A text without ``needed`` is not searched at all.
     """
-    return F.filter(F.array(F.regexp_extract(text, "(?d)" + pattern, 1)), lambda s: s != "")
+    found = F.regexp_extract(text, "(?d)" + pattern, 1)
+    if needed:
+        found = F.when(F.contains(text, F.lit(needed)), found).otherwise(F.lit(""))
+    return F.filter(F.array(found), lambda s: s != "")
 
 
 def joined_sections(text: Column, patterns: Sequence[str] = V.CORPUS_SECTIONS) -> Column:

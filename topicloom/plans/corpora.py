@@ -41,10 +41,12 @@ def write_sentence_corpora(
 
 def _nested(cases: DataFrame, after: float, mapping: Mapping[str, str] | None) -> DataFrame:
     kept = tables.clean_table(cases, "judgment_issue", "date", after, "case_id")
-    return corpus.nested_records(
+    records = corpus.nested_records(
         kept, "case_id", "case_name", "case_number", "judgment_issue", "judgment_summary", "judgment_contents",
         V.RULING_RULES, V.REASONING_RULES, mapping, beside=("date", "case_id"),
     )
+    # putting rows in order reads them twice, once for a sample
+    return stage(records, "nested")
 
 
 def write_nested_records(
