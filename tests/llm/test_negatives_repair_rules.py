@@ -310,6 +310,26 @@ def test_chi_square_limits():
     assert abs(robust_rules.chi_square_limit(0.999, 6) - 22.458) < 1e-3
 
 
+# ---------------------------------------------------------------- registered queries on odd and empty tables
+
+
+def test_registered_queries_on_odd_and_empty_tables(spark, tmp_path):
+    vectors = [(0, [0.5, 0.5], 3, "x"), (7, [0.25, 0.5], 2, "x"), (8, [0.25, 0.25], 4, "x"), (None, [1.0, 1.0], 3, "x"), (9, None, 3, "x"), (10, [float("nan"), 1.0], 3, "x")]
+    turns = [(1, 0, "user", "Hi.", "x"), (None, None, None, None, "x"), (1, 0, "user", "Hi.", "x"), (2, 5, "system", "", "x")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, rank string").write.parquet(str(tmp_path / "odd/embeddings.parquet"))
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, cost string").write.parquet(str(tmp_path / "odd/conversations.parquet"))
+    for name in ("embeddings", "conversations"):
+        spark.read.parquet(str(tmp_path / f"odd/{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    # 7 is divisible by 7, so its label becomes 3; 0 as well, so its own becomes 4 and only 8 is a positive
+    got = queries.QUERIES["op11_hard_negatives"](spark, str(tmp_path / "odd"))
+    assert sorted(map(tuple, got.collect())) == []
+    found = queries.QUERIES["op12_conversation_repair"](spark, str(tmp_path / "odd"))
+    assert {r["conv_id"] for r in found.collect()} == {1, 2, None}
+    for name in ("op11_hard_negatives", "op12_conversation_repair"):
+        empty = queries.QUERIES[name](spark, str(tmp_path / "none"))
+        assert empty.count() == 0 and "n" not in empty.columns
+
+
 # ---------------------------------------------------------------- executors without the package
 
 
