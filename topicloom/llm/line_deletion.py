@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import small
 from topicloom.staging import stage
 
-#: Shorter lines go only if they are equal to an earlier one.
+#: Shorter lines go only if they are equal to an earlier one; one character shorter, they can still take a longer line.
 MIN_CHARS = 10
 WINDOW = 48
 
@@ -35,7 +35,7 @@ def _half_keys(line: Column, n: Column) -> Column:
             F.xxhash64(F.lit("second"), short, F.right(line, short - left)),
         ]
 
-    return F.when(n >= MIN_CHARS, F.array(*keys(n), *keys(n - 1)))
+    return F.when(n >= MIN_CHARS, F.array(*keys(n), *keys(n - 1))).when(n == MIN_CHARS - 1, F.array(*keys(n)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,12 +69,12 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = stage(lines.join(small(narrow), same).select("h1", "h2", "place", "n", "line").dropDuplicates(["h1", "h2"]), "texts")
     # the line as the shorter (or equal) of two, and as the longer one
     short = F.explode(F.array(F.col("n"), F.col("n") - 1)).alias("short")
-    cut = texts.select("h1", "h2", "place", "n", "line", short)
+    cut = texts.select("h1", "h2", "place", "n", "line", short).where(F.col("short") >= MIN_CHARS - 1)
     cut = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("short") - 1, F.lit(WINDOW))))
     wide = F.least(F.lit(WINDOW), F.col("short") - F.col("at"))
     after = F.col("short") - F.col("at") - wide
     cut = cut.select(
-        "h1", "h2", "place", (F.col("n") > F.col("short")).alias("longer"),
+        "h1", "h2", "place", (F.col("n") > F.col("short")).alias("longer"), (F.col("n") < MIN_CHARS).alias("brief"),
         F.xxhash64("short", "at", F.substring("line", F.lit(1), F.col("at")), F.right("line", after)).alias("key"),
         F.substring(F.col("line"), F.col("at") + 1, F.col("n") - F.col("at") - after).alias("rest"),
     )
@@ -85,15 +85,17 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     less = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("i"), F.concat(F.left(F.col("rest"), i - 1), F.right(F.col("rest"), size - i)).alias("v")))
     # place 0: nothing deleted; equal lengths meet at the same place, unequal ones meet at none
     whole = F.struct(F.lit(0).alias("i"), F.col("rest").alias("v"))
-    variants = F.when(F.col("longer"), F.transform(less, lambda x: F.struct(F.lit(0).alias("i"), x["v"].alias("v")))).otherwise(F.concat(F.array(whole), less))
-    emitted = cut.select("h1", "h2", "place", "longer", "key", F.explode(variants).alias("x"))
-    emitted = emitted.select("h1", "h2", "place", "longer", (F.col("x.i") == 0).alias("indel"), F.xxhash64("key", "x.i", "x.v").alias("variant"))
+    variants = F.when(F.col("longer"), F.transform(less, lambda x: F.struct(F.lit(0).alias("i"), x["v"].alias("v"))))
+    # a brief line only takes a longer one, which has all of it
+    variants = variants.when(F.col("brief"), F.array(whole)).otherwise(F.concat(F.array(whole), less))
+    emitted = cut.select("h1", "h2", "place", "longer", "brief", "key", F.explode(variants).alias("x"))
+    emitted = emitted.select("h1", "h2", "place", "longer", "brief", (F.col("x.i") == 0).alias("indel"), F.xxhash64("key", "x.i", "x.v").alias("variant"))
     emitted = stage(emitted, "variants")
     own = F.struct("place", "h1", "h2")
     least = emitted.groupBy("variant").agg(F.min(F.when(~F.col("longer"), own)).alias("_short"), F.min(F.when(F.col("longer"), own)).alias("_long")).withColumnRenamed("variant", "_v")
     met = emitted.join(least, F.col("variant") == F.col("_v"))
     rival = F.when(F.col("indel") & ~F.col("longer"), F.col("_long")).otherwise(F.col("_short"))
-    met = met.select("h1", "h2", "place", rival.alias("r")).where("r is not null and r.place < place")
+    met = met.where("not brief").select("h1", "h2", "place", rival.alias("r")).where("r is not null and r.place < place")
     pairs = met.groupBy("h1", "h2", F.col("r.h1").alias("e1"), F.col("r.h2").alias("e2")).agg(F.min("r.place").alias("first"))
     one = texts.select(F.col("h1").alias("_x1"), F.col("h2").alias("_x2"), F.col("line").alias("x"))
     two = texts.select(F.col("h1").alias("_y1"), F.col("h2").alias("_y2"), F.col("line").alias("y"))

@@ -57,10 +57,10 @@ _SHORT = "unnest([struct_pack(m := n, k := 0), struct_pack(m := n, k := 1), stru
     firsts AS (SELECT line, min(doc_id * 1000000 + pos) AS place, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
     halves AS (SELECT line, place, n, h.m AS m, h.k AS k,
                       CASE h.k WHEN 0 THEN left(line, h.m // 2) ELSE right(line, h.m - h.m // 2) END AS half
-               FROM (SELECT line, place, n, {_SHORT} AS h FROM firsts WHERE n >= 10)),
+               FROM (SELECT line, place, n, {_SHORT} AS h FROM firsts WHERE n >= 9)),
     pairs AS (SELECT DISTINCT a.line AS x, a.n AS nx, b.line AS y, b.n AS ny
               FROM halves a JOIN halves b ON a.m = b.m AND a.k = b.k AND a.half = b.half
-              WHERE a.place < b.place AND abs(a.n - b.n) <= 1),
+              WHERE a.place < b.place AND b.n >= 10 AND abs(a.n - b.n) <= 1),
     near AS (SELECT DISTINCT y FROM pairs
              WHERE len(list_filter(range(0, greatest(nx, ny)), lambda i: left(x, i) = left(y, i) AND
                  substr(x, i + CASE WHEN nx >= ny THEN 2 ELSE 1 END) = substr(y, i + CASE WHEN ny >= nx THEN 2 ELSE 1 END))) > 0),
