@@ -107,6 +107,22 @@ def shingles(texts: list[bytes], hasher: WordHasher, k: int = SHINGLE) -> tuple[
     return out, owner
 
 
+def row_id(id_col: str) -> Column:
+    """The id as a long, as the tasks expect it; an id that is no whole number raises."""
+    return F.col(id_col).cast("long").alias("doc_id")
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns of ``docs`` as the struct ``row``, beside ``keys``, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[key.alias(name) for name, key in keys.items()])
+
+
+def row_order(docs: DataFrame) -> list[Column]:
+    """Two hashes of all columns, which tell rows apart that share id and text; maps count by their entries."""
+    columns = [F.map_entries(F.col(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return [F.xxhash64(*columns), F.xxhash64(*columns, F.lit("second"))]
+
+
 def text_keys(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a whole text in shuffles."""
     return [F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit("second")).alias("_h2")]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import WordHasher, chunks, mixed, shingles
+from topicloom.llm.common import WordHasher, chunks, mixed, packed, row_id, shingles
 
 COORDINATES = 32
 SMALLEST = 8
@@ -69,7 +69,7 @@ def _met(table: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray) -
 class Items:
     """The coordinates and shingles of a block of items, as a task searches them."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], coordinates: int, threshold: float):
+    def __init__(self, rows: list[tuple[int | None, bytes]], coordinates: int, threshold: float):
         hasher = WordHasher()
         names, owner = shingles([t for _, t in rows], hasher, 5)
         words = np.array([len(t.split()) for _, t in rows], np.int64)
@@ -80,7 +80,8 @@ class Items:
         new = np.ones(len(names), bool)
         new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
         self.names, self.owner = names[new], owner[new]
-        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.ids = np.array([i or 0 for i, _ in rows], np.int64)
+        self.unnamed = np.array([i is None for i, _ in rows], bool)
         self.sizes = np.bincount(self.owner, minlength=len(rows))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         # a window must hold an item with the shingles of its whole span, repeats included
@@ -122,7 +123,7 @@ def _search(items: Items, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            at, ids, held, sizes = [], [], [], []
+            at, found, held, sizes = [], [], [], []
             for start, _, texts in chunks(batch):
                 names, owner = shingles(texts, hasher)
                 border = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -139,9 +140,10 @@ def _search(items: Items, threshold: float):
                         place = np.minimum(np.searchsorted(distinct, wanted), len(distinct) - 1)
                         inside = int((distinct[place] == wanted).sum())
                         if inside >= threshold * len(wanted) - 1e-9:
-                            at.append(start + k), ids.append(items.ids[i]), held.append(inside), sizes.append(len(wanted))
+                            at.append(start + k), found.append(i), held.append(inside), sizes.append(len(wanted))
+            found = np.array(found, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(held, pa.int64()), pa.array(sizes, pa.int64())],
+                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items.ids[found], pa.int64(), mask=items.unnamed[found]), pa.array(held, pa.int64()), pa.array(sizes, pa.int64())],
                 ["doc_id", "item_id", "n_found", "n_shingles"],
             )
 
@@ -172,11 +174,11 @@ def contained_items(
 
     Items under five words, empty or null have no shingle and are never found;
     null or empty documents contain nothing.  Items with equal texts are all
-    found; of rows with the same item id each counts; a null item id is kept.
+    found; of rows with the same item id each counts; a null item id stays null.
     Repeated document rows give repeated result rows.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    plain = docs.select(row_id(id_col), F.col(text_col).alias("text")).where("text is not null")
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     out = spark.createDataFrame([], "doc_id long, item_id long, n_found long, n_shingles long")
     for rows in _item_blocks(wanted, block):
@@ -185,7 +187,7 @@ def contained_items(
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
-def _item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, bytes]]]:
+def _item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """Items in blocks bounded in rows and bytes, in a fixed order."""
     held, size = [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
@@ -193,7 +195,7 @@ def _item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, bytes
         if held and (len(held) >= block or size + len(text) > ITEM_BYTES):
             yield held
             held, size = [], 0
-        held.append((row["item_id"] if row["item_id"] is not None else -1, text))
+        held.append((row["item_id"], text))
         size += len(text)
     if held:
         yield held
@@ -204,6 +206,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
     A row is judged by its text, so rows with a null or repeated id are safe.
     """
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    hit = contained_items(keyed.select("_text_key", text_col), items, "_text_key", text_col, **settings).select(F.col("doc_id").alias("_hit")).distinct()
-    return keyed.join(hit, F.col("_text_key") == F.col("_hit"), "left_anti").drop("_text_key")
+    key, text = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.col(text_col)
+    asked = docs.select(key.alias("key"), text.alias("text"))
+    hit = contained_items(asked, items, "key", "text", **settings).select(F.col("doc_id").alias("hit")).distinct()
+    return packed(docs, key=key).join(hit, F.col("key") == F.col("hit"), "left_anti").select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import MIX, SHINGLE, WordHasher, chunks, components, mixed, shingles, small, text_keys
+from topicloom.llm.common import MIX, SHINGLE, WordHasher, chunks, components, mixed, packed, row_id, row_order, shingles, small, text_keys
 from topicloom.staging import stage
 
 BANDS, ROWS = 26, 5
@@ -202,7 +202,7 @@ def near_duplicates(
     are copies.  An empty table gives no rows.
     """
     _check_weights(weights)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(row_id(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = plain.select("doc_id", "text", *text_keys(F.col("text")))
     signed = stage(keyed.mapInArrow(_sign(weights, bands, rows), "doc_id long, _h1 long, _h2 long, bands array<long>"), "darts")
     nodes = signed.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("first_id"))
@@ -322,12 +322,14 @@ def _compare(threshold: float):
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs``, of each class only the row that ``keep`` marks, with all their columns.
 
-    Rows equal in id and text are copies of each other, so one of them stays.
+    Rows equal in id and text are copies of each other, so one of them stays:
+    the one with the least hash of all columns, on every run.
     """
     found = near_duplicates(docs, id_col, text_col, **settings)
-    kept = found.where("keep").select(F.col("doc_id").alias("_keep_id"), F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2")).distinct()
-    mine = docs.withColumns({"_t1": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_t2": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit("second"))})
-    same = (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")) & F.col(id_col).eqNullSafe(F.col("_keep_id"))
-    joined = mine.join(kept, same)
-    place = Window.partitionBy("_t1", "_t2", id_col).orderBy(F.lit(1))
-    return joined.withColumn("_turn", F.row_number().over(place)).where("_turn = 1").select(*[docs[c] for c in docs.columns])
+    kept = found.where("keep").select(F.col("doc_id").alias("keep_id"), F.col("_h1").alias("k1"), F.col("_h2").alias("k2")).distinct()
+    t1, t2 = text_keys(F.coalesce(F.col(text_col), F.lit("")))
+    first, second = row_order(docs)
+    mine = packed(docs, id=row_id(id_col), t1=t1, t2=t2, o1=first, o2=second)
+    joined = mine.join(kept, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    place = Window.partitionBy("t1", "t2", "id").orderBy("o1", "o2")
+    return joined.withColumn("turn", F.row_number().over(place)).where("turn = 1").select("row.*")

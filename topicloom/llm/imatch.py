@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import MIX, REMEMBERED, WordHasher, chunks, mixed, split_words, text_keys
+from topicloom.llm.common import MIX, REMEMBERED, WordHasher, chunks, mixed, row_id, split_words, text_keys
 from topicloom.staging import stage
 
 #: Band: terms in at least one of so many texts, and in at most this share of them.
@@ -146,7 +146,7 @@ def fingerprint(docs: DataFrame, words: np.ndarray, id_col: str = "doc_id", text
             for start, stop, texts in chunks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), pa.array(_hex(fingerprints(texts, terms)), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(row_id(id_col), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

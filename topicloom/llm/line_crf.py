@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import chunks
+from topicloom.llm.common import chunks, row_id
 
 #: Labelled texts the field is fitted to: those with the least hash of their id.
 TRAIN_DOCS = 4000
@@ -199,12 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     # only labelled ids, a bounded number of them, meet their texts
-    first = marks.join(docs.where(allowed & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_own")).distinct(), F.col("_id") == F.col("_own"))
+    own = docs.where(allowed & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
+    first = marks.join(own.select("_own").distinct(), F.col("_id") == F.col("_own"))
     chosen = first.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id", "_label")
-    texts = docs.where(allowed & F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
+    texts = own.join(F.broadcast(chosen), F.col("_own") == F.col("_id"))
     # rows that share an id count once
-    once = Window.partitionBy("_id").orderBy(F.length(text_col), F.xxhash64(text_col))
-    texts = texts.select("_id", "_label", F.col(text_col).alias("text")).withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_id", "_label", "text")
+    once = Window.partitionBy("_id").orderBy(F.length("text"), F.xxhash64("text"))
+    texts = texts.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_id", "_label", "text")
     packed = texts.select("_label", "text", "_id").mapInArrow(_pack, "label int, x binary, size binary").toArrow()
     rows = sorted(zip(*[packed.column(c).to_pylist() for c in ("label", "size", "x")]))
     size = [np.frombuffer(r[1], np.int64) for r in rows]
@@ -237,7 +238,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     null text counts as empty, and an empty text is one empty line; both get a
     score like others.  An empty table gives no rows.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(row_id(id_col), F.col(text_col).alias("text"))
     return plain.mapInArrow(_score(field), "doc_id long, score double, bad_lines long")
 
 

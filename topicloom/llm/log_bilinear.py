@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import REMEMBERED, chunks
+from topicloom.llm.common import REMEMBERED, chunks, row_id
 from topicloom.staging import stage
 
 WORDS = 1000
@@ -340,7 +340,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     unseen word, with chance 1.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), row_id(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     columns = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, cls array<int>"
     part = stage(plain.mapInArrow(_score(_sent(spark, model)), columns), "scored")
     # a row's number holds from here on, since the table is written

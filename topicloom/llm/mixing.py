@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import GAP, WORD, ranked
+from topicloom.llm.common import GAP, WORD, packed, ranked, row_order
 from topicloom.staging import stage
 
 #: Slots that an average source gets; a block is an average source's share of words over this.
@@ -154,10 +154,13 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A pass that takes all words leaves the text as it is; the last pass of a
     source may end inside a row, whose text is then the taken words joined by
     one space.  Rows of which nothing is taken, empty texts among them, go.
+    Rows equal in id, text and source take their turns in the order of a hash of
+    all columns.
     """
-    keys = [F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key")]
-    keyed = docs.select("*", *keys)
-    rows, pieces = mix(keyed.select(F.struct(id_col, "_key").alias("_id"), text_col, source_col), "_id", text_col, source_col, **settings)
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    first, second = row_order(docs)
+    named = F.struct(F.col(id_col).alias("id"), key.alias("key"))
+    rows, pieces = mix(docs.select(named.alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), "id", "text", "source", **settings)
     runs = pieces.groupBy("row", "pass").agg(F.first("doc_id").alias("_id"), F.min("start").alias("_from"), F.sum("words").alias("_words"))
     sized = rows.select(F.col("row").alias("_row"), "size", F.col("source").alias("_source"))
     runs = runs.join(sized, F.col("row") == F.col("_row")).select("_id", "_source", "_from", "_words", F.col("size").alias("_size"), F.col("row").alias("_run"))
@@ -165,12 +168,12 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     turn = F.row_number().over(Window.partitionBy("_id", "_source").orderBy("_run"))
     numbers = runs.select("_run", "_id", "_source").distinct().withColumn("_turn", turn).select(F.col("_run").alias("_r"), "_turn")
     runs = runs.join(numbers, F.col("_run") == F.col("_r"))
-    mine = keyed.withColumn("_mine", F.row_number().over(Window.partitionBy(id_col, "_key", source_col).orderBy(F.lit(1))))
-    same = (
-        F.col(id_col).eqNullSafe(F.col(f"_id.{id_col}")) & (F.col("_key") == F.col("_id._key")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_mine") == F.col("_turn"))
-    )
-    words = F.filter(F.split(F.col(text_col), GAP), lambda w: w != "")
+    mine = packed(docs, id=named, source=F.col(source_col), o1=first, o2=second)
+    mine = mine.withColumn("mine", F.row_number().over(Window.partitionBy("id", "source").orderBy("o1", "o2")))
+    same = F.col("id.id").eqNullSafe(F.col("_id.id")) & (F.col("id.key") == F.col("_id.key")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("mine") == F.col("_turn"))
+    text = F.col("row")[text_col]
+    words = F.filter(F.split(text, GAP), lambda w: w != "")
     cut = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(cut)
-    out = mine.join(runs, same).withColumn("_cut", text)
-    return out.select(*[F.col("_cut").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    taken = F.when(F.col("_words") == F.col("_size"), text).otherwise(cut)
+    out = mine.join(runs, same)
+    return out.select(*[taken.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import chunks
+from topicloom.llm.common import chunks, row_id
 
 ORDERS = (1, 2, 3)
 BITS = 15
@@ -147,5 +147,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score[start:stop] = np.where(some, chance.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[lang], pa.string()), pa.array(np.minimum(score, 1.0))], ["doc_id", "lang_pred", "score"])
 
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(row_id(id_col), F.col(text_col).alias("text"))
     return plain.mapInArrow(run, "doc_id long, lang_pred string, score double")
