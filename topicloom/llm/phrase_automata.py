@@ -6,12 +6,13 @@
    are shuffled to find these runs.
 2. The windows around such runs are hashed; those that start in two texts are
    confirmed, and the earliest text of each owns it.  Neighbouring windows of
-   one owner are its passages.
+   one owner are its passages; where else they occur is not known yet.
 3. Passages are cut into phrases of half a window.  Whatever recurs holds at
    least one whole phrase, so automata over the phrases find every occurrence.
-   A shard holds the passages of a bounded number of owners; the stretches of
-   all texts that hold confirmed windows are streamed through the shard of
-   their owner, and each hit is extended word by word in both directions.
+   Passages belong to the shard of the run that their windows pick.  Every text
+   is streamed through the shards of the runs it picks, as far as a confirmed
+   window has such a run; a text without one holds no passage.  Each hit is
+   extended word by word in both directions, and counts for an earlier owner.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from topicloom.staging import stage
 
 WINDOW = 50
 GRAM = 10
-#: Words of passages that one automaton is compiled from.
-SHARD_WORDS = 400_000
+#: Confirmed windows whose passages make a shard, on average.
+SHARD_WINDOWS = 100_000
+#: Text of passages in one automaton; a shard with more is split, and its texts meet each part.
+PASSAGE_BYTES = 16 * 1024 * 1024
+#: Text streamed through one automaton; a shard with more is searched by several tasks.
+SEARCH_BYTES = 8 * 1024 * 1024
 
 
 def _anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -84,58 +89,73 @@ def _windows(window: int):
             grams = batch.column("grams")
             ids = batch.column("first_id").to_numpy()
             at = {k: i for i, k in enumerate(batch.column("node").to_pylist())}
-            held, names, places, firsts = [], [], [], []
+            held, names, places, firsts, runs = [], [], [], [], []
             for node, _, hashes, a, b in _each_text(iter([batch])):
                 wanted = np.array(grams[at[node]].as_py(), np.int64).view(np.uint64)
-                start = np.flatnonzero(np.isin(_anchors(hashes[a:b], window), wanted))
+                picked = _anchors(hashes[a:b], window)
+                start = np.flatnonzero(np.isin(picked, wanted))
                 if len(start):
                     held.append(rolled(hashes[a:b], window)[start])
                     names.append(np.full(len(start), node))
                     places.append(start)
                     firsts.append(np.full(len(start), ids[at[node]]))
+                    runs.append(picked[start])
             if held:
                 yield _columns(
-                    ["hash", "node", "start", "first_id"],
-                    np.concatenate(held).view(np.int64), np.concatenate(names), np.concatenate(places).astype(np.int32), np.concatenate(firsts),
+                    ["hash", "node", "start", "first_id", "gram"],
+                    np.concatenate(held).view(np.int64), np.concatenate(names), np.concatenate(places).astype(np.int32), np.concatenate(firsts), np.concatenate(runs).view(np.int64),
                 )
 
     return run
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each stretch ``[low, high)`` of a text."""
-    for batch in batches:
-        cuts = batch.column("cuts")
-        owner, node, first, low, words = [], [], [], [], []
-        for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-            own = text.split()
-            for c in cuts[k].as_py():
-                owner.append(c["owner"]), node.append(batch.column("node")[k].as_py()), low.append(c["low"]), first.append(c["own"])
-                words.append(b" ".join(own[c["low"] : c["high"]]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(owner, pa.int64()), pa.array(first, pa.bool_()), pa.array(node, pa.int64()), pa.array(low, pa.int32()), pa.array(words, pa.binary())],
-            ["owner", "own", "node", "low", "words"],
-        )
+def _pieces(window: int, shards: int):
+    """By shard: the passages that a text owns, and its stretches of windows that pick a confirmed run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {k: i for i, k in enumerate(batch.column("node").to_pylist())}
+            first = batch.column("first_id").to_pylist()
+            rows: list[tuple[int, bool, int, int, int, bytes]] = []
+            for node, words, hashes, a, b in _each_text(iter([batch])):
+                i = at[node]
+                picked = _anchors(hashes[a:b], window)
+                search = np.isin(picked, np.array(batch.column("grams")[i].as_py(), np.int64).view(np.uint64))
+                parts = picked.view(np.int64) % shards
+                for c in batch.column("passages")[i].as_py() or ():
+                    rows.append((c["owner"], True, node, first[i], c["low"], b" ".join(words[a + c["low"] : a + c["high"]])))
+                    # what a text owns stands in no earlier one
+                    search[c["low"] : c["high"] - window + 1] = False
+                starts = np.flatnonzero(search)
+                if not len(starts):
+                    continue
+                new = np.flatnonzero((np.diff(starts) != 1) | (np.diff(parts[starts]) != 0)) + 1
+                for stretch in np.split(starts, new):
+                    low, high = int(stretch[0]), int(stretch[-1]) + window
+                    rows.append((int(parts[low]), False, node, first[i], low, b" ".join(words[a + low : a + high])))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["shard", "own", "node", "first_id", "low", "words"])
+
+    return run
 
 
 class Automaton:
     """Phrases of the passages of a shard, and where each stands."""
 
     def __init__(self, window: int):
-        self.window, self.size = window, 0
+        self.window = window
         self.phrase = max(1, window // 2)
-        self.passages: dict[int, list[list[int]]] = {}
-        self.found: dict[tuple, list[tuple[int, int, int]]] = {}
+        #: words of each passage, and the least id of the text that owns it
+        self.passages: list[tuple[int, list[int]]] = []
+        self.found: dict[tuple, list[tuple[int, int]]] = {}
         self.codes: dict[bytes, int] = {}
         self.tree = None
 
-    def add(self, owner: int, words: bytes) -> None:
+    def add(self, first_id: int, words: bytes) -> None:
         own = [self.codes.setdefault(w, len(self.codes)) for w in words.split()]
-        mine = self.passages.setdefault(owner, [])
         for at in range(0, len(own) - self.phrase + 1, self.phrase):
-            self.found.setdefault(tuple(own[at : at + self.phrase]), []).append((owner, len(mine), at))
-        mine.append(own)
-        self.size += len(own)
+            self.found.setdefault(tuple(own[at : at + self.phrase]), []).append((len(self.passages), at))
+        self.passages.append((first_id, own))
 
     def compile(self) -> None:
         if not self.found:
@@ -145,8 +165,8 @@ class Automaton:
             self.tree.add_word(key, where)
         self.tree.make_automaton()
 
-    def locate(self, owner: int, words: bytes) -> Iterator[tuple[int, int]]:
-        """Stretches of at least a window that also stand in a passage of ``owner``."""
+    def locate(self, first_id: int, words: bytes) -> Iterator[tuple[int, int]]:
+        """Stretches of at least a window that also stand in a passage of a text with a smaller id."""
         if self.tree is None:
             return
         unknown = len(self.codes)
@@ -154,13 +174,11 @@ class Automaton:
         done: dict[tuple[int, int], int] = {}
         for end, where in self.tree.iter(own):
             start = end - self.phrase + 1
-            for of, number, at in where:
-                if of != owner:
-                    continue
+            for number, at in where:
+                owner, other = self.passages[number]
                 line = (number, start - at)
-                if done.get(line, -1) >= end:
+                if owner >= first_id or done.get(line, -1) >= end:
                     continue
-                other = self.passages[of][number]
                 low, high, shift = start, end + 1, at - start
                 while low and low + shift and own[low - 1] == other[low - 1 + shift]:
                     low -= 1
@@ -172,24 +190,24 @@ class Automaton:
 
 
 def _locate(window: int):
-    """Runs over rows sorted by ``(shard, own desc)``: first the passages of a shard, then the stretches to search."""
+    """Runs over rows sorted by ``(slot, own desc)``: first the passages of a slot, then the stretches to search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, machine = None, None
+        slot, machine = None, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "own", "owner", "node", "low", "words")]
-            node_out, low_out, high_out = [], [], []
-            for s, own, owner, node, low, words in zip(*columns):
-                if s != shard:
-                    shard, machine = s, Automaton(window)
+            columns = [batch.column(c).to_pylist() for c in ("slot", "own", "node", "first_id", "low", "words")]
+            found: set[tuple[int, int, int]] = set()
+            for s, own, node, first_id, low, words in zip(*columns):
+                if s != slot:
+                    slot, machine = s, Automaton(window)
                 if own:
-                    machine.add(owner, words)
+                    machine.add(first_id, words)
                     continue
                 if machine.tree is None:
                     machine.compile()
-                for a, b in machine.locate(owner, words):
-                    node_out.append(node), low_out.append(low + a), high_out.append(low + b)
-            yield pa.RecordBatch.from_arrays([pa.array(node_out, pa.int64()), pa.array(low_out, pa.int32()), pa.array(high_out, pa.int32())], ["node", "low", "high"])
+                found.update((node, low + a, low + b) for a, b in machine.locate(first_id, words))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["node", "low", "high"])
 
     return run
 
@@ -246,25 +264,31 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the row with the least id stands for its copies; repeated rows are dropped by their key
     chosen = once.join(held, (F.col("node") == F.col("_n")) & (F.col("first_id") == F.col("_d"))).select("node", "first_id", "grams", "text")
     chosen = stage(chosen.dropDuplicates(["node"]), "chosen")
-    ordered = stage(chosen.mapInArrow(_windows(window), "hash long, node long, start int, first_id long"), "windows")
-    owners = ordered.groupBy("hash").agg(F.min(F.struct("first_id", "node", "start")).alias("_own"), F.max("node").alias("_b"), F.min("node").alias("_a"))
-    owners = owners.where("_a <> _b").select(F.col("hash").alias("_k"), F.col("_own.node").alias("owner"), F.col("_own.first_id").alias("_id"), F.col("_own.start").alias("_s"))
-    owned = ordered.join(owners, F.col("hash") == F.col("_k"))
-    # a second window of the owner itself is no passage of its own
-    owned = owned.where("node <> owner or start = _s").where("node = owner or first_id > _id").select("node", "owner", "start")
-    runs = stage(_runs(owned, window), "runs")
-    cuts = runs.groupBy("node").agg(F.collect_list(F.struct("owner", (F.col("owner") == F.col("node")).alias("own"), "low", "high")).alias("cuts"))
-    pieces = chosen.select("node", "text").join(cuts, "node").select("node", "text", "cuts")
-    pieces = stage(pieces.mapInArrow(_stretches, "owner long, own boolean, node long, low int, words binary"), "pieces")
-    total = runs.where("node = owner").agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    # an owner whose passages many texts hold is searched by several tasks, each with the passages
-    busy = pieces.where("not own").groupBy(F.col("owner").alias("_w")).agg(F.ceil(F.sum(F.length("words")) / (8 * SHARD_WORDS)).cast("int").alias("_parts")).where("_parts > 1")
-    split = pieces.join(small(stage(busy, "busy")), F.col("owner") == F.col("_w"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    part = F.when(F.col("own"), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "low"), F.col("_parts")).cast("int")))
-    split = split.withColumn("_part", F.explode(part))
-    shard = F.pmod(F.xxhash64("owner"), F.lit(int(shards))) * F.lit(1 << 20) + F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("owner", "_part"), F.lit(1 << 20)) + 1).otherwise(0)
-    sent = split.select(shard.alias("shard"), "own", "owner", "node", "low", "words").repartition("shard").sortWithinPartitions("shard", F.col("own").desc())
+    windows = "hash long, node long, start int, first_id long, gram long"
+    ordered = stage(chosen.mapInArrow(_windows(window), windows), "windows")
+    owners = ordered.groupBy("hash").agg(F.min(F.struct("first_id", "node", "start", "gram")).alias("_own"), F.max("node").alias("_b"), F.min("node").alias("_a"))
+    owners = stage(owners.where("_a <> _b").select("_own.node", "_own.start", "_own.gram"), "owners")
+    shards = max(1, -(-owners.count() // SHARD_WINDOWS))
+    runs = _runs(owners.select("node", F.pmod("gram", F.lit(shards)).cast("long").alias("owner"), "start"), window)
+    passages = runs.groupBy(F.col("node").alias("_p")).agg(F.collect_list(F.struct("owner", "low", "high")).alias("passages"))
+    confirmed = stage(owners.select(F.col("gram").alias("_gram")).distinct(), "confirmed")
+    routed = wanted.select("node", F.explode("grams").alias("gram")).join(small(confirmed), F.col("gram") == F.col("_gram"))
+    routed = routed.groupBy(F.col("node").alias("_r")).agg(F.collect_list("gram").alias("grams"))
+    routed = stage(routed.join(passages, F.col("_r") == F.col("_p"), "left").select("_r", "grams", "passages"), "routed")
+    streamed = chosen.drop("grams").join(routed, F.col("node") == F.col("_r")).select("node", "first_id", "text", "grams", "passages")
+    kinds = "shard long, own boolean, node long, first_id long, low int, words binary"
+    pieces = stage(streamed.mapInArrow(_pieces(window, shards), kinds), "pieces")
+    # a shard is a grid of parts of its passages against parts of the stretches; nearly all are one by one
+    size = F.octet_length("words")
+    parts = lambda kept, limit: F.greatest(F.ceil(F.coalesce(F.sum(F.when(kept, size)), F.lit(0)) / limit), F.lit(1)).cast("int")
+    grid = stage(pieces.groupBy(F.col("shard").alias("_s")).agg(parts(F.col("own"), PASSAGE_BYTES).alias("_down"), parts(~F.col("own"), SEARCH_BYTES).alias("_across")), "grid")
+    split = pieces.join(small(grid), F.col("shard") == F.col("_s"))
+    place = lambda count: F.pmod(F.xxhash64("node", "low"), F.col(count)).cast("int")
+    down = F.when(F.col("own"), F.array(place("_down"))).otherwise(F.sequence(F.lit(0), F.col("_down") - 1))
+    across = F.when(F.col("own"), F.sequence(F.lit(0), F.col("_across") - 1)).otherwise(F.array(place("_across")))
+    split = split.withColumn("_i", F.explode(down)).withColumn("_j", F.explode(across))
+    sent = split.select(F.xxhash64("shard", "_i", "_j").alias("slot"), "own", "node", "first_id", "low", "words")
+    sent = sent.repartition("slot").sortWithinPartitions("slot", F.col("own").desc())
     ranges = sent.mapInArrow(_locate(window), "node long, low int, high int")
     return texts, stage(ranges, "ranges")
 
