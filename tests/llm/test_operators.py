@@ -152,14 +152,17 @@ def test_near_lines_equal_brute_force(spark):
     assert line_deletion.dedup_lines(table(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("windows, size", [(phrase_automata.SHARD_WINDOWS, phrase_automata.PASSAGE_BYTES), (40, 600)])
-def test_repeated_passages_equal_brute_force(spark, monkeypatch, windows, size):
-    # the second time, many shards and grids of parts
+@pytest.mark.parametrize("windows, size, places", [(phrase_automata.SHARD_WINDOWS, phrase_automata.PASSAGE_BYTES, 0), (40, 600, phrase_automata.PLACES)])
+def test_repeated_passages_equal_brute_force(spark, monkeypatch, windows, size, places):
+    # once all passages chosen by their windows; once many shards and grids of parts
+    monkeypatch.setattr(phrase_automata, "PLACES", places)
     monkeypatch.setattr(phrase_automata, "SHARD_WINDOWS", windows)
     monkeypatch.setattr(phrase_automata, "PASSAGE_BYTES", size)
     monkeypatch.setattr(phrase_automata, "SEARCH_BYTES", size)
     shared = [words(50 + k, n) for k, n in enumerate((50, 49, 80, 200))]
     rows = [(i, " ".join(sum((words(i * 10 + k, 30) + shared[(i + k) % 4][: 200 - 10 * (i % 5)] for k in range(3)), []))) for i in range(16)]
+    frequent = [words(80 + k, 30) for k in range(4)]
+    rows += [(100 + i, " ".join(sum((frequent[(i * k) % 4] for k in (1, 2, 3, 5)), []))) for i in range(12)]
     rows += [(20, "again " * 300), (21, "x " + "again " * 120), (22, rows[3][1]), (23, rows[3][1]), (30, " ".join(words(7, 20000)))] + ODD
     got = {r["doc_id"]: r for r in phrase_automata.remove_repeats(table(spark, rows)).collect()}
     first = {}

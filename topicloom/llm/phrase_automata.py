@@ -34,9 +34,11 @@ GRAM = 10
 #: Confirmed windows whose passages make a shard, on average.
 SHARD_WINDOWS = 100_000
 #: Text of passages in one automaton; a shard with more is split, and its texts meet each part.
-PASSAGE_BYTES = 16 * 1024 * 1024
+PASSAGE_BYTES = 4 * 1024 * 1024
 #: Text streamed through one automaton; a shard with more is searched by several tasks.
 SEARCH_BYTES = 8 * 1024 * 1024
+#: A phrase that stands in more places has its passage chosen by the window around it.
+PLACES = 4
 
 
 def _anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -149,6 +151,8 @@ class Automaton:
         self.passages: list[tuple[int, list[int]]] = []
         self.found: dict[tuple, list[tuple[int, int]]] = {}
         self.codes: dict[bytes, int] = {}
+        #: passage and place of the windows around phrases with many places; a confirmed window has one owner
+        self.around: dict[int, tuple[int, int]] = {}
         self.tree = None
 
     def add(self, first_id: int, words: bytes) -> None:
@@ -162,6 +166,11 @@ class Automaton:
             return
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, where in self.found.items():
+            if len(where) > PLACES:
+                for number, at in where:
+                    own = self.passages[number][1]
+                    for low in range(max(0, at + self.phrase - self.window), min(at, len(own) - self.window) + 1):
+                        self.around[hash(tuple(own[low : low + self.window]))] = (number, low)
             self.tree.add_word(key, where)
         self.tree.make_automaton()
 
@@ -172,8 +181,14 @@ class Automaton:
         unknown = len(self.codes)
         own = tuple(self.codes.get(w, unknown) for w in words.split())
         done: dict[tuple[int, int], int] = {}
+        looked = 0
         for end, where in self.tree.iter(own):
             start = end - self.phrase + 1
+            if len(where) > PLACES:
+                last = min(start, len(own) - self.window)
+                yield from self._chosen(own, first_id, max(looked, end + 1 - self.window), last)
+                looked = max(looked, last + 1)
+                continue
             for number, at in where:
                 owner, other = self.passages[number]
                 line = (number, start - at)
@@ -189,6 +204,23 @@ class Automaton:
                     yield low, high
 
 
+    def _chosen(self, own: tuple, first_id: int, low: int, last: int) -> Iterator[tuple[int, int]]:
+        """Windows that start in ``low`` to ``last`` and stand in the one passage that has them."""
+        begin = None
+        for at in range(low, last + 1):
+            here = own[at : at + self.window]
+            number, place = self.around.get(hash(here), (-1, 0))
+            owner, other = self.passages[number]
+            same = number >= 0 and owner < first_id and tuple(other[place : place + self.window]) == here
+            if same and begin is None:
+                begin = at
+            elif not same and begin is not None:
+                yield begin, at - 1 + self.window
+                begin = None
+        if begin is not None:
+            yield begin, last + self.window
+
+
 def _locate(window: int):
     """Runs over rows sorted by ``(slot, own desc)``: first the passages of a slot, then the stretches to search."""
 
