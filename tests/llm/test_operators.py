@@ -321,6 +321,16 @@ def test_shards_are_even_and_keep_groups(spark):
     assert label_propagation.balanced_shards(docs.limit(0)).count() == 0
 
 
+def test_sharded_rows_carry_all_columns(spark):
+    rows = [(i % 20, f"text {i % 15}", i, "x") for i in range(60)] + [(None, None, 60, None), (None, None, 60, None), (1, "", 61, "y")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, size long, in_size string")
+    got = label_propagation.sharded_rows(docs, shards=4)
+    assert got.columns == ["doc_id", "text", "in_in_size", "in_size", "size", "text_crc32", "shard", "slot"]
+    held = collections.Counter((r["doc_id"], r["text"], r["in_in_size"], r["in_size"]) for r in got.collect())
+    assert held == collections.Counter(rows)
+    assert all(r["size"] == len(r["text"] or "") + 16 for r in got.collect())
+
+
 @pytest.mark.parametrize("size", [2, 3])
 def test_shards_hold_groups_together_without_any_unique_text(spark, size):
     rows = [(i, f"copy {i // size}") for i in range(600 * size)]

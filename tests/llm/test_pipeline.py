@@ -76,6 +76,11 @@ def classes(rows):
     return sorted(min((i for i in ids if i is not None), default=-1) for ids in groups.values())
 
 
+def carried(columns):
+    """Names of the columns of documents in the last stage, which has a size of its own."""
+    return ["in_size" if c == "size" else c for c in columns]
+
+
 def test_stages_equal_brute_force(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, tables = docs.columns, [docs]
@@ -116,6 +121,8 @@ def test_stages_equal_brute_force(spark, folder, tmp_path):
 
     facts = lambda i, text: (i, len(text.encode()) + 16, zlib.crc32(text.encode()))
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in sharded) == collections.Counter(facts(r["doc_id"], r["text"]) for r in mixed)
+    bodies = lambda rows, names: collections.Counter(str([r[c] for c in names]) for r in rows)
+    assert bodies(sharded, carried(columns)) == bodies(mixed, columns)
     count = collections.Counter(r["shard"] for r in sharded)
     assert set(count) == set(range(40)) and max(count.values()) - min(count.values()) <= 1
     assert sorted((r["shard"], r["slot"]) for r in sharded) == [(s, k) for s in range(40) for k in range(count[s])]
@@ -125,7 +132,7 @@ def test_stages_equal_brute_force(spark, folder, tmp_path):
 
 
 def test_pipeline_of_empty_tables(spark, nothing):
-    assert corpus_pipeline.run(spark, nothing).columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    assert corpus_pipeline.run(spark, nothing).columns == [*carried(spark.read.parquet(f"{nothing}/documents.parquet").columns), "size", "text_crc32", "shard", "slot"]
     assert corpus_pipeline.run(spark, nothing).count() == 0
 
 
