@@ -36,9 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row of the mix goes: shards of even row counts that keep repeats together."""
-    rows = label_propagation.balanced_shards(docs)
-    return rows.select("doc_id", "size", "text_crc32", "shard", "slot")
+    """Rows of the mix with their places: shards of even row counts that keep repeats together."""
+    return label_propagation.sharded_rows(docs)
 
 
 STAGES = [
