@@ -191,6 +191,48 @@ def test_language_of_held_out_and_odd_texts(spark):
     assert {x["lang_pred"] for x in ngram_bayes.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_chances_equal_naive_bayes_of_dictionaries(spark):
+    r = random.Random(4)
+    letters = {"aa": "abcdeé ", "bb": "defgßж .", "cc": "aж7x, "}
+    rows = [(i, r.choice(["", "?", " 1 "]) + "".join(r.choices(letters[k], k=r.randrange(1, 60))), k, "s") for i in range(90) for k in [("aa", "bb", "cc")[i % 3]]]
+    docs = table(spark, rows + [(200, "ABC, déf"), (201, "ж" * 3000)]).coalesce(1)
+    bits = 10
+
+    def grams(text):
+        """Buckets of the runs of one to three letters, with a gap after each word."""
+        low, plain = text.lower(), []
+        for k, c in enumerate(low):
+            if c.isalpha():
+                plain.append(ord(c))
+            elif k and low[k - 1].isalpha():
+                plain.append(32)
+        for n in (1, 2, 3):
+            for at in range(len(plain) - n + 1):
+                h = n
+                for code in plain[at : at + n]:
+                    h = (h ^ code) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                yield h >> (64 - bits)
+
+    learned = [x for x in [*rows, (201, "ж" * 3000, "en", "s")] if x[0] % 5]
+    counts, texts = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, text, lang, _ in learned:
+        counts[lang].update(grams(text))
+        texts[lang] += 1
+    model = ngram_bayes.train(docs, F.col("doc_id") % 5 != 0, bits=bits)
+    for x in ngram_bayes.predict(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        if not any(c.isalpha() for c in x["text"]):
+            assert (x["lang_pred"], x["score"]) == ("und", 0)
+            continue
+        logs = {}
+        for lang, own in counts.items():
+            size = sum(own.values()) + 0.5 * 2**bits
+            logs[lang] = math.log(texts[lang] / len(learned)) + sum(math.log((own[g] + 0.5) / size) for g in grams(x["text"]))
+        top = max(logs.values())
+        assert logs[x["lang_pred"]] == pytest.approx(top)
+        assert x["score"] == pytest.approx(1 / sum(math.exp(v - top) for v in logs.values()))
+
+
 def test_language_model_counts_and_sums_to_one(spark, monkeypatch):
     monkeypatch.setattr(log_bilinear, "COMMON_WORDS", 60)
     docs = table(spark, [(i, " ".join(f"W{(i * k * k) % 90}" for k in range(40))) for i in range(50)] + ODD[:3] + [(700, "never seen"), (701, "W1 " * 30000)])

@@ -49,7 +49,8 @@ def ngrams(texts: list[bytes], bits: int) -> tuple[list[tuple[np.ndarray, np.nda
     some = np.zeros(len(plain), bool)
     some[owner[letter]] = True
     keep = letter.copy()
-    keep[1:] |= letter[:-1]
+    # a gap belongs to the word before it in its own text, whatever text came before
+    keep[1:] |= letter[:-1] & (owner[1:] == owner[:-1])
     code, owner = np.where(letter, code, 32)[keep].astype(np.uint64), owner[keep]
     out = []
     for n in ORDERS:
