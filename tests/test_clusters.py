@@ -227,3 +227,25 @@ def test_locality_finds_small_groups_in_few_rounds(spark):
         found[kind] = clusters.select("head_id").distinct().count()
         assert clusters.count() + left.count() == 1590
     assert found["locality"] >= 18 > 2 * found["balanced"]
+
+
+def test_many_heads_cost_no_more_jobs(spark, monkeypatch):
+    """A bound of few heads: the jobs do not grow with the heads, ties go to the lower head, a share may meet many batches."""
+    from topicloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "SHARE_BYTES", 8 * 5 * 20)
+    values = random_vectors(9, 400, 5, groups=7)
+    values[100:140] = values[0:40]
+    vectors = vector_table(spark, range(400), values)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(heads):
+        group = f"heads-{heads}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = sorted(map(tuple, C.assign_nearest(vectors, vectors.where(F.col("id") < heads), 0.7, limit=400).collect()))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return got, len(tracker.getJobIdsForGroup(group))
+
+    few, many = jobs(40), jobs(300)
+    assert many[1] <= few[1] + 1
+    assert many[0] == sorted(map(tuple, C.assign_nearest(vectors, vectors.where(F.col("id") < 300), 0.7).collect()))

@@ -68,6 +68,29 @@ def parts_of(df: DataFrame, id_col: str, vec_col: str, *extra: str, limit: int =
             yield _side(table, id_col, vec_col, extra)
 
 
+#: Bytes of the big side's rows, as doubles, that a task holds while the other side goes past them.
+SHARE_BYTES = 32 * 1024 * 1024
+
+
+def past(big: DataFrame, small: DataFrame, id_col: str, vec_col: str, task: Callable, schema: str) -> DataFrame:
+    """``task`` over shares of ``big``, past each of which all rows of ``small`` go: one job, whatever the sizes.
+
+    Both sides have the columns ``id_col`` and ``vec_col``.  ``task`` gets batches
+    sorted by ``share`` and ``asks``: the rows of a share (0), then the small side (1).
+    """
+    spark = big.sparkSession
+    big = stage(big.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "scanned")
+    first = big.select(F.size("vec").alias("dim")).first()
+    held = max(1, SHARE_BYTES // (8 * max(1, first["dim"] if first else 1)))
+    shares = max(1, -(-big.count() // held), 3 * spark.sparkContext.defaultParallelism)
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shares)).cast("int")
+    left = big.select(share.alias("share"), F.lit(0).alias("asks"), "id", "vec")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    right = small.select(every.alias("share"), F.lit(1).alias("asks"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    both = left.unionByName(right).repartition(shares, "share").sortWithinPartitions("share", "asks")
+    return both.mapInArrow(task, schema)
+
+
 def against(
     big: DataFrame,
     small: DataFrame,

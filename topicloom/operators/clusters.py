@@ -264,34 +264,80 @@ def assign_nearest(
 ) -> DataFrame:
     """Nearest head of every vector when its cosine reaches the threshold: a cluster table.
 
-    ``heads`` has the columns ``id_col`` and ``vec_col``.  A small head side goes
-    to every task and the vectors stay where they are; a large one is sent part by
-    part, and the best of a vector's heads in the parts wins.
+    ``heads`` has the columns ``id_col`` and ``vec_col``.  A head side within
+    ``limit`` bytes goes to every task and the vectors stay where they are; a
+    larger one goes in batches past shares of the vectors, in one job, and each
+    share keeps the best head met so far.
     """
-    vectors = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("member_id"), F.col(vec_col).alias("vec"))
-    heads = heads.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("head_id"), F.col(vec_col).alias("vec"))
+    vectors = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vec_col).alias("vec"))
+    heads = heads.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vec_col).alias("vec"))
+    side = blocks.fetch_small(heads, "_id", "vec", limit=limit)
+    if side is not None:
+        shared = vectors.sparkSession.sparkContext.broadcast((side.ids, K.unit_rows(side.rows)))
 
-    def task(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head_ids, head_units = shared.value
             for batch in batches:
                 if batch.num_rows and len(head_ids):
                     yield from _nearest_table(batch, head_ids, head_units, threshold).to_batches()
 
-        return run
-
-    found, parts = blocks.against(
-        vectors, heads, "head_id", "vec", pack=lambda s: (s.ids, K.unit_rows(s.rows)), task=task,
-        schema=K.CLUSTER_SCHEMA, limit=limit, derived=True,
-    )
-    if not parts:
-        return found
+        return vectors.withColumnRenamed("_id", "member_id").mapInArrow(run, K.CLUSTER_SCHEMA)
+    found = blocks.past(vectors, heads, "_id", "vec", _nearest_of_shares(threshold), K.CLUSTER_SCHEMA)
     best = found.groupBy("member_id").agg(
         F.max_by(F.struct("head_id", "score"), F.struct(F.col("score"), -F.col("head_id"))).alias("best")
     )
     return best.select("best.head_id", "member_id", "best.score")
 
 
+def _nearest_of_shares(threshold: float):
+    """Streams rows sorted by share, its vectors first; only one share and a batch of heads are held."""
+
+    def best_of(parts: list[pa.RecordBatch]):
+        ids = pa.concat_arrays([p.column("id") for p in parts])
+        units = np.concatenate([K.unit_rows(K.matrix(p.column("vec"))) for p in parts])
+        return ids, units, np.full(len(ids), -1, np.int64), np.full(len(ids), -2.0)
+
+    def improve(own, heads: pa.RecordBatch) -> None:
+        _, units, head, score = own
+        heads = heads.take(pa.array(np.argsort(heads.column("id").to_numpy(), kind="stable")))
+        head_units = K.unit_rows(K.matrix(heads.column("vec")))
+        # such a head has no cosine, and must not hide that of the others
+        head_units[~np.isfinite(head_units).all(axis=1)] = 0
+        ids, scores = K.nearest_rows(units, heads.column("id").to_numpy(), head_units)
+        over = (scores > score) | ((scores == score) & (ids < head))
+        head[over], score[over] = ids[over], scores[over]
+
+    def result(own) -> pa.RecordBatch:
+        ids, _, head, score = own
+        near = score >= threshold
+        return pa.RecordBatch.from_arrays([pa.array(head[near]), ids.filter(pa.array(near)), pa.array(score[near])], ["head_id", "member_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, parts, own = None, [], None
+        for batch in batches:
+            numbers, asks = np.asarray(batch.column("share")), np.asarray(batch.column("asks"))
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(numbers) != 0) | (np.diff(asks) != 0)) + 1, [len(numbers)]])
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if numbers[a] != share:
+                    if own is not None:
+                        yield result(own)
+                    share, parts, own = numbers[a], [], None
+                piece = batch.slice(a, b - a)
+                if not asks[a]:
+                    parts.append(piece)
+                    continue
+                if own is None and parts:
+                    own, parts = best_of(parts), []
+                if own is not None:
+                    improve(own, piece)
+        if own is not None:
+            yield result(own)
+
+    return run
+
+
 def _nearest_table(data: pa.RecordBatch | pa.Table, head_ids, head_units, threshold: float) -> pa.Table:
     best, scores = K.nearest_rows(K.unit_rows(K.matrix(data.column("vec"))), head_ids, head_units)
     near = scores >= threshold
