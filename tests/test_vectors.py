@@ -133,3 +133,27 @@ def test_arrow_function_is_not_copied_by_filters(spark):
 def test_unequal_and_null_vectors_raise(rows):
     with pytest.raises(ValueError):
         K.matrix(pa.array(rows, pa.list_(pa.float32())))
+
+
+def _pool_tables(spark):
+    rows = [(1, "red red blue"), (1, "blue green"), (2, "grey"), (3, None), (None, "green green red"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = spark.createDataFrame([("red", [1.0, 0.0]), ("blue", [0.0, 1.0]), ("green", [2.0, 2.0]), ("blue", [0.0, 3.0])], "word string, vec array<float>")
+    # a word with two vectors counts with both
+    want = {1: [4 / 7, 10 / 7], None: [5 / 3, 4 / 3]}
+    return docs, words, want
+
+
+@pytest.mark.parametrize("held", [64 * 1024, 32, 16])
+def test_pooled_words_sent_or_joined(spark, monkeypatch, held):
+    docs, words, want = _pool_tables(spark)
+    monkeypatch.setattr(D, "KEY_BYTES", held)
+    got = {r["doc_id"]: r["vec"] for r in D.pooled_vectors(docs, words, "doc_id", "text").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_pooled_words_shuffle_one_vector_per_text(spark):
+    docs, words, _ = _pool_tables(spark)
+    plan = D.pooled_vectors(docs, words, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1

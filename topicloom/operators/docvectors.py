@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,6 +19,7 @@ from topicloom.functions import kernels as K
 from topicloom.functions import text as T
 from topicloom.functions import vectors as X
 from topicloom.functions.encoders import Encoder, arrow_once, encode
+from topicloom.staging import stage
 
 #: Key vectors sent to every task; more of them are joined by a merge.
 KEY_BYTES = 64 * 1024 * 1024
@@ -95,17 +98,91 @@ def pooled_vectors(
 ) -> DataFrame:
     """``(id, vec)``: mean of the word vectors of each text, as a token model with mean pooling gives.
 
-    Words are counted per text first, so a frequent word joins once per text; a
-    small word table is broadcast, and the adaptive skew join splits a frequent
-    word otherwise.  Texts without any known word are left out.
+    The commonest words, ``KEY_BYTES`` of vectors at most, are sent to every task,
+    which leaves one vector per text; only the other words are joined, each with
+    its vector.  Texts without any known word are left out.
     """
-    counts = (
-        docs.select(F.col(id_col), F.explode(T.tokens(F.col(text_col))).alias("_word")).groupBy(id_col, "_word")
-        .agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    )
-    joined = counts.join(words.select(F.col(word_col).alias("_word"), F.col(word_vec).alias("_vec")), "_word")
-    mean = Summarizer.mean(array_to_vector(F.col("_vec")), F.col("_n"))
-    return joined.groupBy(id_col).agg(vector_to_array(mean, "float32").alias(out))
+    spark = docs.sparkSession
+    words = words.select(F.col(word_col).alias("_word"), F.col(word_vec).cast("array<double>").alias("_vec")).where("_word IS NOT NULL AND _vec IS NOT NULL")
+    texts = docs.select(F.col(id_col), T.tokens(F.col(text_col)).alias("_words"))
+    first = words.select(F.size("_vec").alias("dim")).first()
+    dim = first["dim"] if first else 1
+    allowed = max(1, KEY_BYTES // (8 * max(1, dim)))
+    sent, rest = words.limit(allowed + 1).toArrow(), None
+    if sent.num_rows > allowed:
+        sent, rest = _commonest(texts, stage(words, "words"), allowed)
+    shared = spark.sparkContext.broadcast(_word_table(sent, dim))
+    kind = docs.select(F.col(id_col).alias("_id")).schema["_id"].dataType.simpleString()
+    part = texts.withColumnRenamed(id_col, "_id").mapInArrow(_pooled(shared, rest is not None), f"_id {kind}, _mean array<double>, _n double, _rest array<string>")
+    if rest is not None:
+        part = stage(part, "pooled")
+    means = part.where("_n > 0").select("_id", "_mean", "_n")
+    if rest is not None:
+        left = part.select("_id", F.explode("_rest").alias("_word")).join(rest, "_word")
+        means = means.unionByName(left.select("_id", F.col("_vec").alias("_mean"), F.lit(1.0).alias("_n")))
+    # rows of an id come together before they are added: a vector is smaller than the state of its sum
+    mean = Summarizer.mean(array_to_vector(F.col("_mean")), F.col("_n"))
+    return means.repartition("_id").groupBy("_id").agg(vector_to_array(mean, "float32").alias(out)).withColumnRenamed("_id", id_col)
+
+
+def _commonest(texts: DataFrame, words: DataFrame, allowed: int) -> tuple[pa.Table, DataFrame]:
+    """About ``allowed`` of the words met most often, by steps of their count, and a table of all others."""
+    counts = texts.select(F.explode("_words").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    known = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = stage(counts.join(known, "_word").withColumn("_level", F.floor(F.log2("_n") * 8).cast("int")), "counts")
+    least, held = None, 0
+    for level, rows in sorted(counts.groupBy("_level").agg(F.sum("_rows")).collect(), reverse=True):
+        if held + rows > allowed:
+            break
+        least, held = level, held + rows
+    if least is None:
+        return words.limit(0).toArrow(), words
+    common = counts.where(F.col("_level") >= least).select("_word")
+    return words.join(common, "_word", "left_semi").toArrow(), words.join(common, "_word", "left_anti")
+
+
+def _word_table(sent: pa.Table, dim: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, and of each the sum and the number of its vectors."""
+    coded = sent.column("_word").combine_chunks().dictionary_encode()
+    at = coded.indices.to_numpy()
+    rows = np.zeros((len(coded.dictionary), dim))
+    if len(at):
+        np.add.at(rows, at, K.matrix(sent.column("_vec")))
+    return coded.dictionary, rows, np.bincount(at, minlength=len(rows)).astype(float)
+
+
+def _pooled(shared, others: bool):
+    """Mean over the known words of each text and their number; with ``others``, the words that are not known here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows, times = shared.value
+        limit = max(1, K.CELLS_PER_BLOCK // max(1, rows.shape[1]))
+        for batch in batches:
+            lists = batch.column("_words")
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            coded = flat.dictionary_encode()
+            found = pc.index_in(coded.dictionary, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            code = found[coded.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            met = np.flatnonzero(code >= 0)
+            sums, number = np.zeros((len(lengths), rows.shape[1])), np.zeros(len(lengths))
+            for start in range(0, len(met), limit):
+                part = met[start : start + limit]
+                row, own = text[part], code[part]
+                cut = np.flatnonzero(np.diff(row, prepend=-1))
+                # a text may go on from the part before
+                sums[row[cut]] += np.add.reduceat(rows[own], cut, axis=0)
+                number[row[cut]] += np.add.reduceat(times[own], cut)
+            means = np.divide(sums, number[:, None], out=sums, where=number[:, None] > 0)
+            gone = np.flatnonzero(code < 0) if others else np.empty(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text[gone], minlength=len(lengths)))]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(ends), flat.take(pa.array(gone)))
+            offsets = pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * rows.shape[1])
+            vecs = pa.ListArray.from_arrays(offsets, pa.array(means.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), vecs, pa.array(number), rest], ["_id", "_mean", "_n", "_rest"])
+
+    return run
 
 
 def train_word_vectors(docs: DataFrame, text_col: str, dim: int, seed: int = 7, min_count: int = 5, partitions: int | None = None) -> DataFrame:
