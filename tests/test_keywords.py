@@ -65,3 +65,27 @@ def test_stopword_table_equals_list(spark, docs):
         want = W.topic_term_counts(df, "text", stopwords=["w1x", "w3x"], ngram_range=grams, cross_docs=across, order_col="doc_id")
         got = W.topic_term_counts(df, "text", stopwords=stops, ngram_range=grams, cross_docs=across, order_col="doc_id")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
+
+
+def test_runs_of_any_topic_kind_in_bounded_tasks(spark, monkeypatch):
+    """One row per place travels, counts leave a task early, a struct or null topic is a topic, short texts count."""
+    from pyspark.sql import types as S
+
+    monkeypatch.setattr(W, "COUNTED", 20)
+    rows = [(i, " ".join("w%d" % ((i * 7 + j) % 5) + "x" for j in range(i % 7)), None if i % 3 == 2 else (i % 3, "a")) for i in range(60)]
+    topic = S.StructType([S.StructField("k", S.IntegerType()), S.StructField("s", S.StringType())])
+    df = spark.createDataFrame(rows, S.StructType([S.StructField("doc_id", S.LongType()), S.StructField("text", S.StringType()), S.StructField("topic", topic)]))
+    for low, high in ((1, 2), (2, 3), (1, 4), (3, 3)):
+        want = Counter()
+        for _, text, t in rows:
+            words = text.split()
+            for n in range(low, high + 1):
+                want.update((t and tuple(t), " ".join(words[i : i + n])) for i in range(len(words) - n + 1))
+        counts = W.topic_term_counts(df, "text", ngram_range=(low, high))
+        assert {(r["topic"] and tuple(r["topic"]), r["term"]): r["n"] for r in counts.collect()} == dict(want)
+        assert counts.count() == len(want)
+        # partial counts leave the tasks as longest runs: one shuffle, no hash tables of n-grams before it
+        plan = W.topic_term_counts(df, "text", ngram_range=(low, high))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+    sent = W.run_counts(W.word_lists(df, "text", "topic", None, ()), 2, 3)
+    assert sent.agg(F.sum("n")).first()[0] == sum(max(0, len(t.split()) - 1) for _, t, _ in rows)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_type
 
 from topicloom.functions import text as T
 from topicloom.staging import stage
@@ -24,8 +29,8 @@ def topic_term_counts(
     A table of stopwords may have any size: it is joined away from the words of
     the texts and never fetched.
 
-    Counting is partial before the shuffle and keyed by topic and term, so a
-    topic with a third of all rows spreads over its terms.  ``cross_docs`` adds
+    Counting is partial before the shuffle and keyed by topic and term (n-grams:
+    by topic and first words), so a topic with a third of all rows spreads.  ``cross_docs`` adds
     the n-grams that run over the border of two texts of a topic in the order of
     the unique ``order_col``, as if the texts of a topic were one text.
     """
@@ -38,14 +43,84 @@ def topic_term_counts(
             terms = terms.where(~F.col("term").isin(*stopwords))
     else:
         listed = word_lists(docs, text_col, topic_col, order_col, stopwords)
-        terms = listed.select("topic", F.explode(T.ngrams(F.col("words"), low, high)).alias("term"))
-    if cross_docs and high > 1:
-        if order_col is None:
-            raise ValueError("cross_docs needs a unique order_col")
-        terms = terms.unionByName(border_ngrams(listed, low, high))
+        runs = run_counts(listed, low, high)
+        if cross_docs:
+            if order_col is None:
+                raise ValueError("cross_docs needs a unique order_col")
+            border = border_ngrams(listed, low, high)
+            runs = runs.unionByName(border.select("topic", F.col("term").alias("run"), F.lit(True).alias("whole"), F.lit(1).cast("long").alias("n")))
+        return ngram_counts(runs, low, high, docs.rdd.getNumPartitions())
     return terms.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Runs of words a task counts before it passes them on.
+COUNTED = 500_000
+#: Partitions of the counts per partition of the texts at least, so that a partition is counted in memory.
+SPREAD = 8
+
+
+def run_counts(listed: DataFrame, low: int, high: int) -> DataFrame:
+    """``(topic, run, whole, n)``: counts of the longest run of at most ``high`` words from each place on.
+
+    A run stands for its beginnings of ``max(2, low)`` words and more too, so each
+    place travels once; one that is ``whole``, as single words are, stands for
+    itself.  Counts are partial, and a task holds a bounded number of them.
+    """
+    kind = listed.schema["topic"].dataType
+    least = max(2, low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics, long, single = {}, {}, {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for held, whole in ((long, False), (single, True)):
+                for key, counts in held.items():
+                    size = len(counts)
+                    if size:
+                        same = pa.array([topics[key]], to_arrow_type(kind)).take(pa.array(np.zeros(size, np.int64)))
+                        yield pa.RecordBatch.from_arrays(
+                            [same, pa.array(list(counts), pa.string()), pa.array(np.full(size, whole)), pa.array(np.fromiter(counts.values(), np.int64, size))],
+                            ["topic", "run", "whole", "n"],
+                        )
+                    counts.clear()
+
+        for batch in batches:
+            # values of any kind, a struct's too, are told apart by how they are written
+            for topic, words in zip(batch.column("topic").to_pylist(), batch.column("words")):
+                words = words.as_py()
+                if not words:
+                    continue
+                key = repr(topic)
+                if key not in topics:
+                    topics[key], long[key], single[key] = topic, Counter(), Counter()
+                long[key].update(map(" ".join, zip(*(words[i:] for i in range(high)))))
+                tail = max(0, len(words) - high + 1)
+                long[key].update(" ".join(words[i:]) for i in range(tail, len(words) - least + 1))
+                if low == 1:
+                    single[key].update(words)
+                if sum(map(len, long.values())) + sum(map(len, single.values())) > COUNTED:
+                    yield from counted()
+        yield from counted()
+
+    schema = S.StructType([S.StructField("topic", kind), S.StructField("run", S.StringType()), S.StructField("whole", S.BooleanType()), S.StructField("n", S.LongType())])
+    return listed.select("topic", "words").mapInArrow(run, schema)
+
+
+def ngram_counts(runs: DataFrame, low: int, high: int, inputs: int) -> DataFrame:
+    """``(topic, term, n)`` from ``run_counts``: dealt by the words that all n-grams of a run begin with, in one shuffle."""
+    least = max(2, low)
+    spark = runs.sparkSession
+    begin = F.substring_index("run", " ", least)
+    dealt = runs.select("topic", begin.alias("begin"), F.substring(F.col("run"), F.length(begin) + 2, F.length("run")).alias("rest"), "whole", "n")
+    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD * inputs), "topic", "begin")
+    rest = F.nullif(F.col("rest"), F.lit(""))
+    full = F.concat_ws(" ", "begin", rest)
+    shorter = [F.concat_ws(" ", "begin", F.substring_index(rest, " ", n)) for n in range(1, high - least)]
+    terms = F.when(F.col("whole"), F.array(full)).otherwise(F.array_distinct(F.array("begin", *shorter, full)))
+    terms = dealt.select("topic", "begin", F.explode(terms).alias("term"), "n")
+    return terms.groupBy("topic", "begin", "term").agg(F.sum("n").alias("n")).select("topic", "term", "n")
+
+
 def changed_counts(
     counts: DataFrame, changes: DataFrame, text_col: str, old_col: str = "old_topic", new_col: str = "new_topic",
     stopwords: Sequence[str] | DataFrame = (), ngram_range: tuple[int, int] = (1, 1),
