@@ -236,3 +236,28 @@ def test_a_stream_leaves_the_tables_of_other_threads(spark, tmp_path):
     assert mine.count() == 7
     with pytest.raises(Exception):
         spark.read.parquet(inner[0].inputFiles()[0])
+
+
+def test_sentence_files_come_from_one_ordering(spark, tmp_path, monkeypatch):
+    """Both files come out of one shuffle in corpus order; a file without lines is there too, an old one is kept."""
+    from topicloom.plans import corpora
+    from topicloom.sources.files import CASE_SCHEMA
+
+    cases = [(str(i), "n", "m", 1.0, f"issue {i:04d} " + "i" * 20, f"summary {i:04d} " + "s" * 20, f"text {i:04d} " + "t" * 20) for i in range(1000, 3000)]
+    table = spark.createDataFrame(cases, CASE_SCHEMA).repartition(7)
+    monkeypatch.setattr(corpora, "stage", lambda *_: pytest.fail("lines are written to their files only"))
+    ids = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lines", "lines")
+    corpora.write_sentence_corpora(table, str(tmp_path / "a"), sample=3, sections=("(text.*)",))
+    spark.sparkContext.setJobGroup("rest", "rest")
+
+    def lines(name):
+        return [x for p in sorted((tmp_path / name).glob("part-*")) for x in p.read_text().splitlines()]
+
+    small = [c[4] for c in cases] + [c[5] for c in cases]
+    assert lines("a/small") == small and lines("a/large") == small + [c[6] for c in cases] and lines("a/sample") == small[:3]
+    assert len(ids.getJobIdsForGroup("lines")) <= 6
+    with pytest.raises(FileExistsError):
+        corpora.write_sentence_corpora(table, str(tmp_path / "a"))
+    corpora.write_sentence_corpora(table.limit(0), str(tmp_path / "b"))
+    assert spark.read.text([str(tmp_path / "b" / n) for n in ("small", "large", "sample")]).count() == 0

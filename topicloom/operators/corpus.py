@@ -12,12 +12,12 @@ from topicloom.functions import text as T
 from topicloom.operators import tables
 
 
-def sentence_corpus(df: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:
+def sentence_corpus(df: DataFrame, id_col: str, fields: Mapping[str, Column], clean: bool = True) -> DataFrame:
     """``(field_no, field, doc_id, pos, sentence)`` for every field in order.
 
     Pieces are filtered by length before cleaning, so a kept one may clean to an
     empty line.  The pieces of all fields form one array per row, which is
-    unrolled once.
+    unrolled once.  Without ``clean`` the caller cleans them later.
     """
     empty = F.array().cast("array<struct<field_no:int,field:string,pos:int,raw:string>>")
     pieces = F.concat(
@@ -27,9 +27,8 @@ def sentence_corpus(df: DataFrame, id_col: str, fields: Mapping[str, Column]) ->
         ]
     )
     rows = df.select(F.col(id_col).alias("doc_id"), F.explode(pieces).alias("p"))
-    return rows.select(
-        "p.field_no", "p.field", "doc_id", "p.pos", T.clean_corpus(F.col("p.raw")).alias("sentence")
-    )
+    sentence = T.clean_corpus(F.col("p.raw")) if clean else F.col("p.raw")
+    return rows.select("p.field_no", "p.field", "doc_id", "p.pos", sentence.alias("sentence"))
 
 
 def corpus_sample(corpus: DataFrame, rows: int = 1000) -> DataFrame:

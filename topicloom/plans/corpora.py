@@ -30,13 +30,17 @@ def write_sentence_corpora(
             "summary": F.col("judgment_summary"),
             "contents": T.joined_sections(F.col("judgment_contents"), sections),
         },
+        clean=False,
     )
-    lines = stage(lines, "lines")
     order = ("field_no", "doc_id", "pos")
-    small = lines.where(F.col("field_no") < 2)
-    files.write_lines(small.orderBy(*order).select("sentence"), f"{folder}/small")
-    files.write_lines(lines.orderBy(*order).select("sentence"), f"{folder}/large")
-    files.write_lines(corpus.corpus_sample(small, sample).select("sentence"), f"{folder}/sample")
+    # Lines of both files are put in order by one shuffle, and cleaned after it: putting in order reads its input twice.
+    names = F.when(F.col("field_no") < 2, F.array(F.lit("small"), F.lit("large"))).otherwise(F.array(F.lit("large")))
+    ranged = lines.repartitionByRange(*order).select(*order, T.clean_corpus(F.col("sentence")).alias("sentence"))
+    # a line is cleaned once, before it goes to its files
+    named = ranged.select("*", F.explode(names).alias("file"))
+    files.write_line_files(named.sortWithinPartitions("file", *order).select("sentence", "file"), folder, "file", ("small", "large"))
+    first = corpus.corpus_sample(lines.where(F.col("field_no") < 2), sample)
+    files.write_lines(first.select(T.clean_corpus(F.col("sentence")).alias("sentence")), f"{folder}/sample")
 
 
 def _nested(cases: DataFrame, after: float, mapping: Mapping[str, str] | None) -> DataFrame:

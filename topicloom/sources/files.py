@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,6 +153,24 @@ def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).text(path)
 
 
+def write_line_files(df: DataFrame, folder: str, name_col: str, names: Sequence[str]) -> None:
+    """One text sink per name in ``folder``, by one job over ``(line, name_col)`` sorted by name in each partition."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        if system.exists(path(f"{folder}/{name}")):
+            raise FileExistsError(f"{folder}/{name}")
+    written = f"{folder}/_written-{uuid.uuid4().hex}"
+    df.write.partitionBy(name_col).text(written)
+    for name in names:
+        if system.exists(path(f"{written}/{name_col}={name}")):
+            system.rename(path(f"{written}/{name_col}={name}"), path(f"{folder}/{name}"))
+        else:
+            write_lines(spark.createDataFrame([], "line string"), f"{folder}/{name}")
+    system.delete(path(written), True)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines sink for nested records."""
     df.write.mode(mode).json(path)
