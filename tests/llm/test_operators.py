@@ -405,3 +405,23 @@ def test_components_of_long_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 200), (200, 100)]
     got = {r["id"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "c").collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(60)) and got[300] == 100
+
+
+def test_context_sums_worked_out_once_equal_those_of_tasks(spark, monkeypatch):
+    """With many texts no task works out sums of its own; the scores are the same."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(i % 9))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    monkeypatch.setattr(log_bilinear, "WORDS", 30)
+    monkeypatch.setattr(log_bilinear, "CLASSES", 8)
+    model, counts = log_bilinear.train(docs, F.lit(True))
+    want = {r["doc_id"]: r for r in log_bilinear.score(docs, model, counts).collect()}
+    made = []
+    plain = log_bilinear.context_sums
+    monkeypatch.setattr(log_bilinear, "MANY_TEXTS", 100)
+    monkeypatch.setattr(log_bilinear, "context_sums", lambda *a: made.append(plain(*a)) or made[0])
+    got = log_bilinear.score(docs, model, counts).collect()
+    assert len(made) == 1 and made[0].shape == ((model.units + 1) ** 2,) and np.isfinite(made[0]).all()
+    assert len(got) == 120
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]]["score"], abs=1e-4)
+        assert (r["n_known"], r["base_score"]) == (want[r["doc_id"]]["n_known"], pytest.approx(want[r["doc_id"]]["base_score"]))

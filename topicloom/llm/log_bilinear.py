@@ -266,21 +266,27 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text") -> tuple[Mod
 
 
 class Scorer:
-    """Normalised log10 chances of units, with one remembered sum per context."""
+    """Normalised log10 chances of units, with one remembered sum per context; ``sums`` are those known before, by context."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, sums: np.ndarray | None = None):
         self.model = model
         self.context, self.target = model.context.astype(np.float32), model.target.astype(np.float32)
         self.bias, self.pull = model.bias.astype(np.float32), model.pull.astype(np.float32)
-        self.sums = np.full((model.units + 1) ** 2, np.nan, np.float32)
+        self.sums = np.full((model.units + 1) ** 2, np.nan, np.float32) if sums is None else sums
+        self.whole = sums is not None
         # what a unit adds to the state as the last and as the one before
         self.last, self.before = self.context * self.pull[0], self.context * self.pull[1]
 
     def score(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         key = one * (self.model.units + 1) + two
-        fresh = np.zeros(len(self.sums), bool)
-        fresh[key] = True
-        new = np.flatnonzero(fresh & np.isnan(self.sums))
+        if not self.whole:
+            fresh = np.zeros(len(self.sums), bool)
+            fresh[key] = True
+            self.fill(np.flatnonzero(fresh & np.isnan(self.sums)))
+        state = self.last[one] + self.before[two]
+        return (np.einsum("ij,ij->i", state, self.target[word]) + self.bias[word] - self.sums[key]) / np.float32(np.log(10))
+
+    def fill(self, new: np.ndarray) -> None:
         for at in range(0, len(new), 256):
             # few contexts at once and in place, so that their scores stay in the cache
             part = new[at : at + 256]
@@ -290,14 +296,37 @@ class Scorer:
             most = logits.max(axis=1)
             logits -= most[:, None]
             self.sums[part] = most + np.log(np.exp(logits, out=logits).sum(axis=1))
-        state = self.last[one] + self.before[two]
-        return (np.einsum("ij,ij->i", state, self.target[word]) + self.bias[word] - self.sums[key]) / np.float32(np.log(10))
 
 
-def _score(held):
+#: Texts from which on the sums of all contexts are worked out once, instead of those met in each task.
+MANY_TEXTS = 20_000
+
+
+def _sums(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = None
+        for batch in batches:
+            scorer = scorer or Scorer(Model(*held.value))
+            for last in batch.column("id").to_pylist():
+                own = np.arange(last * (scorer.model.units + 1), (last + 1) * (scorer.model.units + 1))
+                scorer.fill(own)
+                yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([scorer.sums[own]], pa.list_(pa.float32()))], ["last", "sums"])
+
+    return run
+
+
+def context_sums(spark, model: Model, held) -> np.ndarray:
+    """The sums over all units for each pair of units before, worked out by many tasks: ``(units + 1) ** 2`` floats."""
+    found = spark.range(0, model.units + 1, 1, 4 * spark.sparkContext.defaultParallelism).mapInArrow(_sums(held), "last long, sums array<float>").toArrow()
+    rows = np.empty((model.units + 1, model.units + 1), np.float32)
+    rows[found.column("last").to_numpy()] = found.column("sums").combine_chunks().flatten().to_numpy().reshape(rows.shape)
+    return rows.ravel()
+
+
+def _score(held, sums=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value)
-        lookup, scorer = Lookup(model), Scorer(model)
+        lookup, scorer = Lookup(model), Scorer(model, None if sums is None else sums.value)
         floor = model.tokens + 0.5 * (model.distinct + 1)
         for batch in batches:
             for start, stop, texts in chunks(batch):
@@ -342,7 +371,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     spark = docs.sparkSession
     plain = docs.select(F.monotonically_increasing_id().alias("row"), row_id(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     columns = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, cls array<int>"
-    part = stage(plain.mapInArrow(_score(_sent(spark, model)), columns), "scored")
+    held = _sent(spark, model)
+    many = model.tokens and docs.limit(MANY_TEXTS).count() == MANY_TEXTS
+    sums = spark.sparkContext.broadcast(context_sums(spark, model, held)) if many else None
+    part = stage(plain.mapInArrow(_score(held, sums), columns), "scored")
     # a row's number holds from here on, since the table is written
     rare = part.select("row", F.explode(F.arrays_zip("rare", "cls")).alias("t")).groupBy("row", F.col("t.rare").alias("word"), F.col("t.cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     met = rare.join(counts.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
