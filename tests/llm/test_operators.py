@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import math
 import random
+import types
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from topicloom.llm import common, containment, dart_minhash, imatch, label_propagation, line_crf, line_deletion, log_bilinear, mixing, ngram_bayes, phrase_automata
@@ -425,3 +427,26 @@ def test_context_sums_worked_out_once_equal_those_of_tasks(spark, monkeypatch):
     for r in got:
         assert r["score"] == pytest.approx(want[r["doc_id"]]["score"], abs=1e-4)
         assert (r["n_known"], r["base_score"]) == (want[r["doc_id"]]["n_known"], pytest.approx(want[r["doc_id"]]["base_score"]))
+
+
+def test_words_of_the_language_model_are_looked_up_together(monkeypatch):
+    """A chunk's new words cost one search of the common words, not one each; tokens are those of a plain split."""
+    texts = [b" Word%d word%d\x0bother\xff\x1c%d " % (i, i % 7, i % 5) for i in range(300)] + [b"", b" \t", "\u00c9\u00a0A a".encode()]
+    want = [text.lower().split() + [log_bilinear.END] for text in texts]
+    flat = [word for own in want for word in own]
+    names = np.sort(np.array([xxhash.xxh3_64_intdigest(w) for w in sorted(set(flat))[::2]], np.uint64))
+    unit = np.where(np.arange(len(names)) % 3 == 0, np.arange(len(names)), -1)
+    model = types.SimpleNamespace(names=names, counts=np.arange(len(names)) + 5, unit=unit)
+    searches, plain = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: searches.append(1) or plain(*a, **k))
+    lookup = log_bilinear.Lookup(model)
+    number, ends, facts = lookup.tokens(texts)
+    again, _, _ = lookup.tokens(texts)
+    assert len(searches) == 1 and (again == number).all()
+    assert ends.tolist() == np.cumsum([len(own) for own in want]).tolist() and len(number) == len(flat)
+    place = {int(name): k for k, name in enumerate(names)}
+    for word, got in zip(flat, zip(*[held[number].tolist() for held in facts])):
+        name = xxhash.xxh3_64_intdigest(word)
+        k, cls = place.get(name, -1), xxhash.xxh3_64_intdigest(word.rstrip(b".,;:!?*#&%$|")[-3:]) % log_bilinear.CLASSES
+        own = int(unit[k]) if k >= 0 else -1
+        assert got == (own if own >= 0 else log_bilinear.WORDS + cls, k + 5 if k >= 0 else -1, -1 if own >= 0 else cls, name)
