@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,6 +18,7 @@ from topicloom.functions import kernels as K
 from topicloom.functions import text as T
 from topicloom.functions import vectors as X
 from topicloom.functions.encoders import Encoder, arrow_once, encode
+from topicloom.operators.skipgram import word_vectors
 from topicloom.staging import stage
 
 #: Key vectors sent to every task; more of them are joined by a merge.
@@ -186,19 +186,15 @@ def _pooled(shared, others: bool):
 
 
 def train_word_vectors(docs: DataFrame, text_col: str, dim: int, seed: int = 7, min_count: int = 5, partitions: int | None = None) -> DataFrame:
-    """``(word, vec)`` learned by Word2Vec from the texts themselves.
+    """``(word, vec)`` learned by skip-gram with a Huffman tree from the texts themselves.
 
     ``partitions`` comes from the number of texts unless it is given.  Words
-    seen fewer than ``min_count`` times are left out; the learner holds
-    vocabulary x ``dim`` floats in the driver.
+    seen fewer than ``min_count`` times are left out; a null text has no words.
+    Each task holds two vectors of ``dim`` floats per word.
     """
-    listed = docs.select(T.tokens(F.col(text_col)).alias("words"))
-    partitions = partitions or max(8, listed.count() // TEXTS_PER_PARTITION)
-    learner = Word2Vec(
-        vectorSize=dim, seed=seed, minCount=min_count, numPartitions=partitions, inputCol="words", outputCol="_"
-    )
-    found = learner.fit(listed).getVectors()
-    return found.select("word", vector_to_array("vector", "float32").alias("vec"))
+    words = F.coalesce(T.tokens(F.col(text_col)), F.array().cast("array<string>"))
+    partitions = partitions or max(8, docs.count() // TEXTS_PER_PARTITION)
+    return word_vectors(docs, words, dim, seed, min_count, partitions)
 
 
 def keyword_vectors(topics: DataFrame, encoder: Encoder, keywords_col: str, out: str = "key_vec") -> DataFrame:
